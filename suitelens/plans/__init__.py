@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reports",)
+MODULES = ("reports", "logs")
 
 
 def all_queries() -> dict:
