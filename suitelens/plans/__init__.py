@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reports", "logs")
+MODULES = ("reports", "logs", "shards")
 
 
 def all_queries() -> dict:
