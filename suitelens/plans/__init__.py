@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reports", "logs", "shards")
+MODULES = ("reports", "logs", "shards", "inventory")
 
 
 def all_queries() -> dict:
