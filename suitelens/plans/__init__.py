@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reports", "logs", "shards", "inventory")
+MODULES = ("reports", "logs", "shards", "inventory", "lifecycle")
 
 
 def all_queries() -> dict:
