@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reports", "logs", "shards", "inventory", "lifecycle")
+MODULES = ("reports", "logs", "shards", "inventory", "lifecycle", "files")
 
 
 def all_queries() -> dict:
