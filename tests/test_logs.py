@@ -1,0 +1,54 @@
+"""Log mining rules (FIXTURES A2)."""
+
+from pyspark.sql import functions as F
+
+from suitelens.operators import logs
+
+
+def _lines(spark, rows):
+    return spark.createDataFrame(rows, "file string, pos long, value string")
+
+
+def test_counters_and_unparsed(spark):
+    df = _lines(spark, [("a", 1, "Tests: succeeded 5, failed 1, canceled 0, ignored 2, pending 0"),
+                        ("a", 2, "Tests: garbage"),
+                        ("a", 3, "noise"),
+                        ("a", 4, "[info] Tests: succeeded 7, failed 0, canceled 0, ignored 3, pending 0")])
+    rows = logs.extract_log_counters(df).orderBy("pos").collect()
+    assert [(r.succeeded, r.failed, r.canceled, r.ignored, r.pending) for r in rows] == [
+        (5, 1, 0, 2, 0), (None, None, None, None, None), (7, 0, 0, 3, 0)]
+    strings = logs.extract_log_counters(df, as_strings=True).orderBy("pos").collect()
+    assert strings[1].succeeded == ""
+    tot = logs.log_counter_totals(logs.extract_log_counters(df)).collect()[0]
+    assert (tot.n_counter_lines, tot.n_unparsed, tot.succeeded, tot.ignored) == (3, 1, 12, 5)
+
+
+def test_stat_lines_filter(spark):
+    df = _lines(spark, [("a", 1, "Total number of tests run: 4"), ("a", 2, "Tests: succeeded 1"),
+                        ("a", 3, "All tests passed."), ("a", 4, "Tests: garbage"), ("a", 5, "other")])
+    assert [r.pos for r in logs.stat_lines(df).orderBy("pos").collect()] == [1, 2, 3]
+    assert logs.stat_lines(df, ["garb"]).count() == 1
+
+
+def test_verdict(spark):
+    ok = "Tests: succeeded 7, failed 0, canceled 0, ignored 3, pending 0"
+    df = _lines(spark, [
+        ("pass", 1, ok), ("pass", 2, "All tests passed."),
+        ("no_phrase", 1, ok),
+        ("noise", 1, "hello"),
+        ("canceled", 1, "Tests: succeeded 7, failed 0, canceled 1, ignored 3, pending 0"),
+        ("canceled", 2, "All tests passed."),
+        ("pending", 1, "Tests: succeeded 7, failed 0, canceled 0, ignored 3, pending 2"),
+        ("pending", 2, "All tests passed."),
+    ])
+    got = {r.file: r.passed for r in logs.log_verdict(df).collect()}
+    assert got == {"pass": True, "no_phrase": False, "noise": False, "canceled": False, "pending": False}
+    rep = logs.module_report(logs.log_verdict(df).withColumn("module", F.lit("m"))).collect()[0]
+    assert (rep.name, rep.n_logs, rep.n_passed, rep.result) == ("m", 5, 1, "fail")
+
+
+def test_tail_lines(spark):
+    df = spark.range(0, 50).select(F.lit("f").alias("file"), F.col("id").alias("pos"))
+    out = logs.tail_lines(df, "file", ["pos"], n=20).collect()
+    assert sorted(r.pos for r in out) == list(range(30, 50))
+    assert {r.pos: r.from_end for r in out}[49] == 1
