@@ -180,19 +180,23 @@ def drop_node_lines(spark, sf_dir):
     return inv.drop_node_lines(lines, "building")
 
 
-def order_jobs(spark, sf_dir) -> DataFrame:
-    """One deletion job per order, with one sub-job per line (bounded by lines per order)."""
+def line_jobs(spark, sf_dir) -> DataFrame:
+    """One deletion job per order line with two sub-jobs (server, volume): the nesting
+    comes from the row itself, so no group is ever collected."""
     li = table(spark, sf_dir, "lineitem")
-    r = F.col("l_returnflag") == "R"
-    sub = F.struct(F.when(r, F.lit("FAIL")).otherwise(F.lit("SUCCESS")).alias("status"),
-                   F.concat(F.lit("line-"), s("l_linenumber")).alias("type"),
-                   F.when(r, F.concat(F.lit("returned on "), F.date_format("l_shipdate", "yyyy-MM-dd")))
-                   .alias("fail_reason"))
-    return li.groupBy(F.col("l_orderkey").alias("job_id")).agg(F.collect_list(sub).alias("sub_jobs"))
+    r, o = F.col("l_returnflag") == "R", F.col("l_linestatus") == "O"
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    sub = lambda fail, kind, reason: F.struct(
+        F.when(fail, F.lit("FAIL")).otherwise(F.lit("SUCCESS")).alias("status"), F.lit(kind).alias("type"),
+        F.when(fail, reason).alias("fail_reason"))
+    jobs = F.array(sub(r, "deleteServer", F.concat(F.lit("returned on "), day)),
+                   sub(o, "deleteVolume", F.concat(F.lit("volume busy since "), day)))
+    job_id = F.concat(s("l_orderkey"), F.lit("-"), s("l_linenumber"))
+    return li.select(job_id.alias("job_id"), jobs.alias("sub_jobs"))
 
 
 def failed_sub_jobs(spark, sf_dir):
-    return inv.failed_sub_jobs(order_jobs(spark, sf_dir))
+    return inv.failed_sub_jobs(line_jobs(spark, sf_dir))
 
 
 def first_prefix(spark, sf_dir):
@@ -356,9 +360,12 @@ SELECT c_custkey, line FROM (
 WHERE NOT regexp_matches(line, '\\b(node\\d+-building)\\b')
 """,
     "failed_sub_jobs": """
-SELECT l_orderkey AS job_id, 'line-' || l_linenumber AS type,
+SELECT l_orderkey || '-' || l_linenumber AS job_id, 'deleteServer' AS type,
        'returned on ' || strftime(l_shipdate, '%Y-%m-%d') AS fail_reason
 FROM lineitem WHERE l_returnflag = 'R'
+UNION ALL
+SELECT l_orderkey || '-' || l_linenumber, 'deleteVolume', 'volume busy since ' || strftime(l_shipdate, '%Y-%m-%d')
+FROM lineitem WHERE l_linestatus = 'O'
 """,
     "first_prefix": """
 WITH c AS (SELECT c_nationkey, c_custkey, 'node' || (c_custkey % 20) || '-' || lower(c_mktsegment) AS hostname

@@ -36,8 +36,9 @@ def month_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_logs(lines: DataFrame, root: str) -> None:
-    """One text file per log under ``root/log=<name>/`` (each log written by one task)."""
-    lines.repartition("log").write.mode("overwrite").partitionBy("log").text(root)
+    """Log lines under ``root/log=<name>/``: every task writes its own part of each log it
+    holds, so a log with a third of all lines is still written by many tasks."""
+    lines.write.mode("overwrite").partitionBy("log").text(root)
 
 
 def log_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
