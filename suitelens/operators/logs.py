@@ -90,3 +90,10 @@ def tail_lines(df: DataFrame, key, order, n: int = TAIL_LINES, out: str = "from_
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     w = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order_cols])
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
+
+
+def tail_log_lines(lines: DataFrame, n: int = TAIL_LINES) -> DataFrame:
+    """ORD-2 on scanned log files (``file, block, seq, value``): the last ``n`` lines of
+    each file in file order, ``from_end`` = 1 being the last line. In-file order is
+    (split offset, sequence inside the split), which holds when a file is split."""
+    return tail_lines(lines, "file", ["block", "seq"], n)
