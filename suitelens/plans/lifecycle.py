@@ -22,6 +22,11 @@ READY_TIMEOUT_S = 24 * 3600   # events are sparse (about 67 per user over 30 day
 WATERMARK_DELAY = "1 hour"
 
 
+def _state_partitions(spark) -> int:
+    """State-store partitions for the lifecycle streams: one per core of the cluster."""
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
 def _status(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     st = (F.when(F.col("event_type") == "purchase", F.lit(lc.ACTIVE))
@@ -67,7 +72,7 @@ def readiness_stream(spark, sf_dir):
     src = ev.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), st.alias("status"))
     out = run_available_now(
         track_readiness_stream(src, "user_id", "ts", "status", "event_id", READY_TIMEOUT_S, WATERMARK_DELAY),
-        spark, "readiness-stream")
+        spark, "readiness-stream", state_partitions=_state_partitions(spark))
     return out.select(F.col("resource").alias("user_id"),
                       F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "state",
                       F.col("decided_at").cast("timestamp_ntz").alias("decided_at"))
@@ -82,7 +87,7 @@ def jobs_batch(spark, sf_dir):
 def jobs_stream(spark, sf_dir):
     p = _polls(_event_stream(spark, sf_dir))
     return run_available_now(track_jobs_stream(p, "user_id", "ts", "status", "fail_reason", "event_id"),
-                             spark, "jobs-stream")
+                             spark, "jobs-stream", state_partitions=_state_partitions(spark))
 
 
 def counters_stream(spark, sf_dir):

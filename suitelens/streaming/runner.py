@@ -8,18 +8,31 @@ from suitelens.session import new_shared_dir
 
 
 def run_available_now(stream: DataFrame, spark: SparkSession, name: str,
-                      timeout_s: float | None = 1800) -> DataFrame:
+                      timeout_s: float | None = 1800, state_partitions: int | None = None) -> DataFrame:
     """Process everything available (``trigger(availableNow=True)``) with a checkpoint
     and an exactly-once parquet file sink, then return the sink as a batch DataFrame.
 
     The sink and checkpoint live under the cluster's shared folder, so a lost
     executor or a restarted driver resumes from the checkpoint.
+
+    ``state_partitions`` fixes the number of state-store partitions of a stateful
+    query (recorded in the checkpoint at the first start). The query runs in a
+    clone of the session taken at ``start()``, so the caller's setting is restored
+    right after.
     """
     root = new_shared_dir(spark, name)
     sink, ckpt = f"{root}/out", f"{root}/checkpoint"
-    q = (stream.writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", ckpt).outputMode("append")
-         .trigger(availableNow=True).start())
+    writer = (stream.writeStream.format("parquet").option("path", sink)
+              .option("checkpointLocation", ckpt).outputMode("append")
+              .trigger(availableNow=True))
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    if state_partitions:
+        spark.conf.set(key, str(int(state_partitions)))
+    try:
+        q = writer.start()
+    finally:
+        spark.conf.set(key, old)
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
