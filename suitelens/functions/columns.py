@@ -65,6 +65,12 @@ def address_name(run, task, index) -> Column:
     return F.concat_ws("_", col_(run), col_(task), (col_(index) + 1).cast("string"))
 
 
+def user_data(hostname) -> Column:
+    """PRJ-3: base64 of the cloud-config that sets the hostname."""
+    # fixed value: cloud-config header
+    return F.base64(F.encode(F.concat(F.lit("#cloud-config\nhostname: "), col_(hostname)), "UTF-8"))
+
+
 def resource_tags(run, task, index, hours, actor) -> Column:
     """PRJ-3: the four-key tag map."""
     # fixed values: tag keys

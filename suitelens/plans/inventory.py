@@ -118,6 +118,7 @@ def named_resources(spark, sf_dir):
         "c_custkey",
         C.instance_name(run, task, idx.cast("string"), hours, actor).alias("instance_name"),
         C.node_hostname(idx.cast("string"), task).alias("hostname"),
+        C.user_data(C.node_hostname(idx.cast("string"), task)).alias("user_data"),
         C.cluster_hostname(idx.cast("string")).alias("cluster_hostname"),
         C.address_name(run, task, idx).alias("address_name"),
         tags["Name"].alias("tag_name"), tags["Index"].alias("tag_index"),
@@ -306,6 +307,7 @@ WITH c AS (SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS run, lower(c_mktseg
 SELECT c_custkey,
        run || '-' || task || '-node' || c_custkey || '-timeout' || hours || '-' || actor AS instance_name,
        'node' || c_custkey || '-' || task AS hostname,
+       to_base64(encode('#cloud-config' || chr(10) || 'hostname: node' || c_custkey || '-' || task)) AS user_data,
        'node-' || c_custkey AS cluster_hostname,
        run || '_' || task || '_' || (c_custkey + 1) AS address_name,
        run || '-' || task AS tag_name, CAST(c_custkey AS VARCHAR) AS tag_index, hours AS tag_hours,

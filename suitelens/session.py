@@ -92,28 +92,3 @@ def shared_root(spark: SparkSession) -> str:
 def new_shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared root (never reused, never cleared)."""
     return f"{shared_root(spark)}/suitelens/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def to_local_path(uri: str) -> str:
-    """``file:/x`` or ``file:///x`` -> ``/x``; other strings unchanged."""
-    if uri.startswith("file://"):
-        return uri[len("file://"):]
-    if uri.startswith("file:"):
-        return uri[len("file:"):]
-    return uri
-
-
-def ensure_dir(uri: str) -> None:
-    """Create a folder on the local or a Hadoop-compatible file system via pyarrow."""
-    fs, path = _fs(uri)
-    fs.create_dir(path, recursive=True)
-
-
-def _fs(uri: str):
-    import pyarrow.fs as pafs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), os.path.abspath(uri)
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), to_local_path(uri)
-    return pafs.FileSystem.from_uri(uri)

@@ -59,3 +59,11 @@ def test_read_nodes(spark):
     nodes, bad = src.read_nodes(spark, root)
     assert sorted(r.hostname for r in nodes.collect()) == ["node0-t", "node1-t"]
     assert sorted(r.line for r in bad.collect()) == ["a b c d e", "bad line here"]
+
+
+def test_artifact_counts_none_found(spark):
+    from suitelens.sources.reports import artifact_counts
+    root = tempfile.mkdtemp(prefix="suitelens-test-none-")
+    _write(root, "x/readme.txt", "nothing")
+    got = sorted(tuple(r) for r in artifact_counts(scan_artifacts(spark, root)).collect())
+    assert got == [("crash", 0), ("report", 0)]
