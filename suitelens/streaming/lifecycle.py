@@ -19,15 +19,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from suitelens.operators.lifecycle import (ACTIVE, DONE, ERROR, FAIL, FAILED, MAX_POLLS, READY,
                                            READY_TIMEOUT_S, SUCCESS, TIMED_OUT)
 
-READINESS_OUT = "resource long, first_seen timestamp, state string, decided_at timestamp"
+READINESS_OUT = "resource long, first_seen_us long, state string, decided_at_us long"
 READINESS_STATE = "first_seen_us long, decided boolean"
 JOBS_OUT = "job_id long, state string, decided_poll long, fail_reason string"
 JOBS_STATE = "polls long, decided boolean"
 
 
 def _decision(resource, first_us: int, st: str, at_us: int) -> pd.DataFrame:
-    return pd.DataFrame({"resource": [resource], "first_seen": [pd.Timestamp(first_us, unit="us")],
-                         "state": [st], "decided_at": [pd.Timestamp(at_us, unit="us")]})
+    # epoch microseconds: independent of the session time zone; Spark converts back
+    return pd.DataFrame({"resource": [resource], "first_seen_us": [first_us], "state": [st],
+                         "decided_at_us": [at_us]})
 
 
 def _readiness_fn(timeout_s: int):
@@ -48,8 +49,8 @@ def _readiness_fn(timeout_s: int):
             first_us, decided = None, False
         if decided:
             return
-        pdf = pdf.sort_values(["ts", "tiebreak"], kind="stable")
-        ts_us = (pdf["ts"].astype("datetime64[ns]").astype("int64") // 1_000).tolist()
+        pdf = pdf.sort_values(["ts_us", "tiebreak"], kind="stable")
+        ts_us = [int(x) for x in pdf["ts_us"].tolist()]
         if first_us is None:
             first_us = ts_us[0]
         deadline = first_us + timeout_us
@@ -77,11 +78,14 @@ def track_readiness_stream(events: DataFrame, resource: str, ts: str, status: st
     watermark passes first_seen + timeout (event-time timeout).
     """
     src = events.select(F.col(resource).cast("long").alias("resource"), F.col(ts).alias("ts"),
+                        F.unix_micros(F.col(ts)).alias("ts_us"),
                         F.col(status).alias("status"), F.col(tiebreak).cast("long").alias("tiebreak"))
-    return (src.withWatermark("ts", delay)
-            .groupBy("resource")
-            .applyInPandasWithState(_readiness_fn(timeout_s), READINESS_OUT, READINESS_STATE,
-                                    "append", GroupStateTimeout.EventTimeTimeout))
+    out = (src.withWatermark("ts", delay)
+           .groupBy("resource")
+           .applyInPandasWithState(_readiness_fn(timeout_s), READINESS_OUT, READINESS_STATE,
+                                   "append", GroupStateTimeout.EventTimeTimeout))
+    return out.select("resource", F.timestamp_micros("first_seen_us").alias("first_seen"), "state",
+                      F.timestamp_micros("decided_at_us").alias("decided_at"))
 
 
 def _jobs_fn(max_polls: int):
@@ -90,7 +94,7 @@ def _jobs_fn(max_polls: int):
         polls, decided = state.get if state.exists else (0, False)
         if decided:
             return
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "tiebreak"], kind="stable")
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts_us", "tiebreak"], kind="stable")
         for st, reason in zip(pdf["status"].tolist(), pdf["fail_reason"].tolist()):
             polls += 1
             out = None
@@ -113,7 +117,8 @@ def _jobs_fn(max_polls: int):
 def track_jobs_stream(polls: DataFrame, job: str, ts: str, status: str, reason: str, tiebreak: str,
                       max_polls: int = MAX_POLLS) -> DataFrame:
     """STR-2 on a stream: a poll counter per job; decided at SUCCESS, FAIL or poll ``max_polls``."""
-    src = polls.select(F.col(job).cast("long").alias("job_id"), F.col(ts).alias("ts"),
+    ts_us = F.unix_micros(F.col(ts).cast("timestamp"))
+    src = polls.select(F.col(job).cast("long").alias("job_id"), ts_us.alias("ts_us"),
                        F.col(status).alias("status"), F.col(reason).alias("fail_reason"),
                        F.col(tiebreak).cast("long").alias("tiebreak"))
     return (src.groupBy("job_id")

@@ -4,6 +4,8 @@ import datetime as dt
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from suitelens.operators import lifecycle as lc
 from suitelens.streaming.lifecycle import track_jobs_stream, track_readiness_stream
 from suitelens.streaming.runner import run_available_now
@@ -115,3 +117,25 @@ def test_readiness_stream_across_micro_batches(spark):
     batch = {r.rid: (r.state, r.decided_at) for r in
              lc.track_readiness(spark.createDataFrame(rows, schema), resource="rid", tiebreak="id").collect()}
     assert got == {k: v for k, v in batch.items() if k != ids["sentinel"]}
+
+
+def test_readiness_stream_in_other_session_time_zone(spark):
+    """Decisions must not shift when the session time zone is not UTC."""
+    key = "spark.sql.session.timeZone"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "America/Los_Angeles")
+    try:
+        ids = {r: i for i, r in enumerate(sorted({x[0] for x in READY_ROWS}))}
+        rows = [(ids[r], i, t, s) for r, i, t, s in READY_ROWS]
+        df = spark.createDataFrame(rows, "rid long, id long, ts timestamp_ntz, status string")
+        batch = {r.rid: (r.state, r.decided_at) for r in
+                 lc.track_readiness(df, resource="rid", tiebreak="id").collect()}
+        src = _as_stream(spark, df).withColumn("ts", F.col("ts").cast("timestamp"))
+        out = run_available_now(track_readiness_stream(src, "rid", "ts", "status", "id", 300, "0 seconds"),
+                                spark, "test-readiness-tz")
+        got = {r.resource: (r.state, r.decided_at) for r in
+               out.select("resource", "state", F.col("decided_at").cast("timestamp_ntz").alias("decided_at"))
+               .collect()}
+        assert got == {k: v for k, v in batch.items() if k != ids["sentinel"]}
+    finally:
+        spark.conf.set(key, old)
