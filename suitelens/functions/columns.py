@@ -37,11 +37,15 @@ def format_duration(seconds) -> Column:
     return F.format_string("%dm %.2fs", mins.cast("long"), secs)
 
 
-def expiry_time(ts, hours) -> Column:
-    """PRJ-4: ``ts + hours`` formatted ``%Y-%m-%dT%H:%M:%SZ`` (session time zone UTC)."""
+def expiry_time(ts, hours, ltz: bool = False) -> Column:
+    """PRJ-4: ``ts + hours`` formatted ``%Y-%m-%dT%H:%M:%SZ``.
+
+    ``ts`` is a UTC wall-clock TIMESTAMP_NTZ; with ``ltz=True`` it is a TIMESTAMP
+    (an instant), first turned into its UTC wall clock, whatever the session time zone.
+    """
     h = col_(hours) if not isinstance(hours, int) else F.lit(hours)
-    return F.date_format(col_(ts) + F.make_interval(hours=h.cast("int")),
-                         "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    wall = F.convert_timezone(None, F.lit("UTC"), col_(ts).cast("timestamp_ntz")) if ltz else col_(ts)
+    return F.date_format(wall + F.make_interval(hours=h.cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def instance_name(run, task, index, hours, actor) -> Column:

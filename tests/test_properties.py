@@ -2,6 +2,7 @@
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from suitelens.functions import columns as C
 from suitelens.operators import inventory as inv
@@ -86,3 +87,18 @@ def test_text_helpers_match_python(spark, texts, secs):
         m, r = divmod(float(s), 60)
         want[i] = f"{int(m)}m {r:.2f}s"
     assert got == want
+
+
+def test_expiry_time_ltz_any_session_zone(spark):
+    import datetime as dt
+    key = "spark.sql.session.timeZone"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "Asia/Shanghai")
+        df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 12, 0),)], "t timestamp_ntz")
+        inst = df.select(F.convert_timezone(F.lit("UTC"), F.lit("Asia/Shanghai"), F.col("t"))
+                         .cast("timestamp").alias("t"))   # the instant 2024-01-01T12:00Z
+        assert inst.select(C.expiry_time("t", 3, ltz=True).alias("e")).first().e == "2024-01-01T15:00:00Z"
+        assert df.select(C.expiry_time("t", 3).alias("e")).first().e == "2024-01-01T15:00:00Z"
+    finally:
+        spark.conf.set(key, old)
