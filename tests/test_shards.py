@@ -32,3 +32,14 @@ def test_assign_and_cover(spark):
     cover = [(r.suite, r.n_shards) for r in shards.shard_cover_check(suites, shards.assign_shards(suites, rules))
              .collect()]
     assert cover == [("s3", 2)]
+
+
+def test_maybe_broadcast_checks_rows_and_bytes(spark):
+    from suitelens.operators.util import maybe_broadcast
+    small = spark.range(10)
+    big_rows = spark.range(200)
+    wide = spark.range(5).selectExpr("repeat('x', 1000) AS s")
+    hint = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hint(maybe_broadcast(small, max_rows=100))
+    assert not hint(maybe_broadcast(big_rows, max_rows=100))
+    assert not hint(maybe_broadcast(wide, max_rows=100, max_bytes=1000))
