@@ -78,7 +78,13 @@ def upsert_registry(registry: DataFrame, incoming: DataFrame, line_col: str = "l
         kept = old.join(hit, "_t", "left_anti")
     new = incoming.select(F.concat_ws("\t", F.col(ip_col), F.col(host_col)).alias(line_col),
                           F.lit("new").alias("source"))
-    return kept.select(line_col, F.lit("kept").alias("source")).unionByName(new)
+    return append_rows(kept.select(line_col, F.lit("kept").alias("source")), new)
+
+
+def append_rows(df: DataFrame, other: DataFrame) -> DataFrame:
+    """SET-1: concatenate by column *name* (the other side may list columns in another
+    order or lack some, which become NULL). No shuffle."""
+    return df.unionByName(other, allowMissingColumns=True)
 
 
 def failed_ids(attempted: DataFrame, succeeded: DataFrame, key: str, succeeded_key: str | None = None

@@ -111,3 +111,10 @@ def test_first_with_prefix(spark):
     got = {r.run: r.first_hostname for r in inv.first_with_prefix(df, "run", "hostname", "node0-", "pos", runs)
            .collect()}
     assert got == {"r": "node0-y", "s": None}
+
+
+def test_append_rows_by_name(spark):
+    a = spark.createDataFrame([("p", 1, 2)], "Path string, NumTests int, NumFails int")
+    b = spark.createDataFrame([(5, "Total")], "NumTests int, Path string")
+    got = sorted(tuple(r) for r in inv.append_rows(a, b).collect())
+    assert got == [("Total", 5, None), ("p", 1, 2)]
