@@ -2,9 +2,8 @@
 and the reader for SNK-2's instance TSV.
 
 The line-based readers need "is this the first line of its file". A file may be
-split over several tasks, so this is computed, not assumed: among the lines read
-from the split at offset 0 of a file, the one with the smallest in-split sequence
-number is the first line. The per-file table is one row per file.
+split over several tasks, so this is computed, not assumed: it is the first row
+of the file's offset-0 split, marked inside the task that reads that split.
 """
 
 from __future__ import annotations
@@ -22,12 +21,32 @@ INVENTORY_SCHEMA = ("index long, id string, name string, private_ip string, publ
 ID_LIST_HEADERS = ("id,ip", "id\tip")
 
 
+def _first_line_batches(batches):
+    """Mark the first row of every (file, block 0) run in a partition's row order."""
+    prev_file, prev_block = None, None
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        f, b = pdf["file"], pdf["block"]
+        pf, pb = f.shift(1), b.shift(1)
+        pf.iloc[0], pb.iloc[0] = prev_file, prev_block
+        first = (b == 0) & ((f != pf) | (b != pb))
+        prev_file, prev_block = f.iloc[-1], b.iloc[-1]
+        yield pdf.assign(is_first=first.astype(bool))
+
+
 def with_first_line_flag(lines: DataFrame, out: str = "is_first") -> DataFrame:
-    """Add ``out`` = the line is the first line of its file (needs ``file, block, seq``)."""
-    firsts = (lines.where(F.col("block") == 0).groupBy("file")
-              .agg(F.min("seq").alias("_first_seq")).withColumnRenamed("file", "_ffile"))
-    j = lines.join(firsts, (F.col("file") == F.col("_ffile")) & (F.col("seq") == F.col("_first_seq")), "left")
-    return j.withColumn(out, F.col("_first_seq").isNotNull()).drop("_ffile", "_first_seq")
+    """Add ``out`` = the line is the first line of its file (needs ``file, block, seq, value``
+    straight from ``scan_log_lines``).
+
+    A split is read by one task, in file order, so the first line of a file is the
+    first row of its offset-0 split within that task's row order. This is marked per
+    partition (Arrow batches, no shuffle, no per-file table to join back), which
+    holds for any number of files and for files split over many tasks.
+    """
+    schema = "file string, block long, seq long, value string, is_first boolean"
+    flagged = lines.select("file", "block", "seq", "value").mapInPandas(_first_line_batches, schema)
+    return flagged.withColumnRenamed("is_first", out) if out != "is_first" else flagged
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
