@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Python's str.strip() removes whitespace at both ends; Spark's trim() only
-# removes spaces. This is the regex form of the Python rule for ASCII text.
-_WS_EDGES = r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$"
+# removes spaces. fixed values: the characters Python's str.isspace() accepts.
+_PY_SPACE = (r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F"
+             r"\u205F\u3000]")
+_WS_EDGES = f"^{_PY_SPACE}+|{_PY_SPACE}+$"
 
 
 def col_(c) -> Column:
@@ -19,6 +21,13 @@ def py_strip(c) -> Column:
     return F.regexp_replace(col_(c), _WS_EDGES, "")
 
 
+def py_split(c) -> Column:
+    """Python ``str.split()`` (no argument) on a string column: strip, then split on
+    runs of whitespace; a blank string gives an empty array."""
+    t = py_strip(c)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, _PY_SPACE + "+"))
+
+
 def shorten_command(c, limit: int = 60, head: int = 50, tail: int = 5) -> Column:
     """PRJ-6: shorter than ``limit`` chars -> as is, else head + marker + tail."""
     c = col_(c)

@@ -85,7 +85,7 @@ def select_suite_command(tasks: DataFrame, task_col: str = "task", rules: DataFr
     rules = rules if rules is not None else named_shard_rules(spark)
     t = F.col(task_col)
     if strip_prefix:
-        t = F.when(t.startswith(strip_prefix), F.expr(f"substring({task_col}, {len(strip_prefix) + 1})")) \
+        t = F.when(t.startswith(strip_prefix), F.expr(f"substring(`{task_col}`, {len(strip_prefix) + 1})")) \
             .otherwise(t)
     keyed = tasks.withColumn("_task", t)
     r = maybe_broadcast(rules.select(F.col("task").alias("_rtask"), F.col("module").alias("_rmodule"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitelens.functions.columns import py_strip
+from suitelens.functions.columns import py_split, py_strip
 from suitelens.operators.inventory import NA
 from suitelens.sources.logs import scan_log_lines
 
@@ -87,9 +87,7 @@ def read_nodes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Whitespace-split; exactly 4 fields -> node; other non-blank lines -> malformed.
     """
     df = spark.read.format("text").load(path)
-    t = py_strip("value")
-    parts = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
-    p = df.select("value", parts.alias("p"))
+    p = df.select("value", py_split("value").alias("p"))
     nodes = p.where(F.size("p") == 4).select(
         F.col("p")[0].alias("hostname"), F.col("p")[1].alias("public_ip"),
         F.col("p")[2].alias("server_id"), F.col("p")[3].alias("private_ip"))

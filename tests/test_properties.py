@@ -102,3 +102,21 @@ def test_expiry_time_ltz_any_session_zone(spark):
         assert df.select(C.expiry_time("t", 3).alias("e")).first().e == "2024-01-01T15:00:00Z"
     finally:
         spark.conf.set(key, old)
+
+
+@SETTINGS
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab \t\n\r\x0b\x0c\x1c\x85\xa0 　​")),
+                        max_size=8), min_size=1, max_size=10))
+def test_py_strip_matches_python(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", C.py_strip("t").alias("s")).collect()}
+    assert got == {i: t.strip() for i, t in enumerate(texts)}
+
+
+@SETTINGS
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab \t\x0b\x1c\xa0 　")), max_size=10),
+                min_size=1, max_size=10))
+def test_py_split_matches_python(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: list(r.s) for r in df.select("i", C.py_split("t").alias("s")).collect()}
+    assert got == {i: t.split() for i, t in enumerate(texts)}
