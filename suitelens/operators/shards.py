@@ -114,7 +114,8 @@ def assign_shards(suites: DataFrame, rules: DataFrame, suite_col: str = "suite",
     r = maybe_broadcast(rules.select(F.col("task").alias("shard"), F.col("module").alias("_rmodule"),
                                      F.coalesce("included", F.array().cast("array<string>")).alias("_inc"),
                                      F.coalesce("excluded", F.array().cast("array<string>")).alias("_exc")))
-    tags = F.coalesce(F.col(tags_col), F.array().cast("array<string>"))
+    # NULL elements would make arrays_overlap NULL (neither in nor out): drop them
+    tags = F.array_compact(F.coalesce(F.col(tags_col), F.array().cast("array<string>")))
     covers = (
         ((F.size("_inc") == 0) & (F.size("_exc") == 0))
         | ((F.size("_inc") > 0) & F.arrays_overlap(tags, F.col("_inc")))

@@ -43,3 +43,10 @@ def test_maybe_broadcast_checks_rows_and_bytes(spark):
     assert hint(maybe_broadcast(small, max_rows=100))
     assert not hint(maybe_broadcast(big_rows, max_rows=100))
     assert not hint(maybe_broadcast(wide, max_rows=100, max_bytes=1000))
+
+
+def test_null_tags_do_not_hide_a_suite(spark):
+    suites = spark.createDataFrame([("s", "hive", [None, "org.apache.spark.tags.Other"])],
+                                   "suite string, module string, tags array<string>")
+    got = [r.shard for r in shards.assign_shards(suites, shards.named_shard_rules(spark)).collect()]
+    assert got == ["hive-3"]
