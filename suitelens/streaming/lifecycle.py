@@ -3,8 +3,12 @@
 Both are keyed state machines run with ``applyInPandasWithState``: state per
 resource is a handful of scalars, events of a key in one micro-batch arrive as one
 pandas frame and are walked in (ts, id) order. Decisions are emitted once
-(append mode); a decided key keeps a small "decided" state so later events of the
-same resource do not open a new run.
+(append mode). A decided key keeps a small "decided" state, so later events of
+the same resource do not open a new run, until the watermark passes its decision
+time plus ``retain_s``; then the state is dropped (event-time timeout), so state
+does not grow with the history of the stream. Undecided jobs idle for
+``retain_s`` are dropped the same way (the batch form reports them ``pending``).
+All times inside are epoch microseconds computed by Spark.
 """
 
 from __future__ import annotations
@@ -20,9 +24,9 @@ from suitelens.operators.lifecycle import (ACTIVE, DONE, ERROR, FAIL, FAILED, MA
                                            READY_TIMEOUT_S, SUCCESS, TIMED_OUT)
 
 READINESS_OUT = "resource long, first_seen_us long, state string, decided_at_us long"
-READINESS_STATE = "first_seen_us long, decided boolean"
+READINESS_STATE = "first_seen_us long, decided boolean, expire_us long"
 JOBS_OUT = "job_id long, state string, decided_poll long, fail_reason string"
-JOBS_STATE = "polls long, decided boolean"
+JOBS_STATE = "polls long, decided boolean, expire_us long"
 
 
 def _decision(resource, first_us: int, st: str, at_us: int) -> pd.DataFrame:
@@ -31,24 +35,47 @@ def _decision(resource, first_us: int, st: str, at_us: int) -> pd.DataFrame:
                          "decided_at_us": [at_us]})
 
 
-def _readiness_fn(timeout_s: int):
+def _expired(state: GroupState, at_us: int) -> bool:
+    """The watermark has passed ``at_us``: the key's state is logically gone even if
+    Spark has not fired its timeout yet (keys with new data are called with the data)."""
+    return at_us // 1000 <= state.getCurrentWatermarkMs()
+
+
+def _keep_until(state: GroupState, value: tuple, at_us: int) -> None:
+    """Store ``value`` and drop it once the watermark passes ``at_us`` (now, if it has).
+
+    The timeout must be armed again on every call for the key (Spark clears it
+    otherwise), so the expiry time is part of the stored value.
+    """
+    if _expired(state, at_us):
+        state.remove()
+    else:
+        state.update(value)
+        state.setTimeoutTimestamp(at_us // 1000)
+
+
+def _readiness_fn(timeout_s: int, retain_s: int):
     timeout_us = int(timeout_s) * 1_000_000
+    retain_us = int(retain_s) * 1_000_000
 
     def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         resource = key[0]
         if state.hasTimedOut:
-            first_us, decided = state.get
-            if not decided:
-                state.update((first_us, True))
-                yield _decision(resource, first_us, TIMED_OUT, first_us + timeout_us)
+            first_us, decided, _ = state.get
+            if decided:              # retention over: forget the resource
+                state.remove()
+                return
+            at = first_us + timeout_us
+            _keep_until(state, (first_us, True, at + retain_us), at + retain_us)
+            yield _decision(resource, first_us, TIMED_OUT, at)
             return
         pdf = pd.concat(list(batches), ignore_index=True)
-        if state.exists:
-            first_us, decided = state.get
-        else:
-            first_us, decided = None, False
-        if decided:
+        first_us, decided, expire_us = state.get if state.exists else (None, False, None)
+        if decided and not _expired(state, expire_us):
+            _keep_until(state, (first_us, True, expire_us), expire_us)   # later events ignored
             return
+        if decided:                  # expired but not yet evicted: these events start a new run
+            first_us, decided = None, False
         pdf = pdf.sort_values(["ts_us", "tiebreak"], kind="stable")
         ts_us = [int(x) for x in pdf["ts_us"].tolist()]
         if first_us is None:
@@ -56,22 +83,22 @@ def _readiness_fn(timeout_s: int):
         deadline = first_us + timeout_us
         for t, st in zip(ts_us, pdf["status"].tolist()):
             if st in (ACTIVE, ERROR) and t < deadline:
-                state.update((first_us, True))
+                _keep_until(state, (first_us, True, t + retain_us), t + retain_us)
                 yield _decision(resource, first_us, READY if st == ACTIVE else FAILED, t)
                 return
-        state.update((first_us, False))
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        if deadline < wm_us:  # already past: decide now
-            state.update((first_us, True))
+        if deadline < state.getCurrentWatermarkMs() * 1000:  # already past: decide now
+            _keep_until(state, (first_us, True, deadline + retain_us), deadline + retain_us)
             yield _decision(resource, first_us, TIMED_OUT, deadline)
         else:
+            state.update((first_us, False, deadline))
             state.setTimeoutTimestamp(deadline // 1000)
 
     return fn
 
 
 def track_readiness_stream(events: DataFrame, resource: str, ts: str, status: str, tiebreak: str,
-                           timeout_s: int = READY_TIMEOUT_S, delay: str = "1 hour") -> DataFrame:
+                           timeout_s: int = READY_TIMEOUT_S, delay: str = "1 hour",
+                           retain_s: int | None = None) -> DataFrame:
     """STR-1 on a stream. ``ts`` must be a TIMESTAMP (not NTZ) for the watermark.
 
     A resource that sees no terminal status is reported ``timed_out`` once the
@@ -82,20 +109,29 @@ def track_readiness_stream(events: DataFrame, resource: str, ts: str, status: st
                         F.col(status).alias("status"), F.col(tiebreak).cast("long").alias("tiebreak"))
     out = (src.withWatermark("ts", delay)
            .groupBy("resource")
-           .applyInPandasWithState(_readiness_fn(timeout_s), READINESS_OUT, READINESS_STATE,
+           .applyInPandasWithState(_readiness_fn(timeout_s, retain_s if retain_s is not None else timeout_s),
+                                   READINESS_OUT, READINESS_STATE,
                                    "append", GroupStateTimeout.EventTimeTimeout))
     return out.select("resource", F.timestamp_micros("first_seen_us").alias("first_seen"), "state",
                       F.timestamp_micros("decided_at_us").alias("decided_at"))
 
 
-def _jobs_fn(max_polls: int):
+def _jobs_fn(max_polls: int, retain_s: int):
+    retain_us = int(retain_s) * 1_000_000
+
     def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         job = key[0]
-        polls, decided = state.get if state.exists else (0, False)
-        if decided:
+        if state.hasTimedOut:        # decided long ago, or idle: forget the job
+            state.remove()
             return
+        polls, decided, expire_us = state.get if state.exists else (0, False, None)
+        if expire_us is not None and _expired(state, expire_us):
+            polls, decided = 0, False   # expired but not yet evicted: a new run
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts_us", "tiebreak"], kind="stable")
-        for st, reason in zip(pdf["status"].tolist(), pdf["fail_reason"].tolist()):
+        if decided:                  # later polls of a decided job are ignored
+            _keep_until(state, (polls, True, expire_us), expire_us)
+            return
+        for t, st, reason in zip(pdf["ts_us"].tolist(), pdf["status"].tolist(), pdf["fail_reason"].tolist()):
             polls += 1
             out = None
             if st == SUCCESS:
@@ -105,22 +141,25 @@ def _jobs_fn(max_polls: int):
             elif polls >= max_polls:
                 out = (TIMED_OUT, None)
             if out is not None:
-                state.update((polls, True))
+                at = int(t) + retain_us
+                _keep_until(state, (polls, True, at), at)
                 yield pd.DataFrame({"job_id": [job], "state": [out[0]], "decided_poll": [polls],
                                     "fail_reason": pd.Series([out[1]], dtype=object)})
                 return
-        state.update((polls, False))
+        at = int(pdf["ts_us"].iloc[-1]) + retain_us   # idle expiry after the last poll
+        _keep_until(state, (polls, False, at), at)
 
     return fn
 
 
 def track_jobs_stream(polls: DataFrame, job: str, ts: str, status: str, reason: str, tiebreak: str,
-                      max_polls: int = MAX_POLLS) -> DataFrame:
-    """STR-2 on a stream: a poll counter per job; decided at SUCCESS, FAIL or poll ``max_polls``."""
-    ts_us = F.unix_micros(F.col(ts).cast("timestamp"))
-    src = polls.select(F.col(job).cast("long").alias("job_id"), ts_us.alias("ts_us"),
+                      max_polls: int = MAX_POLLS, delay: str = "1 hour", retain_s: int = 24 * 3600) -> DataFrame:
+    """STR-2 on a stream: a poll counter per job; decided at SUCCESS, FAIL or poll ``max_polls``.
+    State is dropped ``retain_s`` after the decision or after the last poll of an idle job."""
+    t = F.col(ts).cast("timestamp")
+    src = polls.select(F.col(job).cast("long").alias("job_id"), t.alias("ts"), F.unix_micros(t).alias("ts_us"),
                        F.col(status).alias("status"), F.col(reason).alias("fail_reason"),
                        F.col(tiebreak).cast("long").alias("tiebreak"))
-    return (src.groupBy("job_id")
-            .applyInPandasWithState(_jobs_fn(max_polls), JOBS_OUT, JOBS_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
+    return (src.withWatermark("ts", delay).groupBy("job_id")
+            .applyInPandasWithState(_jobs_fn(max_polls, retain_s), JOBS_OUT, JOBS_STATE, "append",
+                                    GroupStateTimeout.EventTimeTimeout))

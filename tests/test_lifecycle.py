@@ -139,3 +139,22 @@ def test_readiness_stream_in_other_session_time_zone(spark):
         assert got == {k: v for k, v in batch.items() if k != ids["sentinel"]}
     finally:
         spark.conf.set(key, old)
+
+
+def test_readiness_stream_state_expires_after_retention(spark):
+    import time as _time
+    schema = "rid long, id long, ts timestamp, status string"
+    batches = [[(1, 1, _t(0), "ACTIVE")],
+               [(9, 2, _t(10000), "BUILD")],                           # watermark -> 10000 s
+               [(1, 3, _t(20000), "BUILD"), (9, 4, _t(30000), "BUILD")]]
+    d = tempfile.mkdtemp(prefix="suitelens-test-retain-")
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(d, f"in{n}"))
+        _time.sleep(1.1)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in*"))
+    out = run_available_now(track_readiness_stream(src, "rid", "ts", "status", "id", 300, "0 seconds",
+                                                   retain_s=300), spark, "test-retain")
+    got = sorted((r.resource, r.state, r.decided_at) for r in out.collect())
+    # resource 1: ready at 0; its state is dropped once the watermark passes 300 s, so the
+    # event at 20000 s starts a new run, which times out at 20300 s
+    assert got == [(1, "ready", _t(0)), (1, "timed_out", _t(20300)), (9, "timed_out", _t(10300))]
