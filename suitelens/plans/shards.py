@@ -20,7 +20,7 @@ def task_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event asks for one of the 31 shards (by user); error events use the asan- prefix."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     names = F.array(*[F.lit(s) for s in shards.ALL_SHARDS])
-    base = F.element_at(names, (F.col("user_id") % len(shards.ALL_SHARDS) + 1).cast("int"))
+    base = F.element_at(names, (F.pmod(F.col("user_id"), F.lit(len(shards.ALL_SHARDS))) + 1).cast("int"))
     task = F.when(F.col("event_type") == "error", F.concat(F.lit(shards.ASAN_PREFIX), base)).otherwise(base)
     return ev.select("event_id", task.alias("task"))
 
@@ -112,7 +112,7 @@ WITH rules(rtask, rmodule, inc, exc) AS (VALUES
 {_rules_values()}),
 t AS (SELECT event_id,
              CASE WHEN event_type = 'error' THEN 'asan-' ELSE '' END
-               || ({_sql_list(shards.ALL_SHARDS)})[user_id % {len(shards.ALL_SHARDS)} + 1] AS task
+               || ({_sql_list(shards.ALL_SHARDS)})[((user_id % {len(shards.ALL_SHARDS)}) + {len(shards.ALL_SHARDS)}) % {len(shards.ALL_SHARDS)} + 1] AS task
       FROM events),
 k AS (SELECT event_id, task, CASE WHEN starts_with(task, 'asan-') THEN substr(task, 6) ELSE task END AS base FROM t),
 j AS (SELECT event_id, task, coalesce(rmodule, base) AS module,
