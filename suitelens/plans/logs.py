@@ -105,7 +105,7 @@ QUERIES = {
     "tail_lines": tail_lines,
 }
 
-_OD = """
+ORDER_COUNTS_SQL = """
 li AS (SELECT l_orderkey, count(*) AS n,
               count(*) FILTER (WHERE l_returnflag = 'R') AS r,
               count(*) FILTER (WHERE l_returnflag = 'A') AS a
@@ -115,7 +115,7 @@ od AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate
        FROM orders LEFT JOIN li ON l_orderkey = o_orderkey)
 """
 
-_VERDICT = "WITH " + _OD + """,
+_VERDICT = "WITH " + ORDER_COUNTS_SQL + """,
 per_cust AS (SELECT o_custkey, count(*) AS n_orders,
                     bool_or(r = 0 AND o_orderstatus <> 'P') AS clean
              FROM od GROUP BY o_custkey),
@@ -130,7 +130,7 @@ v AS (
 """
 
 ORACLES = {
-    "log_counters": "WITH " + _OD + """
+    "log_counters": "WITH " + ORDER_COUNTS_SQL + """
 SELECT strftime(o_orderdate, '%Y-%m') AS log,
        CAST(count(*) + count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS n_counter_lines,
        CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS n_unparsed,
