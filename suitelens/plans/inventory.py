@@ -190,8 +190,8 @@ def line_jobs(spark, sf_dir) -> DataFrame:
     sub = lambda fail, kind, reason: F.struct(
         F.when(fail, F.lit("FAIL")).otherwise(F.lit("SUCCESS")).alias("status"), F.lit(kind).alias("type"),
         F.when(fail, reason).alias("fail_reason"))
-    jobs = F.array(sub(r, "deleteServer", F.concat(F.lit("returned on "), day)),
-                   sub(o, "deleteVolume", F.concat(F.lit("volume busy since "), day)))
+    jobs = F.array(sub(r, "server", F.concat(F.lit("returned on "), day)),
+                   sub(o, "volume", F.concat(F.lit("volume busy since "), day)))
     job_id = F.concat(s("l_orderkey"), F.lit("-"), s("l_linenumber"))
     return li.select(job_id.alias("job_id"), jobs.alias("sub_jobs"))
 
@@ -362,11 +362,11 @@ SELECT c_custkey, line FROM (
 WHERE NOT regexp_matches(line, '\\b(node\\d+-building)\\b')
 """,
     "failed_sub_jobs": """
-SELECT l_orderkey || '-' || l_linenumber AS job_id, 'deleteServer' AS type,
+SELECT l_orderkey || '-' || l_linenumber AS job_id, 'server' AS type,
        'returned on ' || strftime(l_shipdate, '%Y-%m-%d') AS fail_reason
 FROM lineitem WHERE l_returnflag = 'R'
 UNION ALL
-SELECT l_orderkey || '-' || l_linenumber, 'deleteVolume', 'volume busy since ' || strftime(l_shipdate, '%Y-%m-%d')
+SELECT l_orderkey || '-' || l_linenumber, 'volume', 'volume busy since ' || strftime(l_shipdate, '%Y-%m-%d')
 FROM lineitem WHERE l_linestatus = 'O'
 """,
     "first_prefix": """

@@ -83,9 +83,9 @@ def test_filters(spark):
                                    ("1.1.1.1 node-1",)], "line string")
     assert sorted(r.line for r in inv.drop_node_lines(lines, "a.b").collect()) == [
         "1.1.1.1 node-1", "1.1.1.1 node1-aXb", "1.1.1.1 xnode1-a.b"]
-    jobs = spark.createDataFrame([(1, [("FAIL", "deleteVolume", "busy"), ("SUCCESS", "deleteServer", None)])],
+    jobs = spark.createDataFrame([(1, [("FAIL", "volume", "busy"), ("SUCCESS", "server", None)])],
                                  "job_id int, sub_jobs array<struct<status:string,type:string,fail_reason:string>>")
-    assert [tuple(r) for r in inv.failed_sub_jobs(jobs).collect()] == [(1, "deleteVolume", "busy")]
+    assert [tuple(r) for r in inv.failed_sub_jobs(jobs).collect()] == [(1, "volume", "busy")]
 
 
 def test_tallies(spark):
