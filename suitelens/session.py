@@ -70,18 +70,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate files.
-
-    On a cluster this is ``spark.checkpoint.dir`` (or the context's checkpoint
-    directory). Only when neither is set -- local runs and tests -- a private
-    temporary folder is created and registered as the checkpoint directory.
+    """The shared folder for intermediate files, as a fully qualified URI.
+
+    On a cluster this is the checkpoint directory the cluster names
+    (``spark.checkpoint.dir``). The context's value comes first because Spark has
+    already qualified it with the file system scheme (``hdfs://...``, ``file:/...``);
+    the executor-side writers need the scheme, since a bare path would mean local
+    disk to them but the default file system to Spark. Only when nothing is set
+    (local runs, tests) is a private temporary folder created and registered as
+    the checkpoint directory.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = None
+    try:
+        root = spark.sparkContext.getCheckpointDir()
+    except Exception:  # pragma: no cover - e.g. Spark Connect
+        root = None
     if not root:
-        try:
-            root = spark.sparkContext.getCheckpointDir()
-        except Exception:  # pragma: no cover - e.g. Spark Connect
-            root = None
+        root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="suitelens-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
