@@ -15,8 +15,8 @@ from suitelens.plans.logs import ORACLES as LOG_ORACLES
 from suitelens.plans.logs import month_log_lines, write_logs
 from suitelens.session import new_shared_dir, table
 from suitelens.streaming.lifecycle import track_jobs_stream, track_readiness_stream
-from suitelens.streaming.logs import stream_log_counters
-from suitelens.streaming.runner import run_available_now
+from suitelens.streaming.logs import stream_log_totals
+from suitelens.streaming.runner import run_available_now, run_complete_to_table
 
 READY_TIMEOUT_S = 24 * 3600   # events are sparse (about 67 per user over 30 days)
 WATERMARK_DELAY = "1 hour"
@@ -91,12 +91,13 @@ def jobs_stream(spark, sf_dir):
 
 
 def counters_stream(spark, sf_dir):
-    """STR-3: month logs land as files; the stream extracts counters; totals per log."""
+    """STR-3: month logs land as files; a streaming aggregation keeps the per-log
+    totals table current (complete mode, table rewritten per micro-batch)."""
     root = new_shared_dir(spark, "month-logs-stream")
     write_logs(month_log_lines(spark, sf_dir), root)
-    rows = run_available_now(stream_log_counters(spark, f"{root}/*/*.txt"), spark, "counters-stream")
-    rows = rows.withColumn("log", F.regexp_extract("file", r"/log=([^/]+)/", 1))
-    return logs.log_counter_totals(rows, key="log")
+    log_name = F.regexp_extract("file", r"/log=([^/]+)/", 1)
+    totals = stream_log_totals(spark, f"{root}/*/*.txt", key_col=log_name)
+    return run_complete_to_table(totals, spark, "counters-stream", state_partitions=_state_partitions(spark))
 
 
 QUERIES = {

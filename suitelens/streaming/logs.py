@@ -1,11 +1,12 @@
-"""STR-3: counter extraction over log files as they arrive (stateless stream)."""
+"""STR-3: counter extraction over log files as they arrive: per-line rows (stateless)
+and per-log totals kept current (streaming aggregation, one state row per log)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitelens.operators.logs import extract_log_counters
+from suitelens.operators.logs import extract_log_counters, log_counter_totals
 
 
 def stream_log_counters(spark: SparkSession, path: str, max_files_per_trigger: int | None = None
@@ -20,3 +21,18 @@ def stream_log_counters(spark: SparkSession, path: str, max_files_per_trigger: i
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = reader.load(path).select(F.col("_metadata.file_path").alias("file"), "value")
     return extract_log_counters(lines)
+
+
+def stream_log_totals(spark: SparkSession, path: str, key_col=None, max_files_per_trigger: int | None = None
+                      ) -> DataFrame:
+    """Per-log counter totals kept current as log files arrive (streaming aggregation).
+
+    State is one row per log. Run it in ``complete`` mode, e.g. with
+    ``streaming.runner.run_complete_to_table``. ``key_col`` (a Column) derives the
+    log name from ``file``; by default the file path is the log.
+    """
+    rows = stream_log_counters(spark, path, max_files_per_trigger)
+    if key_col is not None:
+        rows = rows.withColumn("log", key_col)
+        return log_counter_totals(rows, key="log")
+    return log_counter_totals(rows, key="file")

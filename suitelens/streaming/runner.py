@@ -40,3 +40,37 @@ def run_available_now(stream: DataFrame, spark: SparkSession, name: str,
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.schema(stream.schema).parquet(sink)
+
+
+def run_complete_to_table(stream: DataFrame, spark: SparkSession, name: str,
+                          timeout_s: float | None = 1800, state_partitions: int | None = None) -> DataFrame:
+    """Run a streaming aggregation in ``complete`` mode and keep its result as a
+    parquet table in the shared folder, rewritten per micro-batch.
+
+    Each batch overwrites the table with the full, current aggregate (``foreachBatch``),
+    which is idempotent if a batch is replayed after a failure. The table holds one
+    row per group (e.g. per log), not the stream's history.
+    """
+    root = new_shared_dir(spark, name)
+    table_dir, ckpt = f"{root}/table", f"{root}/checkpoint"
+
+    def publish(batch_df: DataFrame, batch_id: int) -> None:
+        batch_df.write.mode("overwrite").parquet(table_dir)
+
+    writer = (stream.writeStream.outputMode("complete").foreachBatch(publish)
+              .option("checkpointLocation", ckpt).trigger(availableNow=True))
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    if state_partitions:
+        spark.conf.set(key, str(int(state_partitions)))
+    try:
+        q = writer.start()
+    finally:
+        spark.conf.set(key, old)
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.schema(stream.schema).parquet(table_dir)
