@@ -67,3 +67,15 @@ def test_artifact_counts_none_found(spark):
     _write(root, "x/readme.txt", "nothing")
     got = sorted(tuple(r) for r in artifact_counts(scan_artifacts(spark, root)).collect())
     assert got == [("crash", 0), ("report", 0)]
+
+
+def test_known_gaps_are_pinned(spark):
+    """Documented gaps of Spark's file index: hidden / underscore folders and empty
+    files are not listed (the reference would count or quarantine them)."""
+    root = tempfile.mkdtemp(prefix="suitelens-test-gaps-")
+    _write(root, "a/TEST-1.xml", '<testsuite tests="1"/>')
+    _write(root, ".hidden/TEST-2.xml", '<testsuite tests="2"/>')
+    _write(root, "_tmp/TEST-3.xml", '<testsuite tests="3"/>')
+    _write(root, "a/TEST-empty.xml", "")
+    got = sorted(r.path for r in scan_reports(spark, root).collect())
+    assert got == ["a/TEST-1.xml"]
