@@ -20,6 +20,7 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     """
     probe = df.limit(max_rows + 1).agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("b")).first()
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))),
+                   F.lit(0)).alias("b")).first()
     small = probe["n"] <= max_rows and probe["b"] <= max_bytes
     return F.broadcast(df) if small else df
