@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,29 +41,39 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 _SHIPPED: set = set()
+_SHIP_LOCK = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``suitelens`` importable in the Python workers (as ``--py-files`` would).
 
-    Zips the package once per driver process and adds it to the context, so the
+    Zips the package once per application and adds it to the context, so the
     executors' Python processes can unpickle the few functions that run there.
+    Idempotent and thread-safe: the zip path is derived from the application id,
+    so a repeated call adds the very same path (Spark refuses one file name under
+    two paths).
     """
     sc = spark.sparkContext
     key = sc.applicationId
-    if key in _SHIPPED:
-        return
-    import zipfile
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="suitelens-pyfiles-"), "suitelens.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(d, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
-    _SHIPPED.add(key)
+    with _SHIP_LOCK:
+        if key in _SHIPPED:
+            return
+        import zipfile
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        folder = os.path.join(tempfile.gettempdir(), f"suitelens-pyfiles-{key}")
+        os.makedirs(folder, exist_ok=True)
+        out = os.path.join(folder, "suitelens.zip")
+        if not os.path.exists(out):
+            tmp = out + f".{os.getpid()}.tmp"
+            with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+                for d, _, files in os.walk(pkg):
+                    for f in files:
+                        if f.endswith(".py"):
+                            full = os.path.join(d, f)
+                            z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+            os.replace(tmp, out)
+        sc.addPyFile(out)
+        _SHIPPED.add(key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
