@@ -16,6 +16,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole XML reports travel to the Python parser in Arrow batches: keep a batch
+    # at 2k documents (not 10k) so large reports do not overload a worker.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # Reports and logs are many small files: do not charge 4 MB per file when packing splits.

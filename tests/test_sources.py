@@ -79,3 +79,15 @@ def test_known_gaps_are_pinned(spark):
     _write(root, "a/TEST-empty.xml", "")
     got = sorted(r.path for r in scan_reports(spark, root).collect())
     assert got == ["a/TEST-1.xml"]
+
+
+def test_oversized_report_is_quarantined_not_dropped(spark):
+    from suitelens.operators import suites
+    root = tempfile.mkdtemp(prefix="suitelens-test-big-")
+    _write(root, "a/TEST-small.xml", '<testsuite tests="1"/>')
+    _write(root, "a/TEST-big.xml", '<testsuite tests="2">' + "x" * 500 + "</testsuite>")
+    docs = scan_reports(spark, root, max_bytes=100)
+    assert sorted(tuple(r) for r in suites.summarize(docs).collect()) == [("Total", 1, 0, 0),
+                                                                          ("a/TEST-small.xml", 1, 0, 0)]
+    bad = suites.quarantine(docs).collect()
+    assert [r.Path for r in bad] == ["a/TEST-big.xml"] and "larger than the scan limit" in bad[0].error
