@@ -13,7 +13,7 @@ from suitelens.operators import lifecycle as lc
 from suitelens.operators import logs
 from suitelens.plans.logs import ORACLES as LOG_ORACLES
 from suitelens.plans.logs import month_log_lines, write_logs
-from suitelens.session import new_shared_dir, table
+from suitelens.session import default_parallelism, new_shared_dir, table
 from suitelens.streaming.lifecycle import track_jobs_stream, track_readiness_stream
 from suitelens.streaming.logs import stream_log_totals
 from suitelens.streaming.runner import run_available_now, run_complete_to_table
@@ -24,7 +24,7 @@ WATERMARK_DELAY = "1 hour"
 
 def _state_partitions(spark) -> int:
     """State-store partitions for the lifecycle streams: one per core of the cluster."""
-    return max(1, spark.sparkContext.defaultParallelism)
+    return default_parallelism(spark)
 
 
 def _status(spark, sf_dir) -> DataFrame:

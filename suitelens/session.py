@@ -56,8 +56,11 @@ def ship_package(spark: SparkSession) -> None:
     so a repeated call adds the very same path (Spark refuses one file name under
     two paths).
     """
-    sc = spark.sparkContext
-    key = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:  # Spark Connect: no SparkContext; ship as a session artifact
+        sc, key = None, f"connect-{spark.conf.get('spark.app.name', 'app')}-{id(spark)}"
     with _SHIP_LOCK:
         if key in _SHIPPED:
             return
@@ -75,10 +78,22 @@ def ship_package(spark: SparkSession) -> None:
                             full = os.path.join(d, f)
                             z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
             os.replace(tmp, out)
-        sc.addPyFile(out)
+        if sc is not None:
+            sc.addPyFile(out)
+        else:
+            spark.addArtifacts(out, pyfile=True)
         _SHIPPED.add(key)
 
 
+def default_parallelism(spark: SparkSession) -> int:
+    """Total task slots of the cluster (falls back to the shuffle partitions setting
+    where no SparkContext is reachable, e.g. Spark Connect)."""
+    try:
+        return max(1, spark.sparkContext.defaultParallelism)
+    except Exception:
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
