@@ -120,3 +120,67 @@ def test_py_split_matches_python(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: list(r.s) for r in df.select("i", C.py_split("t").alias("s")).collect()}
     assert got == {i: t.split() for i, t in enumerate(texts)}
+
+
+EVENT = st.tuples(st.integers(0, 3), st.integers(0, 900), st.sampled_from(["ACTIVE", "ERROR", "BUILD", "NotFound"]))
+
+
+def _ready_rule(events, timeout):
+    evs = sorted((t, i, s) for i, (t, s) in enumerate(events))
+    t0 = evs[0][0]
+    for t, _, s in evs:
+        if s in ("ACTIVE", "ERROR") and t - t0 < timeout:
+            return ("ready" if s == "ACTIVE" else "failed"), t
+        if s in ("ACTIVE", "ERROR"):
+            break
+    return "timed_out", t0 + timeout
+
+
+@SETTINGS
+@given(st.lists(EVENT, min_size=1, max_size=40))
+def test_track_readiness_matches_rule(spark, rows):
+    import datetime as dt
+
+    from suitelens.operators import lifecycle as lc
+    base = dt.datetime(2024, 1, 1)
+    data = [(r, i, base + dt.timedelta(seconds=t), s) for i, (r, t, s) in enumerate(rows)]
+    df = spark.createDataFrame(data, "resource int, id long, ts timestamp, status string")
+    got = {r.resource: (r.state, r.decided_at) for r in lc.track_readiness(df, tiebreak="id", timeout_s=300).collect()}
+    want = {}
+    for res in {r for r, _, _ in rows}:
+        # the rule in plain Python, over (ts, id) order; ids follow list order
+        ordered = [(t, s) for t, _, s in sorted((t, i, s) for i, (r, t, s) in enumerate(rows) if r == res)]
+        state, at = _ready_rule(ordered, 300)
+        want[res] = (state, base + dt.timedelta(seconds=at))
+    assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 2), st.sampled_from(["SUCCESS", "FAIL", "RUNNING"])), max_size=80),
+       st.integers(1, 6))
+def test_track_jobs_matches_rule(spark, rows, max_polls):
+    import datetime as dt
+
+    from suitelens.operators import lifecycle as lc
+    base = dt.datetime(2024, 1, 1)
+    data = [(j, i, base + dt.timedelta(seconds=i), s, f"r{i}") for i, (j, s) in enumerate(rows)]
+    if not data:
+        return
+    df = spark.createDataFrame(data, "job_id int, id long, poll_ts timestamp, status string, fail_reason string")
+    got = {r.job_id: (r.state, r.decided_poll, r.fail_reason)
+           for r in lc.track_jobs(df, tiebreak="id", max_polls=max_polls).collect()}
+    want = {}
+    for job in {j for j, _ in rows}:
+        polls = [(i, s) for i, (j, s) in enumerate(rows) if j == job][:max_polls]
+        out = None
+        for n, (i, s) in enumerate(polls, start=1):
+            if s == "SUCCESS":
+                out = ("done", n, None)
+                break
+            if s == "FAIL":
+                out = ("failed", n, f"r{i}")
+                break
+        if out is None:
+            out = ("timed_out" if len(polls) >= max_polls else "pending", len(polls), None)
+        want[job] = out
+    assert got == want
