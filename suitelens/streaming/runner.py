@@ -3,34 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter
 
 from suitelens.session import new_shared_dir
 
 
-def run_available_now(stream: DataFrame, spark: SparkSession, name: str,
-                      timeout_s: float | None = 1800, state_partitions: int | None = None) -> DataFrame:
-    """Process everything available (``trigger(availableNow=True)``) with a checkpoint
-    and an exactly-once parquet file sink, then return the sink as a batch DataFrame.
-
-    The sink and checkpoint live under the cluster's shared folder, so a lost
-    executor or a restarted driver resumes from the checkpoint.
+def _start_and_wait(writer: DataStreamWriter, spark: SparkSession, name: str, timeout_s: float | None,
+                    state_partitions: int | None) -> None:
+    """Start ``writer`` (optionally with ``state_partitions`` state-store partitions) and
+    wait until the ``availableNow`` trigger has processed everything.
 
-    ``state_partitions`` fixes the number of state-store partitions of a stateful
-    query (recorded in the checkpoint at the first start). The query runs in a
-    clone of the session taken at ``start()``, so the caller's setting is restored
-    right after.
+    The query runs in a clone of the session taken at ``start()``, so a temporary
+    ``spark.sql.shuffle.partitions`` only affects this query (it is recorded in the
+    checkpoint at the first start) and the caller's setting is restored right after.
     """
-    root = new_shared_dir(spark, name)
-    sink, ckpt = f"{root}/out", f"{root}/checkpoint"
-    writer = (stream.writeStream.format("parquet").option("path", sink)
-              .option("checkpointLocation", ckpt).outputMode("append")
-              .trigger(availableNow=True))
     key = "spark.sql.shuffle.partitions"
     old = spark.conf.get(key)
     if state_partitions:
         spark.conf.set(key, str(int(state_partitions)))
     try:
-        q = writer.start()
+        q = writer.trigger(availableNow=True).start()
     finally:
         spark.conf.set(key, old)
     q.awaitTermination(timeout_s)
@@ -39,6 +31,21 @@ def run_available_now(stream: DataFrame, spark: SparkSession, name: str,
         raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+
+
+def run_available_now(stream: DataFrame, spark: SparkSession, name: str,
+                      timeout_s: float | None = 1800, state_partitions: int | None = None) -> DataFrame:
+    """Process everything available with a checkpoint and an exactly-once parquet file
+    sink (append mode), then return the sink as a batch DataFrame.
+
+    The sink and checkpoint live under the cluster's shared folder, so a lost
+    executor or a restarted driver resumes from the checkpoint.
+    """
+    root = new_shared_dir(spark, name)
+    sink, ckpt = f"{root}/out", f"{root}/checkpoint"
+    writer = (stream.writeStream.format("parquet").option("path", sink)
+              .option("checkpointLocation", ckpt).outputMode("append"))
+    _start_and_wait(writer, spark, name, timeout_s, state_partitions)
     return spark.read.schema(stream.schema).parquet(sink)
 
 
@@ -58,19 +65,6 @@ def run_complete_to_table(stream: DataFrame, spark: SparkSession, name: str,
         batch_df.write.mode("overwrite").parquet(table_dir)
 
     writer = (stream.writeStream.outputMode("complete").foreachBatch(publish)
-              .option("checkpointLocation", ckpt).trigger(availableNow=True))
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    if state_partitions:
-        spark.conf.set(key, str(int(state_partitions)))
-    try:
-        q = writer.start()
-    finally:
-        spark.conf.set(key, old)
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+              .option("checkpointLocation", ckpt))
+    _start_and_wait(writer, spark, name, timeout_s, state_partitions)
     return spark.read.schema(stream.schema).parquet(table_dir)
