@@ -8,6 +8,11 @@ partition plus the count of the same key in all earlier partitions. The only
 extra data is a table of (partition, key) counts, whose size is bounded by
 partitions x keys-per-partition, never by the rows of a key.
 
+The range-partitioned rows are written once to the shared folder, with their
+position, and both the counts and the result are read from there. Deriving the two
+from the same plan instead would run two range exchanges, each with boundaries
+sampled from its own (pruned) input, and the positions would not fit the counts.
+
 Top-k per group (``rn <= k``) should instead use a plain window with a filter:
 Spark plans a ``WindowGroupLimit`` that keeps k rows per key on the map side, so a
 hot key sends at most k rows per map task through the shuffle.
@@ -18,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import new_shared_dir
+
 _PID_SHIFT = 33  # monotonically_increasing_id: partition id in the upper 31 bits
 
 
@@ -35,9 +42,13 @@ def grouped_row_number(df: DataFrame, keys: list[str], order: list, out: str = "
               .sortWithinPartitions(*sort_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_pid", F.shiftright(F.col("_mid"), _PID_SHIFT))
+    path = new_shared_dir(df.sparkSession, "numbering")
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
     # (partition, key) -> first local id and row count; small: bounded by partitions x keys.
     blocks = ranged.groupBy("_pid", *keys).agg(F.min("_mid").alias("_first"),
                                                F.count(F.lit(1)).alias("_cnt"))
+    # without keys: one row per partition
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
     b = blocks.select(F.col("_pid").alias("_bpid"),
