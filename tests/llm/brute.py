@@ -1,0 +1,143 @@
+"""Plain Python versions of the contracts, for small inputs."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+
+NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def lower(text):
+    return (text or "").translate(_LOWER)
+
+
+def sha(text):
+    return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+
+
+def crc(ids):
+    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
+def op1(docs, encode):
+    out, start = [], 0
+    for d, t in sorted(docs, key=lambda r: r[0]):
+        ids = encode(t or "") + [2]
+        out.append((d, start, len(ids), crc(ids)))
+        start += len(ids)
+    return out
+
+
+def op2(docs, width=20):
+    words = [(d, NOT_SPACE.findall(t or "")) for d, t in docs]
+    first = {}
+    for d, ws in words:
+        for s in range(len(ws) - width + 1):
+            k = tuple(ws[s:s + width])
+            first[k] = min(first.get(k, (d, s)), (d, s))
+    out = []
+    for d, ws in words:
+        gone = {s + j for s in range(len(ws) - width + 1) if first[tuple(ws[s:s + width])] < (d, s) for j in range(width)}
+        out.append((d, len(ws), len(gone), sha(" ".join(w for i, w in enumerate(ws) if i not in gone))))
+    return sorted(out)
+
+
+def op3(rows, every=50, k=5):
+    ok = [(i, np.floor(256 * np.asarray(v, float)).astype(int)) for i, v in rows
+          if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for q, v in ok:
+        if q is None or q % every:
+            continue
+        best = sorted(((-int(v @ w), i) for i, w in ok if i != q))[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def op5(docs, width=50):
+    data = [(d, (t or "").encode()) for d, t in docs]
+    first = {}
+    for d, b in data:
+        for s in range(len(b) - width + 1):
+            k = b[s:s + width]
+            first[k] = min(first.get(k, d), d)
+    out = []
+    for d, b in data:
+        gone = np.zeros(len(b) + 2, bool)
+        for s in range(len(b) - width + 1):
+            if first[b[s:s + width]] < d:
+                gone[s + 1:s + 1 + width] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone[1:-1]])
+        out.append((d, len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), sha(kept)))
+    return sorted(out)
+
+
+def op7(docs, items, width=10):
+    windows = defaultdict(set)
+    for i, t in items:
+        ws = ALNUM.findall(lower(t))
+        for s in range(max(1, len(ws) - width + 1) if ws else 0):
+            windows[tuple(ws[s:s + width])].add(i)
+    lengths = {len(w) for w in windows}
+    out = []
+    for d, t in docs:
+        ws = ALNUM.findall(lower(t))
+        hit, found = set(), set()
+        for n in lengths:
+            for s in range(len(ws) - n + 1):
+                k = tuple(ws[s:s + n])
+                if k in windows:
+                    hit |= set(range(s, s + n))
+                    found |= windows[k]
+        names = sorted(str(i) for i in found if i is not None)
+        out.append((d, len(ws), len(hit), len(names), sha(",".join(names)), bool(hit)))
+    return sorted(out)
+
+
+def shingles(text, n=5):
+    ws = NOT_SPACE.findall(lower(text))
+    return {tuple(ws[i:i + n]) for i in range(max(1, len(ws) - n + 1))} if ws else set()
+
+
+def op8(docs):
+    sets = {d: shingles(t) for d, t in docs}
+    post = defaultdict(list)
+    for d in sorted(sets):
+        for s in sets[d]:
+            post[s].append(d)
+    common = Counter()
+    for ds in post.values():
+        for i, a in enumerate(ds):
+            for b in ds[i + 1:]:
+                common[a, b] += 1
+    up = {d: d for d in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (a, b), n in common.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    return sorted((d, len(sets[d]), top(d)) for d in sets)
+
+
+def op9(rows):
+    conv = defaultdict(list)
+    for c, n, r, t in rows:
+        conv[c].append((n, r or "", t or ""))
+    out = []
+    for c, ts in conv.items():
+        ts.sort()
+        loss = "".join(t for _, r, t in ts if r == "assistant")
+        out.append((c, len(ts), sha("".join(f"{r}\n{t}\n" for _, r, t in ts)), len(loss), sha(loss)))
+    return sorted(out)
