@@ -6,8 +6,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitelens.llm import chat_format, decontaminate, sharding
-from suitelens.llm.common import prepare, stored, table
+from suitelens.llm import chat_format, decontaminate, packing, sharding, token_store
+from suitelens.llm.common import new_shared_dir, prepare, stored, table
+
+END_ID = 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_shared_dir(spark, "tokens")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
+    return token_store.read_checksums(spark, path)
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +57,5 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op7_decontaminate, op9_chat_format, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op4_pack, op7_decontaminate, op9_chat_format, op10_shard)}
 ORACLES: dict[str, str] = {}
