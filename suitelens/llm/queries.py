@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitelens.llm import chat_format, decontaminate, packing, sharding, token_store
+from suitelens.llm import chat_format, decontaminate, packing, prefix_doubling, sharding, suffix_trees, token_store
 from suitelens.llm.common import new_shared_dir, prepare, stored, table
 
 END_ID = 2
@@ -24,10 +24,21 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_checksums(spark, path)
 
 
+def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_trees.dedup_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op5_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_doubling.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"),
@@ -57,5 +68,5 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op4_pack, op7_decontaminate, op9_chat_format, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_suffix_trees, op4_pack, op5_prefix_doubling, op7_decontaminate, op9_chat_format, op10_shard)}
 ORACLES: dict[str, str] = {}
