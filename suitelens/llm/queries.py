@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitelens.llm import chat_format, decontaminate, packing, prefix_doubling, sharding, suffix_trees, token_store
+from suitelens.llm import chat_format, decontaminate, packing, prefix_doubling, sharding, shingle_join, suffix_trees, token_store
 from suitelens.llm.common import new_shared_dir, prepare, stored, table
 
 END_ID = 2
@@ -47,6 +47,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.size("hits") > 0).alias("contaminated"), "matches")
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     own = (spark.range(2).withColumn("conv_id", F.lit(-7).cast("long"))
@@ -68,5 +72,5 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_suffix_trees, op4_pack, op5_prefix_doubling, op7_decontaminate, op9_chat_format, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_suffix_trees, op4_pack, op5_prefix_doubling, op7_decontaminate, op8_shingle_join, op9_chat_format, op10_shard)}
 ORACLES: dict[str, str] = {}

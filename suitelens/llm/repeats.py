@@ -154,7 +154,7 @@ def _least(names: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
     return (((names >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
@@ -171,7 +171,7 @@ def _copies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return stored(rows.join(least, "digest").filter("id > least").select("id", "digest").distinct(), "copies")
 
 
-def _pack(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def pack_batches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Documents in batches: ids, sizes, copy flags, the other columns, and the bytes, in order of ids."""
     copies = _copies(docs, doc_id, text)
     flags = copies.select(F.col("id").alias("_cid"), F.col("digest").alias("_cdigest"), F.lit(True).alias("_copy"))
@@ -186,7 +186,7 @@ def _pack(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         import zstandard
         from pyspark import TaskContext
 
-        k = TaskContext.get().partitionId() << 33
+        k = TaskContext.get().partitionId() << 20
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -214,25 +214,29 @@ def chunk_ids(chunk: TextChunk, doc_id: str) -> np.ndarray:
     return pc.fill_null(pc.cast(chunk.column(doc_id), pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype("<i8")
 
 
-def _open(kind: Symbols, row: dict) -> Batch:
+def open_batch(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, and of each document the size, the id and whether it is a copy."""
     import zstandard
 
     sizes, ids = np.frombuffer(row["sizes"], "<i8"), np.frombuffer(row["ids"], "<i8")
     body = zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, row["n_bytes"])) if row["n_bytes"] else b""
-    copy = np.unpackbits(np.frombuffer(row["copy"], np.uint8), count=len(ids)).astype(bool)
-    return Batch(kind, np.frombuffer(body, np.uint8), sizes, ids, copy)
+    return np.frombuffer(body, np.uint8), sizes, ids, np.unpackbits(np.frombuffer(row["copy"], np.uint8), count=len(ids)).astype(bool)
+
+
+def _open(kind: Symbols, row: dict) -> Batch:
+    return Batch(kind, *open_batch(row))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):  # a batch of documents at a time as Python objects
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """The rows of one bucket after the other; they come sorted."""
     held: list[dict] = []
-    for row in _rows(batches):
+    for row in rows_of(batches):
         if held and held[0]["bucket"] != row["bucket"]:
             yield held[0]["bucket"], held
             held = []
@@ -241,7 +245,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
         yield held[0]["bucket"], held
 
 
-def _dealt(df: DataFrame, buckets: int) -> DataFrame:
+def dealt(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch")
 
 
@@ -251,26 +255,26 @@ _SENT = "bucket long, batch long, n long, n_once long, body binary"
 _ANSWER = "batch long, bucket long, n_set long, bits binary"
 
 
-def _emit(rows: list[tuple], fields: str) -> pa.RecordBatch:
+def emit(rows: list[tuple], fields: str) -> pa.RecordBatch:
     names = [f.split()[0] for f in fields.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
 
 
 def _repeated_anchors(batches: DataFrame, kind: Symbols, buckets: int) -> DataFrame:
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(parts):
+        for row in rows_of(parts):
             names, many = _open(kind, row).unique_anchors()
-            cut = np.searchsorted(_bucket(names, buckets), np.arange(buckets + 1))
+            cut = np.searchsorted(bucket_of(names, buckets), np.arange(buckets + 1))
             out = []
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 part, m = names[cut[b]:cut[b + 1]], many[cut[b]:cut[b + 1]]
                 part = np.concatenate([part[~m], part[m]])  # 48 bits and the bucket are enough: this is a filter
                 out.append((b, row["batch"], len(part), int((~m).sum()), part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
             if out:
-                yield _emit(out, _SENT)
+                yield emit(out, _SENT)
 
     def answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, rows in _by_bucket(parts):
+        for b, rows in by_bucket(parts):
             names = np.zeros((sum(r["n"] for r in rows), 8), np.uint8)
             names[:, :6] = np.frombuffer(b"".join(r["body"] for r in rows), np.uint8).reshape(-1, 6)
             names = names.view("<u8").ravel()
@@ -287,10 +291,10 @@ def _repeated_anchors(batches: DataFrame, kind: Symbols, buckets: int) -> DataFr
                 if bits.any():
                     out.append((r["batch"], b, int(bits.sum()), zlib.compress(np.packbits(bits).tobytes())))
             if out:
-                yield _emit(out, _ANSWER)
+                yield emit(out, _ANSWER)
 
     sent = batches.mapInArrow(send, _SENT)
-    return stored(_dealt(sent, buckets).mapInArrow(answer, _ANSWER), "anchors")
+    return stored(dealt(sent, buckets).mapInArrow(answer, _ANSWER), "anchors")
 
 
 def _with(batches: DataFrame, answers: DataFrame, name: str) -> DataFrame:
@@ -314,7 +318,7 @@ def _bits(answers: list | None, counts: np.ndarray) -> np.ndarray:
 
 def _alive(batch: Batch, answers: list | None, buckets: int) -> Contexts:
     names, many = batch.unique_anchors()
-    bucket = _bucket(names, buckets)
+    bucket = bucket_of(names, buckets)
     order = np.lexsort((many, bucket))  # as it was sent: in each bucket those that occur once first
     repeated = np.zeros(len(names), bool)
     repeated[order] = _bits(answers, np.bincount(bucket, minlength=buckets))
@@ -355,17 +359,17 @@ def _unpack_contexts(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 def _earlier(batches: DataFrame, kind: Symbols, anchor_buckets: int, buckets: int, compare: Callable) -> DataFrame:
     """``batches`` has the anchors' answers; the contexts' answers come back."""
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(parts):
+        for row in rows_of(parts):
             if not row["anchors"]:
                 continue
             c = _alive(_open(kind, row), row["anchors"], anchor_buckets)
-            cut = np.searchsorted(_bucket(c.batch.anchor[c.one], buckets), np.arange(buckets + 1))
+            cut = np.searchsorted(bucket_of(c.batch.anchor[c.one], buckets), np.arange(buckets + 1))
             out = [(k, row["batch"], _pack_contexts(c, np.arange(cut[k], cut[k + 1]))) for k in np.flatnonzero(np.diff(cut)).tolist()]
             if out:
-                yield _emit(out, _CONTEXTS)
+                yield emit(out, _CONTEXTS)
 
     def answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, rows in _by_bucket(parts):
+        for b, rows in by_bucket(parts):
             found = [_unpack_contexts(r["body"]) for r in rows]
             ids, place, size, windows, data = (np.concatenate(x) for x in zip(*found, strict=True))
             # contexts in order of their place in the corpus, so that the first of equal windows is the earliest
@@ -392,10 +396,10 @@ def _earlier(batches: DataFrame, kind: Symbols, anchor_buckets: int, buckets: in
                     out.append((r["batch"], b, int(bits[k:k + m].sum()), zlib.compress(np.packbits(bits[k:k + m]).tobytes())))
                 k += m
             if out:
-                yield _emit(out, _ANSWER)
+                yield emit(out, _ANSWER)
 
     sent = batches.mapInArrow(send, _CONTEXTS)
-    return stored(_dealt(sent, buckets).mapInArrow(answer, _ANSWER), "windows")
+    return stored(dealt(sent, buckets).mapInArrow(answer, _ANSWER), "windows")
 
 
 # --- the whole --------------------------------------------------------------------------
@@ -413,7 +417,7 @@ def remove_repeats(docs: DataFrame, kind: Symbols, compare: Callable, doc_id: st
     prepare(spark)
     added = T._parse_datatype_string(ADDED)
     docs = docs.select(*[c for c in docs.columns if c not in added.names or c in (doc_id, text)])
-    batches = _pack(docs, doc_id, text)
+    batches = pack_batches(docs, doc_id, text)
     total = int(batches.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0)
     spread = max(12, partitions_for(total, 4 * BATCH_BYTES))
     symbols = total // (6 if kind.words else 1)
@@ -432,12 +436,12 @@ def remove_repeats(docs: DataFrame, kind: Symbols, compare: Callable, doc_id: st
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        for row in _rows(parts):
+        for row in rows_of(parts):
             b = _open(kind, row)
             gone = np.zeros(len(b.names) + 1, np.int32)
             if row["windows"] or row["anchors"]:
                 c = _alive(b, row["anchors"], anchor_buckets)
-                count = np.bincount(_bucket(b.anchor[c.one], buckets), weights=c.windows, minlength=buckets).astype(np.int64)
+                count = np.bincount(bucket_of(b.anchor[c.one], buckets), weights=c.windows, minlength=buckets).astype(np.int64)
                 at = c.bits_to_starts(_bits(row["windows"], count))
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + kind.width, -1)
