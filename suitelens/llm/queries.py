@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitelens.llm import chat_format, decontaminate, packing, prefix_doubling, sharding, shingle_join, suffix_trees, token_store
+from suitelens.llm import chat_format, decontaminate, langid, packing, prefix_doubling, sharding, shingle_join, suffix_trees, token_store, topk
 from suitelens.llm.common import new_shared_dir, prepare, stored, table
 
 END_ID = 2
@@ -29,6 +29,10 @@ def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
@@ -39,6 +43,18 @@ def op5_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def held_out(doc_id: str = "doc_id"):
+    """The quarter of the documents that nothing is learned from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, allowed=~F.coalesce(held_out(), F.lit(False)))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"),
@@ -72,5 +88,5 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_suffix_trees, op4_pack, op5_prefix_doubling, op7_decontaminate, op8_shingle_join, op9_chat_format, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_suffix_trees, op3_top_products, op4_pack, op5_prefix_doubling, op6_langid, op7_decontaminate, op8_shingle_join, op9_chat_format, op10_shard)}
 ORACLES: dict[str, str] = {}
