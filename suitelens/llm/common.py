@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from suitelens.session import new_shared_dir, ship_package, table
 
-__all__ = ["prepare", "stored", "table", "text_bytes", "partitions_for", "text_chunks", "TextChunk", "small_enough"]
+__all__ = ["prepare", "stored", "table", "text_bytes", "partitions_for", "text_chunks", "TextChunk", "small_enough",
+           "tokenizer_path", "END_ID"]
 
 #: Text of one numpy step inside a task; a longer document is a step of its own.
 CHUNK_BYTES = 2 << 20
@@ -19,6 +20,17 @@ CHUNK_BYTES = 2 << 20
 ARROW_BYTES = 16 << 20
 
 
+#: the id that ends a document in token streams
+END_ID = 2
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def prepare(spark: SparkSession) -> None:
     """Make this package importable on the executors and bound Arrow batches by bytes
     (a batch of long documents must not fill a worker)."""

@@ -52,6 +52,11 @@ def hashed(data: np.ndarray, order: int) -> np.ndarray:
     return (code * np.uint32(2654435761) + np.uint32(order * 40503)) >> np.uint32(16)
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """The quarter of the documents that nothing is learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 @dataclass
 class Model:
     languages: list[str]

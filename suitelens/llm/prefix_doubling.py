@@ -20,8 +20,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from suitelens.llm.repeats import Symbols, remove_repeats
+from suitelens.llm.repeats import ADDED, Symbols, remove_repeats
 
 WIDTH, GRAM = 50, 20
 
@@ -57,8 +58,13 @@ def dedup_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, doc_id: s
                 n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with the same columns and the shortened texts; a character stays whole if
     any of its bytes does, and ``n_chars``, if there is one, is counted anew."""
-    out = dedup_substrings(docs, width, gram, doc_id, text, whole_characters=True)
-    kept = out.select(*[F.col(c) for c in docs.columns if c != text], F.col("kept").cast("string").alias(text))
+    added = {f.name for f in T._parse_datatype_string(ADDED)}
+    aside = {c: f"_own_{c}" if c in added and c not in (doc_id, text) else c for c in docs.columns}
+    marked = docs.select(*[F.col(c).alias(a) for c, a in aside.items()], F.col(text).isNull().alias("_no_text"))
+    out = dedup_substrings(marked, width, gram, doc_id, text, whole_characters=True)
+    out = out.withColumn("_text", F.when(~F.col("_no_text"), F.col("kept").cast("string")))
+    kept = out.select(*[F.col("_text" if c == text else a).alias(c) for c, a in aside.items()])
     if n_chars in docs.columns:
-        kept = kept.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return kept.select(*docs.columns)
+        kept = kept.withColumn(n_chars, F.when(F.col(text).isNull(), F.col(n_chars)).otherwise(F.length(text))
+                               .cast(docs.schema[n_chars].dataType))
+    return kept

@@ -223,6 +223,13 @@ def open_batch(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return np.frombuffer(body, np.uint8), sizes, ids, np.unpackbits(np.frombuffer(row["copy"], np.uint8), count=len(ids)).astype(bool)
 
 
+def other_columns(row: dict) -> pa.RecordBatch:
+    """The documents' columns besides the text."""
+    import zstandard
+
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])).read_next_batch()
+
+
 def _open(kind: Symbols, row: dict) -> Batch:
     return Batch(kind, *open_batch(row))
 
@@ -434,8 +441,6 @@ def remove_repeats(docs: DataFrame, kind: Symbols, compare: Callable, doc_id: st
     schema = T.StructType([*kept_columns, *added.fields])
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         for row in rows_of(parts):
             b = _open(kind, row)
             gone = np.zeros(len(b.names) + 1, np.int32)
@@ -463,7 +468,7 @@ def remove_repeats(docs: DataFrame, kind: Symbols, compare: Callable, doc_id: st
                     out[3].append(b" ".join([b.data[s:e].tobytes() for s, e in zip(b.starts[left].tolist(), b.ends[left].tolist(), strict=True)]))
                 else:
                     out[3].append(b.data[a:z][~mine].tobytes())
-            rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])).read_next_batch()
+            rest = other_columns(row)
             span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [rest.column(rest.schema.get_field_index(f.name)) for f in kept_columns] +

@@ -32,12 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suitelens.llm.common import partitions_for, prepare, small_enough, stored
 from suitelens.llm.components import components
-from suitelens.llm.repeats import BROADCAST_BYTES, bucket_of, by_bucket, dealt, emit, open_batch, pack_batches, rows_of, window_names_sliced
+from suitelens.llm.repeats import BROADCAST_BYTES, bucket_of, by_bucket, dealt, emit, open_batch, other_columns, pack_batches, rows_of, window_names_sliced
 from suitelens.llm.words import LOWER, NOT_SPACE, mix, span_names, split_words
 
 SHINGLE, PERCENT = 5, 75
@@ -47,6 +48,7 @@ CELLS = 1 << 20
 BUCKET_SHINGLES = 1 << 20
 #: members of a prefix tree
 TREE_SETS = 256
+_BODY = ("batch", "n_bytes", "sizes", "ids", "copy", "body")
 _INDEX_BITS = 22  # a batch's documents are numbered below this many bits
 
 
@@ -93,7 +95,7 @@ def _count(batches: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         for k, part in sums.items():
             yield emit([(k, part.tobytes())], "key long, body binary")
 
-    out = stored(batches.select("batch", "n_bytes", "sizes", "ids", "copy", "body")
+    out = stored(batches.select(*_BODY)
                  .mapInArrow(run, "kind long, key long, body binary"), "shingle-counts")
     cells = np.zeros((64, CELLS // 64), np.int64)
     # 64 parts of a table of fixed size
@@ -157,7 +159,7 @@ def _candidates(batches: DataFrame, level, buckets: int, n: int, percent: int) -
                 sizes.append(np.repeat(size, count))
             yield from _lists(*(np.concatenate(x) for x in (names, docs, sizes)), percent)
 
-    pairs = batches.select("batch", "n_bytes", "sizes", "ids", "copy", "body").mapInArrow(send, sent)
+    pairs = batches.select(*_BODY).mapInArrow(send, sent)
     return stored(dealt(pairs, buckets).mapInArrow(meet, "kind long, x long, y long, size long"), "candidates")
 
 
@@ -224,16 +226,21 @@ def tree_matches(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCE
     return out
 
 
+def _with_wanted(batches: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
+    """The batches that hold any of the documents ``d``, with their places as ``wanted``."""
+    place = F.col("d").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
+    wanted = stored(nodes.groupBy(F.shiftright("d", _INDEX_BITS).alias("batch"))
+                    .agg(F.sort_array(F.collect_list(place)).alias("wanted"))  # bounded by a batch
+                    .withColumn("joined", F.array_join("wanted", " ").cast("binary")), "wanted")
+    one = wanted.select("batch", "wanted")
+    if small_enough(wanted, "joined", BROADCAST_BYTES):
+        one = F.broadcast(one)
+    return batches.select(*_BODY, *more).join(one, "batch")
+
+
 def _verify(pairs: DataFrame, batches: DataFrame, n: int, percent: int) -> DataFrame:
     """``a, b, overlap, union`` of the pairs that link."""
-    index = (1 << _INDEX_BITS) - 1
     asked = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
-    wanted = stored(asked.groupBy(F.shiftright("d", _INDEX_BITS).alias("batch"))
-                    .agg(F.collect_list(F.col("d").bitwiseAND(F.lit(index))).alias("wanted"))  # bounded by a batch
-                    .withColumn("size_", F.array_join("wanted", " ").cast("binary")), "wanted")
-    one = wanted.select("batch", "wanted")
-    if small_enough(wanted, "size_", BROADCAST_BYTES):
-        one = F.broadcast(one)
 
     def texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -246,8 +253,7 @@ def _verify(pairs: DataFrame, batches: DataFrame, n: int, percent: int) -> DataF
             for k in range(0, len(out), 1000):
                 yield emit(out[k:k + 1000], "d long, body binary")
 
-    docs = stored(batches.select("batch", "n_bytes", "sizes", "ids", "copy", "body").join(one, "batch").mapInArrow(texts, "d long, body binary"),
-                  "texts", "uncompressed")
+    docs = stored(_with_wanted(batches, asked).mapInArrow(texts, "d long, body binary"), "texts", "uncompressed")
     rows = (pairs.join(docs.select(F.col("d").alias("y"), F.col("body").alias("other")), "y")
             .join(docs.select(F.col("d").alias("x"), F.col("body").alias("pivot")), "x").select("x", "y", "pivot", "other"))
 
@@ -296,13 +302,9 @@ def _rest(candidates: DataFrame, done: DataFrame, nodes: DataFrame, percent: int
     return stored(pairs.join(known, ["x", "y"], "left_anti"), "pairs")
 
 
-def jaccard_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text",
-                    links: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """``doc_id, n_shingles, component_id`` for every row; with ``links`` also the verified
-    links ``a, b, overlap, union`` between document ids that the classes were made from."""
-    spark = docs.sparkSession
-    prepare(spark)
-    batches = pack_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+def _link(batches: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Set sizes by batch, the components (``node, root``) and the verified links."""
+    spark = batches.sparkSession
     total = int(batches.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0)
     counts, level = _count(batches, n)
     buckets = max(12, partitions_for(total // 6 * (100 - percent) // 100, BUCKET_SHINGLES))
@@ -316,11 +318,11 @@ def jaccard_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, d
         if not extra.isEmpty():
             linked = linked.unionByName(extra)
             nodes = components(linked)
-    return _classes(batches, counts, nodes, linked, links)
+    return counts, nodes, linked
 
 
-def _classes(batches: DataFrame, counts: DataFrame, nodes: DataFrame, linked: DataFrame, links: bool):
-    """From batches and components to one row per document."""
+def _documents(batches: DataFrame, counts: DataFrame) -> DataFrame:
+    """``node, doc_id, n_shingles, copy, digest`` (of the text) of every row."""
     each = "node long, doc_id long, n_shingles long, copy boolean, digest binary"
 
     def unfold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +337,18 @@ def _classes(batches: DataFrame, counts: DataFrame, nodes: DataFrame, linked: Da
                  pa.array([hashlib.sha256(data[a:z]).digest() for a, z in zip((end - sizes).tolist(), end.tolist(), strict=True)], pa.binary())],
                 names=[f.split()[0] for f in each.split(", ")])
 
-    docs = stored(batches.select("batch", "n_bytes", "sizes", "ids", "copy", "body").join(counts, "batch").mapInArrow(unfold, each), "documents")
-    own = docs.filter("not copy")
-    rooted = own.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return stored(batches.select(*_BODY).join(counts, "batch").mapInArrow(unfold, each), "documents")
+
+
+def jaccard_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text",
+                    links: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """``doc_id, n_shingles, component_id`` for every row; with ``links`` also the verified
+    links ``a, b, overlap, union`` between document ids that the classes were made from."""
+    prepare(docs.sparkSession)
+    batches = pack_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    counts, nodes, linked = _link(batches, n, percent)
+    docs = _documents(batches, counts)
+    rooted = docs.filter("not copy").join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     known = stored(rooted.join(least, "root").select("doc_id", "n_shingles", "digest", "component_id"), "classes")
     of_text = known.groupBy("digest").agg(F.min("component_id").alias("component_id"))
@@ -351,3 +362,27 @@ def _classes(batches: DataFrame, counts: DataFrame, nodes: DataFrame, linked: Da
              .join(ids.select(F.col("node").alias("b"), F.col("doc_id").alias("doc_b")), "b")
              .select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "overlap", "union"))
     return out, named
+
+
+def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, with all columns, without the documents of each class but that of the
+    least id. A document without shingles is a class of its own."""
+    prepare(docs.sparkSession)
+    batches = pack_batches(docs.withColumn("_no_text", F.col(text).isNull()), doc_id, text)
+    counts, nodes, _ = _link(batches, n, percent)
+    rows = _documents(batches, counts)
+    rooted = rows.filter("not copy and n_shingles > 0").join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "node"))["node"].alias("d")).select("d") \
+        .unionByName(rows.filter("n_shingles = 0").select(F.col("node").alias("d")))
+    schema = docs.schema
+
+    def restore(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(parts):
+            data, sizes, _, _ = open_batch(row)
+            rest = other_columns(row)
+            body = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(data))
+            body = pc.if_else(rest.column(rest.schema.get_field_index("_no_text")), pa.scalar(None, pa.string()), body)
+            columns = [body if f.name == text else rest.column(rest.schema.get_field_index(f.name)) for f in schema]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names).take(pa.array(row["wanted"], pa.int64()))
+
+    return _with_wanted(batches, kept, "rest").mapInArrow(restore, schema)
