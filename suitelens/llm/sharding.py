@@ -86,7 +86,7 @@ def _round(linked: DataFrame, shards: int, room: int, k: int) -> DataFrame | Non
     part = [1.0] * shards  # of those who want to come, as many as there is room for
     for r in flows:
         free = room - r["stay"]
-        part[r["to"]] = 1.0 if r["come"] <= free else max(0.0, free / r["come"])
+        part[r["to"]] = max(0.0, min(1.0, free / max(1, r["come"])))
     allowed = F.get(F.array(*[F.lit(p) for p in part]), F.col("to"))
     moves = (F.col("to") == F.col("shard")) | (_unit(F.col("group"), F.lit(k)) < allowed) | \
         ((F.col("n") > room) & (_unit(F.col("rid"), F.lit(k)) < allowed))
