@@ -2,8 +2,9 @@
 
 Scans ``<directory>`` recursively for ``TEST*.xml``, writes the ordered summary
 with its total row to ``<directory>/test_summary.csv`` (a folder of ordered CSV
-parts) and prints a short preview plus the total. Bad reports are listed with their
-parse error. A folder without any report writes nothing and exits 0.
+parts) and prints a short preview plus the total. Bad reports are all listed with their
+parse error, and written to ``<directory>/test_summary_bad.csv``. A folder that does not
+exist or holds no report writes nothing and exits 0.
 """
 
 from __future__ import annotations
@@ -22,22 +23,24 @@ def main(argv: list[str]) -> int:
     root = argv[1].rstrip("/")
     from suitelens.operators import suites
     from suitelens.session import get_session
-    from suitelens.sources.reports import scan_reports
 
     spark = get_session()
-    out = f"{root}/test_summary.csv"
-    summary = suites.report_rollup(spark, root, out_dir=out)
+    out, bad_out = f"{root}/test_summary.csv", f"{root}/test_summary_bad.csv"
+    summary = suites.report_rollup(spark, root, out_dir=out, bad_dir=bad_out, relative=False)
     if summary is None:
         print(f"no TEST*.xml report below {root}; nothing written")
         return 0
     written = spark.read.schema("Path string, NumTests long, NumFails long, NumErrs long") \
-        .option("header", True).csv(out)
+        .option("header", True).option("escape", '"').csv(out)
     written.show(PREVIEW_ROWS, truncate=False)          # preview only; the CSV holds every row
     total = written.where(F.col("Path") == "Total").first()
     if total is not None:
         print(f"total: tests={total.NumTests} failures={total.NumFails} errors={total.NumErrs}")
-    for row in suites.quarantine(scan_reports(spark, root)).limit(PREVIEW_ROWS).collect():
+    bad, n_bad = spark.read.schema("Path string, error string").option("header", True).option("escape", '"').csv(bad_out), 0
+    for row in bad.toLocalIterator():                   # one part at a time
         print(f"bad report {row.Path}: {row.error}")
+        n_bad += 1
+    print(f"{n_bad} bad reports, listed in {bad_out}")
     print(f"summary saved to {out}")
     return 0
 

@@ -39,11 +39,24 @@ def shorten_command(c, limit: int = 60, head: int = 50, tail: int = 5) -> Column
 
 
 def format_duration(seconds) -> Column:
-    """PRJ-7: ``divmod(s, 60)`` -> ``"{int(m)}m {s:.2f}s"``."""
+    """PRJ-7: ``divmod(s, 60)`` -> ``"{int(m)}m {s:.2f}s"``.
+
+    The remainder is exact, and it is rounded as the reference does: the exact binary value,
+    ties to even. Scaled by 2**50 it is an integer plus a rest below one (``more``); a hundred
+    times that integer still fits in a long, so hundredths and their rest are exact.
+    """
     s = col_(seconds).cast("double")
-    mins = F.floor(s / 60)
-    secs = s - mins * 60
-    return F.format_string("%dm %.2fs", mins.cast("long"), secs)
+    secs = F.pmod(s, F.lit(60.0))
+    mins = F.round((s - secs) / 60).cast("long")
+    scaled = secs * F.lit(float(1 << 50))
+    whole = F.floor(scaled).cast("long")
+    more = scaled > whole.cast("double")
+    times = whole * 100
+    cents = F.shiftright(times, 50)
+    rest, half = times.bitwiseAND(F.lit((1 << 50) - 1)), F.lit(1 << 49)
+    up = (rest > half) | ((rest == half) & (more | (cents % 2 == 1)))
+    cents = cents + up.cast("long")
+    return F.format_string("%dm %d.%02ds", mins, F.floor(cents / 100).cast("long"), cents % 100)
 
 
 def expiry_time(ts, hours, ltz: bool = False) -> Column:

@@ -45,6 +45,17 @@ def extract_log_counters(lines: DataFrame, value_col: str = "value",
     return marked.select("*", *cols)
 
 
+def log_counter_records(lines: DataFrame, key="file", value_col: str = "value") -> DataFrame:
+    """PRJ-2 with every log: a row of strings per ``Tests:`` line, and one with NULL counters
+    and ``no_match`` for each log that has no such line."""
+    keys = _keys(key)
+    found = extract_log_counters(lines, value_col, as_strings=True).select(*keys, *COUNTERS, F.lit(False).alias("no_match"))
+    none = (lines.groupBy(*keys).agg(F.bool_or(F.col(value_col).contains(COUNTER_MARK)).alias("_any"))
+            .where(~F.coalesce("_any", F.lit(False)))
+            .select(*keys, *[F.lit(None).cast("string").alias(c) for c in COUNTERS], F.lit(True).alias("no_match")))
+    return found.unionByName(none)
+
+
 def _keys(key):
     return [key] if isinstance(key, str) else list(key)
 

@@ -52,9 +52,8 @@ def ship_package(spark: SparkSession) -> None:
 
     Zips the package once per application and adds it to the context, so the
     executors' Python processes can unpickle the few functions that run there.
-    Idempotent and thread-safe: the zip path is derived from the application id,
-    so a repeated call adds the very same path (Spark refuses one file name under
-    two paths).
+    Idempotent and thread-safe: one zip per application and process, in a private folder
+    of the driver, from where Spark sends it to the executors.
     """
     try:
         sc = spark.sparkContext
@@ -66,18 +65,13 @@ def ship_package(spark: SparkSession) -> None:
             return
         import zipfile
         pkg = os.path.dirname(os.path.abspath(__file__))
-        folder = os.path.join(tempfile.gettempdir(), f"suitelens-pyfiles-{key}")
-        os.makedirs(folder, exist_ok=True)
-        out = os.path.join(folder, "suitelens.zip")
-        if not os.path.exists(out):
-            tmp = out + f".{os.getpid()}.tmp"
-            with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
-                for d, _, files in os.walk(pkg):
-                    for f in files:
-                        if f.endswith(".py"):
-                            full = os.path.join(d, f)
-                            z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-            os.replace(tmp, out)
+        out = os.path.join(tempfile.mkdtemp(prefix="suitelens-pyfiles-"), "suitelens.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for d, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(d, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
         if sc is not None:
             sc.addPyFile(out)
         else:
@@ -98,6 +92,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (``local``, ``local[n]``)."""
+    try:
+        master = spark.sparkContext.master
+    except Exception:  # Spark Connect: the server's setting
+        master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder for intermediate files, as a fully qualified URI.
 
@@ -105,9 +108,10 @@ def shared_root(spark: SparkSession) -> str:
     (``spark.checkpoint.dir``). The context's value comes first because Spark has
     already qualified it with the file system scheme (``hdfs://...``, ``file:/...``);
     the executor-side writers need the scheme, since a bare path would mean local
-    disk to them but the default file system to Spark. Only when nothing is set
-    (local runs, tests) is a private temporary folder created and registered as
-    the checkpoint directory.
+    disk to them but the default file system to Spark. Only when nothing is set and
+    the master is local (tests) is a private temporary folder created and registered as
+    the checkpoint directory; on a cluster that raises, since each executor would write
+    to its own disk and a scan would see a part only.
     """
     root = None
     try:
@@ -117,6 +121,9 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not _is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster intermediate files need a folder that the "
+                               "driver and all executors share")
         root = tempfile.mkdtemp(prefix="suitelens-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir() or root

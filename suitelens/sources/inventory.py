@@ -8,6 +8,7 @@ of the file's offset-0 split, marked inside the task that reads that split.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,18 @@ def with_first_line_flag(lines: DataFrame, out: str = "is_first") -> DataFrame:
     return flagged.withColumnRenamed("is_first", out) if out != "is_first" else flagged
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` (a file, a folder or a glob) names anything: Spark's own lookup, which
+    lists no more than the path itself."""
+    try:
+        spark.read.format("text").option("pathGlobFilter", "").load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Instance TSV written by SNK-2; the ``N/A`` sentinel becomes NULL."""
     df = (spark.read.option("sep", "\t").option("header", True).schema(INVENTORY_SCHEMA)
@@ -58,11 +71,18 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 def read_addresses(spark: SparkSession, path: str) -> DataFrame:
     """SRC-4: ``id, ip``. The first line of each file is always skipped; each other line
-    is stripped and split on tabs; fewer than 2 fields -> skipped, fields past 2 ignored."""
-    lines = with_first_line_flag(scan_log_lines(spark, path))
+    is stripped and split on tabs; fewer than 2 fields -> skipped, fields past 2 ignored.
+    A path that does not exist gives no row.
+
+    The lines are read as a CSV of one column, whose reader skips the first line of each
+    file, also of one that several tasks read; nothing crosses to Python.
+    """
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "id string, ip string")
+    lines = (spark.read.schema("value string").option("header", True).option("sep", "\x01").option("quote", "")
+             .option("escape", "\x00").option("recursiveFileLookup", "true").option("lineSep", "\n").csv(path))
     parts = F.split(py_strip("value"), "\t", -1)
-    return (lines.where(~F.col("is_first"))
-            .select(parts.alias("p")).where(F.size("p") >= 2)
+    return (lines.select(parts.alias("p")).where(F.size("p") >= 2)
             .select(F.col("p")[0].alias("id"), F.col("p")[1].alias("ip")))
 
 
@@ -85,8 +105,9 @@ def read_nodes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """SRC-6: (nodes ``hostname, public_ip, server_id, private_ip``, malformed ``line``).
 
     Whitespace-split; exactly 4 fields -> node; other non-blank lines -> malformed.
+    A path that does not exist gives no row on either side.
     """
-    df = spark.read.format("text").load(path)
+    df = spark.read.format("text").load(path) if path_exists(spark, path) else spark.createDataFrame([], "value string")
     p = df.select("value", py_split("value").alias("p"))
     nodes = p.where(F.size("p") == 4).select(
         F.col("p")[0].alias("hostname"), F.col("p")[1].alias("public_ip"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from suitelens.operators.logs import extract_log_counters, log_counter_totals
+from suitelens.sources.logs import file_name
 
 
 def stream_log_counters(spark: SparkSession, path: str, max_files_per_trigger: int | None = None
@@ -16,10 +17,10 @@ def stream_log_counters(spark: SparkSession, path: str, max_files_per_trigger: i
     ``path`` may be a glob (e.g. ``root/*/*.txt``). Same projection as the batch
     operator, so the report table can be kept current with an append-only sink.
     """
-    reader = spark.readStream.format("text")
+    reader = spark.readStream.format("text").option("lineSep", "\n")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    lines = reader.load(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = reader.load(path).select(file_name().alias("file"), "value")
     return extract_log_counters(lines)
 
 

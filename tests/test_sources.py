@@ -69,25 +69,66 @@ def test_artifact_counts_none_found(spark):
     assert got == [("crash", 0), ("report", 0)]
 
 
-def test_known_gaps_are_pinned(spark):
-    """Documented gaps of Spark's file index: hidden / underscore folders and empty
-    files are not listed (the reference would count or quarantine them)."""
+def test_hidden_folders_and_empty_reports_are_seen(spark):
     root = tempfile.mkdtemp(prefix="suitelens-test-gaps-")
     _write(root, "a/TEST-1.xml", '<testsuite tests="1"/>')
     _write(root, ".hidden/TEST-2.xml", '<testsuite tests="2"/>')
-    _write(root, "_tmp/TEST-3.xml", '<testsuite tests="3"/>')
+    _write(root, "_tmp/.x/TEST-3.xml", '<testsuite tests="3"/>')
     _write(root, "a/TEST-empty.xml", "")
-    got = sorted(r.path for r in scan_reports(spark, root).collect())
-    assert got == ["a/TEST-1.xml"]
+    docs = scan_reports(spark, root)
+    assert sorted(r.path for r in docs.collect()) == [".hidden/TEST-2.xml", "_tmp/.x/TEST-3.xml", "a/TEST-1.xml", "a/TEST-empty.xml"]
+    assert [r.Path for r in suites.quarantine(docs).collect()] == ["a/TEST-empty.xml"]
+    assert [tuple(r) for r in suites.summarize(docs).collect()][-1] == ("Total", 6, 0, 0)
 
 
-def test_oversized_report_is_quarantined_not_dropped(spark):
-    from suitelens.operators import suites
+def test_large_report_is_read_in_pieces(spark, monkeypatch):
     root = tempfile.mkdtemp(prefix="suitelens-test-big-")
     _write(root, "a/TEST-small.xml", '<testsuite tests="1"/>')
-    _write(root, "a/TEST-big.xml", '<testsuite tests="2">' + "x" * 500 + "</testsuite>")
-    docs = scan_reports(spark, root, max_bytes=100)
-    assert sorted(tuple(r) for r in suites.summarize(docs).collect()) == [("Total", 1, 0, 0),
-                                                                          ("a/TEST-small.xml", 1, 0, 0)]
-    bad = suites.quarantine(docs).collect()
-    assert [r.Path for r in bad] == ["a/TEST-big.xml"] and "larger than the scan limit" in bad[0].error
+    _write(root, "a/TEST-big.xml", '<testsuite tests="2">' + "<testcase/>\n" * 300_000 + "</testsuite>")
+    out = sorted(tuple(r) for r in suites.summarize(scan_reports(spark, root)).collect())
+    assert out == [("Total", 3, 0, 0), ("a/TEST-big.xml", 2, 0, 0), ("a/TEST-small.xml", 1, 0, 0)]
+
+
+def test_paths_relative_or_as_given(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="suitelens-test-rel-")
+    _write(root, "data/x/a/TEST-1.xml", '<testsuite tests="1"/>')
+    monkeypatch.chdir(root)
+    assert [r.path for r in scan_reports(spark, f"{root}/data/x/a").collect()] == ["TEST-1.xml"]
+    assert [r.path for r in scan_reports(spark, f"file:{root}/data/").collect()] == ["x/a/TEST-1.xml"]
+    assert [r.path for r in scan_reports(spark, f"{root}/data/", relative=False).collect()] == [f"{root}/data/x/a/TEST-1.xml"]
+
+
+def test_missing_inputs(spark):
+    root = tempfile.mkdtemp(prefix="suitelens-test-missing-")
+    assert suites.report_rollup(spark, f"{root}/none", out_dir=f"{root}/out") is None and not os.path.exists(f"{root}/out")
+    assert src.read_addresses(spark, f"{root}/none").collect() == []
+    nodes, bad = src.read_nodes(spark, f"{root}/none")
+    assert nodes.collect() == [] and bad.collect() == []
+
+
+def test_log_lines_end_with_line_feeds_only(spark):
+    from suitelens.sources.logs import scan_log_lines
+    root = tempfile.mkdtemp(prefix="suitelens-test-lines-")
+    _write(root, "a b%+c.txt", "one\rtwo\nthree\n")
+    got = scan_log_lines(spark, root).collect()
+    assert sorted(r.value for r in got) == ["one\rtwo", "three"]
+    assert {r.file.rsplit("/", 1)[1] for r in got} == {"a b%+c.txt"}
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    import suitelens.session as session
+    monkeypatch.setattr(session, "_is_local", lambda s: False)
+
+    class Bare:
+        class sparkContext:
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return None
+    import pytest
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_root(Bare)
