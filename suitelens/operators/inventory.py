@@ -58,24 +58,19 @@ def upsert_registry(registry: DataFrame, incoming: DataFrame, line_col: str = "l
 
     An old line is dropped when it is blank, a comment, or its stripped text ends with
     any incoming hostname (so ``xnode-1`` is dropped by ``node-1``). "Ends with any" is
-    evaluated as an equi-join: each distinct stripped line is expanded to its suffixes
-    whose lengths lie between the shortest and longest incoming hostname (bounded by
-    the hostname length range), and those are semi-joined with the hostnames.
+    evaluated as an equi-join: each distinct stripped line is expanded to its suffixes of
+    those lengths that an incoming hostname has (one small array, a scalar subquery), and
+    those are semi-joined with the hostnames. Building the query starts no job.
     """
     t = py_strip(line_col)
     old = registry.withColumn("_t", t).where((F.col("_t") != "") & ~F.col("_t").startswith("#"))
     hosts = incoming.select(F.col(host_col).alias("_h")).where(F.col("_h").isNotNull()).distinct()
-    bounds = hosts.agg(F.min(F.length("_h")).alias("lo"), F.max(F.length("_h")).alias("hi")).first()
-    if bounds is None or bounds["lo"] is None:
-        kept = old
-    else:
-        lo, hi = int(bounds["lo"]), int(bounds["hi"])
-        texts = old.select("_t").distinct()
-        suffixes = texts.select("_t", F.explode(F.expr(
-            f"transform(sequence({lo}, greatest({lo}, least({hi}, length(_t)))), "
-            f"L -> IF(L <= length(_t), substring(_t, length(_t) - L + 1, L), NULL))")).alias("_s"))
-        hit = suffixes.join(hosts, F.col("_s") == F.col("_h"), "left_semi").select("_t").distinct()
-        kept = old.join(hit, "_t", "left_anti")
+    lengths = hosts.agg(F.collect_set(F.length("_h"))).scalar()
+    texts = old.select("_t").distinct().withColumn("_n", lengths)
+    suffixes = texts.select("_t", F.explode(F.expr(
+        "transform(filter(_n, L -> L <= length(_t)), L -> substring(_t, length(_t) - L + 1, L))")).alias("_s"))
+    hit = suffixes.join(hosts, F.col("_s") == F.col("_h"), "left_semi").select("_t").distinct()
+    kept = old.join(hit, "_t", "left_anti")
     new = incoming.select(F.concat_ws("\t", F.col(ip_col), F.col(host_col)).alias(line_col),
                           F.lit("new").alias("source"))
     return append_rows(kept.select(line_col, F.lit("kept").alias("source")), new)
@@ -89,9 +84,10 @@ def append_rows(df: DataFrame, other: DataFrame) -> DataFrame:
 
 def failed_ids(attempted: DataFrame, succeeded: DataFrame, key: str, succeeded_key: str | None = None
                ) -> DataFrame:
-    """JON-6: attempted rows without a success (left anti join)."""
+    """JON-6: attempted rows without a success (left anti join). The right side is reduced to
+    distinct keys first, which combines map-side, so a hot key cannot weigh on one task."""
     sk = succeeded_key or key
-    s = succeeded.select(F.col(sk).alias("_sk"))
+    s = succeeded.select(F.col(sk).alias("_sk")).distinct()
     return attempted.join(s, F.col(key) == F.col("_sk"), "left_anti")
 
 
@@ -165,7 +161,8 @@ def classify_addresses(df: DataFrame, networks_col: str = "networks", explicit_c
 
     Networks are walked in order; in each only the first entry with a non-empty
     address counts (fixed -> private, floating -> public), later networks overwrite
-    earlier ones until both are set. A non-null explicit public IP wins; missing -> N/A.
+    earlier ones until both are set. A non-null explicit public IP wins, also an empty one,
+    which is no address: N/A. NULL stands for "no such attribute"; missing -> N/A.
     Pure expression (``aggregate`` over the array): no shuffle, no Python.
     """
     init = F.struct(F.lit(None).cast("string").alias("priv"), F.lit(None).cast("string").alias("pub"))
@@ -178,7 +175,10 @@ def classify_addresses(df: DataFrame, networks_col: str = "networks", explicit_c
         return F.when(done, acc).otherwise(F.struct(priv.alias("priv"), pub.alias("pub")))
 
     walked = F.aggregate(F.col(networks_col), init, step)
-    pub = walked["pub"] if explicit_col is None else F.coalesce(F.col(explicit_col), walked["pub"])
+    pub = walked["pub"]
+    if explicit_col is not None:
+        explicit = F.col(explicit_col)
+        pub = F.when(explicit == "", F.lit(NA)).otherwise(F.coalesce(explicit, pub))
     return df.withColumn("private_ip", F.coalesce(walked["priv"], F.lit(NA))) \
              .withColumn("public_ip", F.coalesce(pub, F.lit(NA)))
 

@@ -108,12 +108,18 @@ def assign_shards(suites: DataFrame, rules: DataFrame, suite_col: str = "suite",
 
     A rule covers a suite of its module when the rule has no tags at all, when a
     suite tag is included, or when the rule only excludes and no suite tag is
-    excluded. Equi-join on module (rules are small and broadcast behind a size
-    check), array predicate as the join condition.
+    excluded. Equi-join on module with the array predicate as its condition; rules may be
+    computed, so the strategy is left to Spark (its size check, or a sort-merge join
+    whose hot modules AQE splits), and building the query starts no job.
     """
-    r = maybe_broadcast(rules.select(F.col("task").alias("shard"), F.col("module").alias("_rmodule"),
-                                     F.coalesce("included", F.array().cast("array<string>")).alias("_inc"),
-                                     F.coalesce("excluded", F.array().cast("array<string>")).alias("_exc")))
+    return _covered(suites, rules, tags_col, "inner").select(suite_col, "module", "shard")
+
+
+def _covered(suites: DataFrame, rules: DataFrame, tags_col: str, how: str) -> DataFrame:
+    """Suites joined with the rules that cover them."""
+    r = rules.select(F.col("task").alias("shard"), F.col("module").alias("_rmodule"),
+                     F.coalesce("included", F.array().cast("array<string>")).alias("_inc"),
+                     F.coalesce("excluded", F.array().cast("array<string>")).alias("_exc"))
     # NULL elements would make arrays_overlap NULL (neither in nor out): drop them
     tags = F.array_compact(F.coalesce(F.col(tags_col), F.array().cast("array<string>")))
     covers = (
@@ -121,12 +127,13 @@ def assign_shards(suites: DataFrame, rules: DataFrame, suite_col: str = "suite",
         | ((F.size("_inc") > 0) & F.arrays_overlap(tags, F.col("_inc")))
         | ((F.size("_inc") == 0) & (F.size("_exc") > 0) & ~F.arrays_overlap(tags, F.col("_exc"))))
     cond = (F.col("module") == F.col("_rmodule")) & covers
-    return suites.join(r, cond, "inner").select(suite_col, "module", "shard")
+    return suites.join(r, cond, how)
 
 
-def shard_cover_check(suites: DataFrame, assignments: DataFrame, suite_col: str = "suite") -> DataFrame:
-    """Suites that land in no shard or in more than one: ``suite, module, n_shards``."""
-    counts = assignments.groupBy(suite_col).agg(F.count(F.lit(1)).alias("n_shards"))
-    return (suites.select(suite_col, "module").join(counts, suite_col, "left")
-            .select(suite_col, "module", F.coalesce("n_shards", F.lit(0)).alias("n_shards"))
-            .where(F.col("n_shards") != 1))
+def shard_cover_check(suites: DataFrame, rules: DataFrame, suite_col: str = "suite",
+                      tags_col: str = "tags") -> DataFrame:
+    """Suites that land in no shard or in more than one: ``suite, module, n_shards``. One left
+    join of suites to rules, counted per suite."""
+    joined = _covered(suites, rules, tags_col, "left")
+    return (joined.groupBy(suite_col, "module").agg(F.count("shard").alias("n_shards"))
+            .where(F.col("n_shards") != 1).select(suite_col, "module", "n_shards"))

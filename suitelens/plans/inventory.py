@@ -25,10 +25,11 @@ def customer_instances(spark, sf_dir) -> DataFrame:
 
 
 def supplier_addresses(spark, sf_dir) -> DataFrame:
-    """Suppliers with a non-negative balance as an address list (id = nation, list order = suppkey)."""
-    sp = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") >= 0)
+    """Suppliers as an address list (id = nation, list order = suppkey); those with a negative
+    balance have no id, as a failed allocation."""
+    sp = table(spark, sf_dir, "supplier")
     ip = F.concat(F.lit("198.51."), (F.col("s_suppkey") % 250).cast("string"), F.lit("."), s("s_nationkey"))
-    return sp.select(F.col("s_nationkey").alias("id"), ip.alias("ip"), F.col("s_suppkey").alias("list_pos"))
+    return sp.select(F.when(F.col("s_acctbal") >= 0, F.col("s_nationkey")).alias("id"), ip.alias("ip"), F.col("s_suppkey").alias("list_pos"))
 
 
 def registry_lines(spark, sf_dir) -> DataFrame:
@@ -43,11 +44,13 @@ def registry_lines(spark, sf_dir) -> DataFrame:
 
 
 def incoming_nodes(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING")
+    """Every customer as an incoming node; only segment BUILDING has hostnames that old lines end with."""
+    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
+    fleet = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("node-")).otherwise(F.lit("spare-"))
     return c.select(F.concat(F.lit("192.168."), (k % 250).cast("string"), F.lit("."), s("c_nationkey"))
                     .alias("private_ip"),
-                    F.concat(F.lit("node-"), (k % 200).cast("string")).alias("hostname"))
+                    F.concat(fleet, (k % 200).cast("string")).alias("hostname"))
 
 
 def order_ok(spark, sf_dir) -> DataFrame:
@@ -61,10 +64,10 @@ def order_ok(spark, sf_dir) -> DataFrame:
 # ------------------------------------------------------------ queries
 
 def pair_by_position(spark, sf_dir):
-    left = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey")
-    right = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey")
+    left = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_name")
+    right = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_name")
     return inv.pair_by_position(left, right, "nation", ["c_custkey"], ["s_suppkey"]).select(
-        "nation", "pos", "c_custkey", "s_suppkey")
+        "nation", "pos", "c_custkey", "c_name", "s_suppkey", "s_name")
 
 
 def resolve_address(spark, sf_dir):
@@ -96,7 +99,7 @@ def all_succeeded(spark, sf_dir):
 def shortfall(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     req = o.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("requested"))
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
     created = o.join(li, o.o_orderkey == li.l_orderkey, "left_semi").select("c_custkey")
     return inv.shortfall(req, created, "c_custkey").select("c_custkey", "requested", "created", "missing",
                                                            "enough")
@@ -138,7 +141,8 @@ def short_command(spark, sf_dir):
 
 def durations(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", C.format_duration("value").alias("duration"))
+    # a seventh: values with all their binary digits
+    return e.select("event_id", C.format_duration(F.col("value") / 7).alias("duration"))
 
 
 def supplier_networks(spark, sf_dir) -> DataFrame:
@@ -154,7 +158,7 @@ def supplier_networks(spark, sf_dir) -> DataFrame:
         net("net-b", e(F.when(k % 3 == 0, F.concat(F.lit("100.64."), tail)), "floating"),
             e(F.concat(F.lit("172.16."), tail), "fixed")),
         net("net-c", e(F.concat(F.lit("198.18."), tail), "fixed")))
-    explicit = F.when(k % 5 == 0, F.concat(F.lit("203.0.113."), (k % 250).cast("string")))
+    explicit = F.when(k % 5 == 0, F.concat(F.lit("203.0.113."), (k % 250).cast("string"))).when(k % 7 == 0, F.lit(""))
     return sp.select("s_suppkey", networks.alias("networks"), explicit.alias("publicip"))
 
 
@@ -209,7 +213,7 @@ def first_prefix(spark, sf_dir):
 
 
 def numbered_listing(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name", "c_acctbal")
     return inv.numbered_listing(c, "c_nationkey", ["c_custkey"])
 
 
@@ -242,8 +246,8 @@ reg AS (SELECT CASE WHEN c_acctbal < 0 THEN '# retired ' || c_name
                          || CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE '' END END AS line
         FROM customer),
 inc AS (SELECT '192.168.' || (c_custkey % 250) || '.' || c_nationkey AS private_ip,
-               'node-' || (c_custkey % 200) AS hostname
-        FROM customer WHERE c_mktsegment = 'BUILDING'),
+               CASE WHEN c_mktsegment = 'BUILDING' THEN 'node-' ELSE 'spare-' END || (c_custkey % 200) AS hostname
+        FROM customer),
 old AS (SELECT line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS t FROM reg)
 """
 
@@ -251,11 +255,11 @@ _TAIL = "(s_nationkey || '.' || (s_suppkey % 250))"
 
 ORACLES = {
     "pair_by_position": """
-WITH l AS (SELECT c_nationkey AS nation, c_custkey,
+WITH l AS (SELECT c_nationkey AS nation, c_custkey, c_name,
                   row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos FROM customer),
-r AS (SELECT s_nationkey AS nation, s_suppkey,
+r AS (SELECT s_nationkey AS nation, s_suppkey, s_name,
              row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS pos FROM supplier)
-SELECT l.nation, l.pos, c_custkey, s_suppkey FROM l LEFT JOIN r ON l.nation = r.nation AND l.pos = r.pos
+SELECT l.nation, l.pos, c_custkey, c_name, s_suppkey, s_name FROM l LEFT JOIN r ON l.nation = r.nation AND l.pos = r.pos
 """,
     "resolve_address": """
 WITH a AS (SELECT s_nationkey AS id, arg_min('198.51.' || (s_suppkey % 250) || '.' || s_nationkey, s_suppkey) AS ip
@@ -327,18 +331,19 @@ SELECT doc_id, CASE WHEN length(text) < 60 THEN text
 FROM documents
 """,
     "durations": """
-SELECT event_id, printf('%dm %.2fs', CAST(floor(value / 60) AS BIGINT), value - floor(value / 60) * 60) AS duration
+SELECT event_id, printf('%dm %.2fs', CAST(floor(value / 7 / 60) AS BIGINT), fmod(value / 7, 60.0)) AS duration
 FROM events
 """,
     "address_classes": f"""
 WITH w AS (SELECT s_suppkey, s_acctbal < 0 AS neg, s_suppkey % 3 = 0 AS b_float,
-                  s_suppkey % 5 = 0 AS explicit, {_TAIL} AS tail FROM supplier)
+                  s_suppkey % 5 = 0 AS explicit, s_suppkey % 7 = 0 AS no_ip, {_TAIL} AS tail FROM supplier)
 SELECT s_suppkey,
        CASE WHEN NOT neg AND b_float THEN '192.168.' || tail
             WHEN NOT neg AND NOT b_float THEN '198.18.' || tail
             WHEN neg AND b_float THEN '198.18.' || tail
             ELSE '172.16.' || tail END AS private_ip,
        CASE WHEN explicit THEN '203.0.113.' || (s_suppkey % 250)
+            WHEN no_ip THEN 'N/A'
             WHEN NOT neg AND b_float THEN '100.64.' || tail
             WHEN NOT neg AND NOT b_float THEN 'N/A'
             WHEN neg AND b_float THEN '100.64.' || tail
@@ -378,7 +383,7 @@ SELECT n_nationkey AS c_nationkey, first_hostname, first_c_custkey
 FROM nation LEFT JOIN f ON n_nationkey = f.c_nationkey
 """,
     "numbered_listing": """
-SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS no
+SELECT c_nationkey, c_custkey, c_name, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS no
 FROM customer
 """,
 }

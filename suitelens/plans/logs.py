@@ -64,25 +64,34 @@ def customer_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Per order: a counter line and a ``Total number of tests run`` line; customers
     with a positive balance also print the pass phrase.
     """
+    return _with_module(spark, sf_dir, _customer_lines(spark, sf_dir))
+
+
+def _customer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``c_custkey, value``"""
     od = order_line_counts(spark, sf_dir)
     pending = F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)
     order_lines = od.select(
         F.col("o_custkey").alias("c_custkey"),
         F.explode(F.array(counter_line(F.col("n"), F.col("r"), F.col("a"), pending),
                           F.format_string("Total number of tests run: %d", F.col("n")))).alias("value"))
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    pass_lines = cust.where(F.col("c_acctbal") > 0).select("c_custkey", F.lit("All tests passed.").alias("value"))
+    pass_lines = (table(spark, sf_dir, "customer").where(F.col("c_acctbal") > 0)
+                  .select("c_custkey", F.lit("All tests passed.").alias("value")))
+    return order_lines.unionByName(pass_lines)
+
+
+def _with_module(spark: SparkSession, sf_dir: str, logs_: DataFrame) -> DataFrame:
+    """Rows of customer logs with ``file`` and ``module`` in the place of the customer."""
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    lines = order_lines.unionByName(pass_lines)
-    return (lines.join(cust.select("c_custkey", "c_nationkey"), "c_custkey")
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("file"),
-                    F.col("n_name").alias("module"), "value"))
+    return (logs_.join(cust, "c_custkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .select(F.col("n_name").alias("module"), F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("file"),
+                    *[c for c in logs_.columns if c != "c_custkey"]))
 
 
 def log_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-6 per customer log."""
-    return logs.log_verdict(customer_log_lines(spark, sf_dir), key=["module", "file"])
+    """AGG-6 per customer log: lines are reduced to one row per log before any join."""
+    return _with_module(spark, sf_dir, logs.log_verdict(_customer_lines(spark, sf_dir), key="c_custkey"))
 
 
 def module_report(spark: SparkSession, sf_dir: str) -> DataFrame:

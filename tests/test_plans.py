@@ -20,7 +20,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 entry = importlib.import_module("__spark_entry__")
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+from suitelens.plans import all_queries  # noqa: E402
+
+QUERIES = {k: entry.queries()[k] for k in all_queries()}
 
 
 def plan_of(df) -> str:
