@@ -6,27 +6,22 @@ purchase = ACTIVE / SUCCESS, error = ERROR / FAIL, anything else is transient.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from suitelens.operators import lifecycle as lc
 from suitelens.operators import logs
 from suitelens.plans.logs import ORACLES as LOG_ORACLES
-from suitelens.plans.logs import month_log_lines, write_logs
-from suitelens.session import default_parallelism, new_shared_dir, table
+from suitelens.plans.logs import ORDER_COUNTS_SQL, month_log_lines, write_logs
+from suitelens.session import new_shared_dir, table
 from suitelens.streaming.lifecycle import track_jobs_stream, track_readiness_stream
-from suitelens.streaming.logs import stream_log_totals
-from suitelens.streaming.runner import run_available_now, run_complete_to_table
+from suitelens.streaming.logs import run_log_totals, stream_log_counters
+from suitelens.streaming.runner import run_available_now
 
 READY_TIMEOUT_S = 24 * 3600   # events are sparse (about 67 per user over 30 days)
 WATERMARK_DELAY = "1 hour"
 
 
-def _state_partitions(spark) -> int:
-    """State-store partitions for the lifecycle streams: one per core of the cluster."""
-    return default_parallelism(spark)
-
-
 def _status(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     st = (F.when(F.col("event_type") == "purchase", F.lit(lc.ACTIVE))
@@ -70,9 +65,7 @@ def readiness_stream(spark, sf_dir):
     st = (F.when(F.col("event_type") == "purchase", F.lit(lc.ACTIVE))
           .when(F.col("event_type") == "error", F.lit(lc.ERROR)).otherwise(F.col("event_type")))
     src = ev.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), st.alias("status"))
-    out = run_available_now(
-        track_readiness_stream(src, "user_id", "ts", "status", "event_id", READY_TIMEOUT_S, WATERMARK_DELAY),
-        spark, "readiness-stream", state_partitions=_state_partitions(spark))
+    out = track_readiness_stream(src, "user_id", "ts", "status", "event_id", READY_TIMEOUT_S, WATERMARK_DELAY)
     return out.select(F.col("resource").alias("user_id"),
                       F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "state",
                       F.col("decided_at").cast("timestamp_ntz").alias("decided_at"))
@@ -86,18 +79,28 @@ def jobs_batch(spark, sf_dir):
 
 def jobs_stream(spark, sf_dir):
     p = _polls(_event_stream(spark, sf_dir))
-    return run_available_now(track_jobs_stream(p, "user_id", "ts", "status", "fail_reason", "event_id"),
-                             spark, "jobs-stream", state_partitions=_state_partitions(spark))
+    return track_jobs_stream(p, "user_id", "ts", "status", "fail_reason", "event_id", delay=WATERMARK_DELAY)
 
 
-def counters_stream(spark, sf_dir):
-    """STR-3: month logs land as files; a streaming aggregation keeps the per-log
-    totals table current (complete mode, table rewritten per micro-batch)."""
+def _month_log_files(spark, sf_dir) -> tuple[str, Column]:
+    """A glob of freshly written month logs, and the log's name from the file's."""
     root = new_shared_dir(spark, "month-logs-stream")
     write_logs(month_log_lines(spark, sf_dir), root)
-    log_name = F.regexp_extract("file", r"/log=([^/]+)/", 1)
-    totals = stream_log_totals(spark, f"{root}/*/*.txt", key_col=log_name)
-    return run_complete_to_table(totals, spark, "counters-stream", state_partitions=_state_partitions(spark))
+    return f"{root}/*/*.txt", F.regexp_extract("file", r"/log=([^/]+)/", 1)
+
+
+def counters_stream(spark, sf_dir):
+    """STR-3: month logs land as files; the per-log totals table is kept current, each
+    micro-batch writing the logs that it changed."""
+    path, log_name = _month_log_files(spark, sf_dir)
+    return run_log_totals(stream_log_counters(spark, path), spark, "counters-stream", log_name)
+
+
+def counters_stream_rows(spark, sf_dir):
+    """STR-3, stateless form: the counter lines themselves, appended."""
+    path, log_name = _month_log_files(spark, sf_dir)
+    rows = stream_log_counters(spark, path).select(log_name.alias("log"), *logs.COUNTERS)
+    return run_available_now(rows, spark, "counters-stream-rows")
 
 
 QUERIES = {
@@ -108,6 +111,7 @@ QUERIES = {
     "jobs_batch": jobs_batch,
     "jobs_stream": jobs_stream,
     "counters_stream": counters_stream,
+    "counters_stream_rows": counters_stream_rows,
 }
 
 
@@ -139,7 +143,7 @@ r AS (SELECT f.user_id, t0 AS first_seen,
 """
 
 _JOBS = """
-WITH p AS (SELECT user_id AS job_id,
+WITH p AS (SELECT user_id AS job_id, ts,
                   CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAIL' ELSE 'RUNNING' END AS status,
                   CASE WHEN event_type = 'error' THEN props END AS fail_reason,
                   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS poll
@@ -159,11 +163,22 @@ ORACLES = {
     "bounded_attempts": _attempts_sql("'ok', 'gone'"),
     "bounded_attempts_strict": _attempts_sql("'ok'"),
     "readiness_batch": _READY + "SELECT * FROM r",
-    # The stream reports a timeout only once the watermark (max ts - 1 hour) has passed it.
+    # The stream reports a decision only once the watermark (max ts - 1 hour) has passed it.
     "readiness_stream": _READY + """
-SELECT * FROM r WHERE state <> 'timed_out' OR decided_at < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+SELECT * FROM r WHERE decided_at < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 """,
     "jobs_batch": _JOBS + "SELECT * FROM r",
-    "jobs_stream": _JOBS + "SELECT * FROM r WHERE state <> 'pending'",
+    "jobs_stream": _JOBS + """
+SELECT r.* FROM r JOIN p ON p.job_id = r.job_id AND p.poll = r.decided_poll
+WHERE state <> 'pending' AND p.ts < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+""",
     "counters_stream": LOG_ORACLES["log_counters"],
+    "counters_stream_rows": "WITH " + ORDER_COUNTS_SQL + """
+SELECT strftime(o_orderdate, '%Y-%m') AS log, CAST(n - r - a AS BIGINT) AS succeeded, CAST(r AS BIGINT) AS failed,
+       CAST(0 AS BIGINT) AS canceled, CAST(a AS BIGINT) AS ignored,
+       CAST(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS BIGINT) AS pending
+FROM od
+UNION ALL
+SELECT strftime(o_orderdate, '%Y-%m'), NULL, NULL, NULL, NULL, NULL FROM od WHERE o_orderstatus = 'O'
+""",
 }

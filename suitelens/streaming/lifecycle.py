@@ -1,165 +1,127 @@
 """Structured Streaming forms of STR-1 (readiness) and STR-2 (job polling).
 
-Both are keyed state machines run with ``applyInPandasWithState``: state per
-resource is a handful of scalars, events of a key in one micro-batch arrive as one
-pandas frame and are walked in (ts, id) order. Decisions are emitted once
-(append mode). A decided key keeps a small "decided" state, so later events of
-the same resource do not open a new run, until the watermark passes its decision
-time plus ``retain_s``; then the state is dropped (event-time timeout), so state
-does not grow with the history of the stream. Undecided jobs idle for
-``retain_s`` are dropped the same way (the batch form reports them ``pending``).
-All times inside are epoch microseconds computed by Spark.
+Each micro-batch is reduced with the batch operators' own partial aggregations (the
+earliest event and the earliest terminal one of a resource; the first polls of a job),
+which combine map-side, so a key that holds a third of the rows never meets in one task.
+The reduction is merged with a keyed state table of undecided keys, and a key is decided
+once the watermark has passed the time of its decision: until then an earlier event
+may still come. So the result is the batch form's for events in any order within the
+watermark's delay. Decided keys stay in the result table, and their later events are
+tested against it; a key is decided once.
+
+State, results and the largest time seen are tables with one folder per micro-batch
+(``runner.BatchTable``); all times are epoch microseconds computed by Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from suitelens.operators.lifecycle import (ACTIVE, DONE, ERROR, FAIL, FAILED, MAX_POLLS, READY,
                                            READY_TIMEOUT_S, SUCCESS, TIMED_OUT)
+from suitelens.session import new_shared_dir
+from suitelens.streaming.runner import BatchTable, run_batches
 
-READINESS_OUT = "resource long, first_seen_us long, state string, decided_at_us long"
-READINESS_STATE = "first_seen_us long, decided boolean, expire_us long"
+READINESS_OUT = "resource long, first_us long, state string, decided_us long"
+READINESS_STATE = "resource long, first_us long, terminal struct<ts_us: long, tiebreak: long, status: string>"
 JOBS_OUT = "job_id long, state string, decided_poll long, fail_reason string"
-JOBS_STATE = "polls long, decided boolean, expire_us long"
-
-
-def _decision(resource, first_us: int, st: str, at_us: int) -> pd.DataFrame:
-    # epoch microseconds: independent of the session time zone; Spark converts back
-    return pd.DataFrame({"resource": [resource], "first_seen_us": [first_us], "state": [st],
-                         "decided_at_us": [at_us]})
-
-
-def _expired(state: GroupState, at_us: int) -> bool:
-    """The watermark has passed ``at_us``: the key's state is logically gone even if
-    Spark has not fired its timeout yet (keys with new data are called with the data)."""
-    return at_us // 1000 <= state.getCurrentWatermarkMs()
-
+JOBS_STATE = "job_id long, ts_us long, tiebreak long, status string, fail_reason string"
+CLOCK = "max_us long"
+
+
+def _delay_us(spark: SparkSession, delay: str) -> int:
+    """An interval such as ``1 hour`` in microseconds."""
+    zero = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+    return spark.sql(f"SELECT unix_micros(CAST({zero} + INTERVAL {delay} AS TIMESTAMP)) - unix_micros(CAST({zero} AS TIMESTAMP)) AS us").first()["us"]
+
+
+class _Keyed:
+    """State, results and clock of a keyed stream."""
+
+    def __init__(self, spark: SparkSession, name: str, key: str, state: str, out: str, delay: str):
+        self.root, self.key, self.delay_us = new_shared_dir(spark, name), key, _delay_us(spark, delay)
+        self.state, self.out, self.clock = (BatchTable(f"{self.root}/{t}", s) for t, s in (("state", state), ("out", out), ("clock", CLOCK)))
+        self.fresh = BatchTable(f"{self.root}/fresh", state)
+        for t in (self.state, self.out, self.clock):
+            t.start(spark)
+
+    def merge(self, rows: DataFrame, reduce, batch: int, ts_us: str = "ts_us") -> tuple[DataFrame, Column]:
+        """Undecided keys with this batch's rows, reduced; and the watermark. Rows behind the
+        watermark of the batches before, and of decided keys, are left out."""
+        spark = rows.sparkSession
+        seen = self.clock.all(spark, batch).agg(F.max("max_us").alias("m")).first()["m"]
+        if seen is not None:
+            rows = rows.where(F.col(ts_us) >= seen - self.delay_us)
+        self.clock.write(rows.agg(F.max(ts_us).alias("max_us")), batch)
+        now = max([m for m in (seen, self.clock.read(spark, batch).first()["max_us"]) if m is not None], default=None)
+        decided = self.out.all(spark, batch).select(self.key)
+        self.fresh.write(reduce(rows), batch)
+        fresh = self.fresh.read(spark, batch).join(decided, self.key, "left_anti")
+        held = self.state.read(spark, batch - 1).unionByName(fresh)
+        watermark = F.lit(None).cast("long") if now is None else F.lit(now - self.delay_us)
+        return held, watermark
+
+    def publish(self, kept: DataFrame, decided: DataFrame, batch: int) -> None:
+        self.out.write(decided, batch)
+        self.state.write(kept, batch)
 
-def _keep_until(state: GroupState, value: tuple, at_us: int) -> None:
-    """Store ``value`` and drop it once the watermark passes ``at_us`` (now, if it has).
 
-    The timeout must be armed again on every call for the key (Spark clears it
-    otherwise), so the expiry time is part of the stored value.
-    """
-    if _expired(state, at_us):
-        state.remove()
-    else:
-        state.update(value)
-        state.setTimeoutTimestamp(at_us // 1000)
-
-
-def _readiness_fn(timeout_s: int, retain_s: int):
+def track_readiness_stream(events: DataFrame, resource: str, ts: str, status: str, tiebreak: str,
+                           timeout_s: int = READY_TIMEOUT_S, delay: str = "1 hour", name: str = "readiness-stream",
+                           run_timeout_s: float | None = None) -> DataFrame:
+    """STR-1 on a stream, run over all that is available: ``resource, first_seen, state,
+    decided_at``. A resource comes out once the watermark (largest ``ts`` less ``delay``)
+    passes its decision: its first terminal status, or first_seen + timeout."""
+    spark = events.sparkSession
+    keyed = _Keyed(spark, name, "resource", READINESS_STATE, READINESS_OUT, delay)
+    src = events.select(F.col(resource).cast("long").alias("resource"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"),
+                        F.col(status).alias("status"), F.col(tiebreak).cast("long").alias("tiebreak"))
+    terminal = F.when(F.col("status").isin(ACTIVE, ERROR), F.struct("ts_us", "tiebreak", "status"))
     timeout_us = int(timeout_s) * 1_000_000
-    retain_us = int(retain_s) * 1_000_000
-
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        resource = key[0]
-        if state.hasTimedOut:
-            first_us, decided, _ = state.get
-            if decided:              # retention over: forget the resource
-                state.remove()
-                return
-            at = first_us + timeout_us
-            _keep_until(state, (first_us, True, at + retain_us), at + retain_us)
-            yield _decision(resource, first_us, TIMED_OUT, at)
-            return
-        pdf = pd.concat(list(batches), ignore_index=True)
-        first_us, decided, expire_us = state.get if state.exists else (None, False, None)
-        if decided and not _expired(state, expire_us):
-            _keep_until(state, (first_us, True, expire_us), expire_us)   # later events ignored
-            return
-        if decided:                  # expired but not yet evicted: these events start a new run
-            first_us, decided = None, False
-        pdf = pdf.sort_values(["ts_us", "tiebreak"], kind="stable")
-        ts_us = [int(x) for x in pdf["ts_us"].tolist()]
-        if first_us is None:
-            first_us = ts_us[0]
-        deadline = first_us + timeout_us
-        for t, st in zip(ts_us, pdf["status"].tolist()):
-            if st in (ACTIVE, ERROR) and t < deadline:
-                _keep_until(state, (first_us, True, t + retain_us), t + retain_us)
-                yield _decision(resource, first_us, READY if st == ACTIVE else FAILED, t)
-                return
-        if deadline < state.getCurrentWatermarkMs() * 1000:  # already past: decide now
-            _keep_until(state, (first_us, True, deadline + retain_us), deadline + retain_us)
-            yield _decision(resource, first_us, TIMED_OUT, deadline)
-        else:
-            state.update((first_us, False, deadline))
-            state.setTimeoutTimestamp(deadline // 1000)
-
-    return fn
 
+    def step(rows: DataFrame, batch: int) -> None:
+        held, watermark = keyed.merge(
+            rows, lambda r: r.groupBy("resource").agg(F.min("ts_us").alias("first_us"), F.min(terminal).alias("terminal")), batch)
+        one = held.groupBy("resource").agg(F.min("first_us").alias("first_us"), F.min("terminal").alias("terminal"))
+        deadline = F.col("first_us") + timeout_us
+        in_time = F.coalesce(F.col("terminal.ts_us") < deadline, F.lit(False))
+        at = F.when(in_time, F.col("terminal.ts_us")).otherwise(deadline)
+        state = F.when(~in_time, F.lit(TIMED_OUT)).when(F.col("terminal.status") == ACTIVE, F.lit(READY)).otherwise(F.lit(FAILED))
+        over = F.coalesce(at < watermark, F.lit(False))
+        keyed.publish(one.where(~over), one.where(over).select("resource", "first_us", state.alias("state"), at.alias("decided_us")), batch)
 
-def track_readiness_stream(events: DataFrame, resource: str, ts: str, status: str, tiebreak: str,
-                           timeout_s: int = READY_TIMEOUT_S, delay: str = "1 hour",
-                           retain_s: int | None = None) -> DataFrame:
-    """STR-1 on a stream. ``ts`` must be a TIMESTAMP (not NTZ) for the watermark.
-
-    A resource that sees no terminal status is reported ``timed_out`` once the
-    watermark passes first_seen + timeout (event-time timeout).
-    """
-    src = events.select(F.col(resource).cast("long").alias("resource"), F.col(ts).alias("ts"),
-                        F.unix_micros(F.col(ts)).alias("ts_us"),
-                        F.col(status).alias("status"), F.col(tiebreak).cast("long").alias("tiebreak"))
-    out = (src.withWatermark("ts", delay)
-           .groupBy("resource")
-           .applyInPandasWithState(_readiness_fn(timeout_s, retain_s if retain_s is not None else timeout_s),
-                                   READINESS_OUT, READINESS_STATE,
-                                   "append", GroupStateTimeout.EventTimeTimeout))
-    return out.select("resource", F.timestamp_micros("first_seen_us").alias("first_seen"), "state",
-                      F.timestamp_micros("decided_at_us").alias("decided_at"))
-
-
-def _jobs_fn(max_polls: int, retain_s: int):
-    retain_us = int(retain_s) * 1_000_000
-
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        job = key[0]
-        if state.hasTimedOut:        # decided long ago, or idle: forget the job
-            state.remove()
-            return
-        polls, decided, expire_us = state.get if state.exists else (0, False, None)
-        if expire_us is not None and _expired(state, expire_us):
-            polls, decided = 0, False   # expired but not yet evicted: a new run
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts_us", "tiebreak"], kind="stable")
-        if decided:                  # later polls of a decided job are ignored
-            _keep_until(state, (polls, True, expire_us), expire_us)
-            return
-        for t, st, reason in zip(pdf["ts_us"].tolist(), pdf["status"].tolist(), pdf["fail_reason"].tolist()):
-            polls += 1
-            out = None
-            if st == SUCCESS:
-                out = (DONE, None)
-            elif st == FAIL:
-                out = (FAILED, reason)
-            elif polls >= max_polls:
-                out = (TIMED_OUT, None)
-            if out is not None:
-                at = int(t) + retain_us
-                _keep_until(state, (polls, True, at), at)
-                yield pd.DataFrame({"job_id": [job], "state": [out[0]], "decided_poll": [polls],
-                                    "fail_reason": pd.Series([out[1]], dtype=object)})
-                return
-        at = int(pdf["ts_us"].iloc[-1]) + retain_us   # idle expiry after the last poll
-        _keep_until(state, (polls, False, at), at)
-
-    return fn
+    run_batches(src, spark, name, step, keyed.root, run_timeout_s)
+    return keyed.out.all(spark).select("resource", F.timestamp_micros("first_us").alias("first_seen"), "state",
+                                       F.timestamp_micros("decided_us").alias("decided_at"))
 
 
 def track_jobs_stream(polls: DataFrame, job: str, ts: str, status: str, reason: str, tiebreak: str,
-                      max_polls: int = MAX_POLLS, delay: str = "1 hour", retain_s: int = 24 * 3600) -> DataFrame:
-    """STR-2 on a stream: a poll counter per job; decided at SUCCESS, FAIL or poll ``max_polls``.
-    State is dropped ``retain_s`` after the decision or after the last poll of an idle job."""
-    t = F.col(ts).cast("timestamp")
-    src = polls.select(F.col(job).cast("long").alias("job_id"), t.alias("ts"), F.unix_micros(t).alias("ts_us"),
-                       F.col(status).alias("status"), F.col(reason).alias("fail_reason"),
-                       F.col(tiebreak).cast("long").alias("tiebreak"))
-    return (src.withWatermark("ts", delay).groupBy("job_id")
-            .applyInPandasWithState(_jobs_fn(max_polls, retain_s), JOBS_OUT, JOBS_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+                      max_polls: int = MAX_POLLS, delay: str = "1 hour", name: str = "jobs-stream",
+                      run_timeout_s: float | None = None) -> DataFrame:
+    """STR-2 on a stream, run over all that is available: ``job_id, state, decided_poll,
+    fail_reason``. State is a job's first ``max_polls`` polls by time; the job is decided at
+    SUCCESS, FAIL or poll ``max_polls`` once the watermark passes that poll."""
+    spark = polls.sparkSession
+    keyed = _Keyed(spark, name, "job_id", JOBS_STATE, JOBS_OUT, delay)
+    src = polls.select(F.col(job).cast("long").alias("job_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"),
+                       F.col(tiebreak).cast("long").alias("tiebreak"), F.col(status).alias("status"), F.col(reason).alias("fail_reason"))
+    order = Window.partitionBy("job_id").orderBy("ts_us", "tiebreak")
+
+    def first(rows: DataFrame) -> DataFrame:  # a window group limit: each task sends at most max_polls rows of a job
+        return rows.withColumn("poll", F.row_number().over(order).cast("long")).where(F.col("poll") <= max_polls)
+
+    def step(rows: DataFrame, batch: int) -> None:
+        held, watermark = keyed.merge(rows, lambda r: first(r).drop("poll"), batch)
+        polls_ = first(held)
+        ends = F.when(F.col("status").isin(SUCCESS, FAIL) | (F.col("poll") >= max_polls),
+                      F.struct("poll", "ts_us", "status", "fail_reason"))
+        one = polls_.groupBy("job_id").agg(F.min(ends).alias("end"))
+        done = one.where(F.col("end.ts_us") < watermark).select(
+            "job_id", F.when(F.col("end.status") == SUCCESS, F.lit(DONE)).when(F.col("end.status") == FAIL, F.lit(FAILED))
+            .otherwise(F.lit(TIMED_OUT)).alias("state"), F.col("end.poll").alias("decided_poll"),
+            F.when(F.col("end.status") == FAIL, F.col("end.fail_reason")).alias("fail_reason"))
+        keyed.publish(polls_.drop("poll").join(done.select("job_id"), "job_id", "left_anti"), done, batch)
+
+    run_batches(src, spark, name, step, keyed.root, run_timeout_s)
+    return keyed.out.all(spark)

@@ -1,30 +1,19 @@
-"""Run a streaming query to completion into a parquet table in the shared folder."""
+"""Run a streaming query to completion into tables in the shared folder."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from suitelens.session import new_shared_dir
 
 
-def _start_and_wait(writer: DataStreamWriter, spark: SparkSession, name: str, timeout_s: float | None,
-                    state_partitions: int | None) -> None:
-    """Start ``writer`` (optionally with ``state_partitions`` state-store partitions) and
-    wait until the ``availableNow`` trigger has processed everything.
-
-    The query runs in a clone of the session taken at ``start()``, so a temporary
-    ``spark.sql.shuffle.partitions`` only affects this query (it is recorded in the
-    checkpoint at the first start) and the caller's setting is restored right after.
-    """
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    if state_partitions:
-        spark.conf.set(key, str(int(state_partitions)))
-    try:
-        q = writer.trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(key, old)
+def _start_and_wait(writer: DataStreamWriter, name: str, timeout_s: float | None) -> None:
+    """Start ``writer`` and wait until the ``availableNow`` trigger has processed everything
+    (for ever by default; a stream over a long history takes as long as it takes)."""
+    q = writer.trigger(availableNow=True).start()
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
@@ -33,8 +22,7 @@ def _start_and_wait(writer: DataStreamWriter, spark: SparkSession, name: str, ti
         raise RuntimeError(str(q.exception()))
 
 
-def run_available_now(stream: DataFrame, spark: SparkSession, name: str,
-                      timeout_s: float | None = 1800, state_partitions: int | None = None) -> DataFrame:
+def run_available_now(stream: DataFrame, spark: SparkSession, name: str, timeout_s: float | None = None) -> DataFrame:
     """Process everything available with a checkpoint and an exactly-once parquet file
     sink (append mode), then return the sink as a batch DataFrame.
 
@@ -45,26 +33,40 @@ def run_available_now(stream: DataFrame, spark: SparkSession, name: str,
     sink, ckpt = f"{root}/out", f"{root}/checkpoint"
     writer = (stream.writeStream.format("parquet").option("path", sink)
               .option("checkpointLocation", ckpt).outputMode("append"))
-    _start_and_wait(writer, spark, name, timeout_s, state_partitions)
+    _start_and_wait(writer, name, timeout_s)
     return spark.read.schema(stream.schema).parquet(sink)
 
 
-def run_complete_to_table(stream: DataFrame, spark: SparkSession, name: str,
-                          timeout_s: float | None = 1800, state_partitions: int | None = None) -> DataFrame:
-    """Run a streaming aggregation in ``complete`` mode and keep its result as a
-    parquet table in the shared folder, rewritten per micro-batch.
+class BatchTable:
+    """A table below ``root`` made of one folder per micro-batch.
 
-    Each batch overwrites the table with the full, current aggregate (``foreachBatch``),
-    which is idempotent if a batch is replayed after a failure. The table holds one
-    row per group (e.g. per log), not the stream's history.
+    A batch overwrites its own folder only, so a replay after a failure gives the same
+    table, and readers never see a gap.
     """
-    root = new_shared_dir(spark, name)
-    table_dir, ckpt = f"{root}/table", f"{root}/checkpoint"
 
-    def publish(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.write.mode("overwrite").parquet(table_dir)
+    def __init__(self, root: str, schema: str):
+        self.root, self.schema = root, schema
+
+    def write(self, df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
+
+    def start(self, spark: SparkSession) -> None:
+        """An empty part, so that the table can be read before its first batch."""
+        self.write(spark.createDataFrame([], self.schema), -1)
+
+    def read(self, spark: SparkSession, batch: int) -> DataFrame:
+        """The rows of one batch."""
+        return spark.read.schema(self.schema).parquet(f"{self.root}/batch={batch}")
+
+    def all(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """The rows of all batches, or of those before a batch."""
+        df = spark.read.schema(f"{self.schema}, batch long").parquet(self.root)
+        return (df if before is None else df.where(f"batch < {before}")).drop("batch")
+
 
-    writer = (stream.writeStream.outputMode("complete").foreachBatch(publish)
-              .option("checkpointLocation", ckpt))
-    _start_and_wait(writer, spark, name, timeout_s, state_partitions)
-    return spark.read.schema(stream.schema).parquet(table_dir)
+def run_batches(stream: DataFrame, spark: SparkSession, name: str, step: Callable[[DataFrame, int], None], root: str,
+                timeout_s: float | None = None) -> None:
+    """Call ``step(rows, batch id)`` for each micro-batch; progress is kept below ``root``."""
+    writer = (stream.writeStream.outputMode("append").foreachBatch(step)
+              .option("checkpointLocation", f"{root}/checkpoint"))
+    _start_and_wait(writer, name, timeout_s)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from suitelens.operators import lifecycle as lc
 from suitelens.streaming.lifecycle import track_jobs_stream, track_readiness_stream
-from suitelens.streaming.runner import run_available_now
 
 T0 = dt.datetime(2024, 1, 1, 0, 0, 0)
 
@@ -54,8 +53,7 @@ def test_readiness_stream_equals_batch(spark):
     batch = {r.rid: (r.state, r.decided_at) for r in
              lc.track_readiness(batch_in, resource="rid", tiebreak="id").collect()}
     stream = _as_stream(spark, batch_in)
-    out = run_available_now(track_readiness_stream(stream, "rid", "ts", "status", "id", 300, "0 seconds"),
-                            spark, "test-readiness")
+    out = track_readiness_stream(stream, "rid", "ts", "status", "id", 300, "0 seconds")
     got = {r.resource: (r.state, r.decided_at) for r in out.collect()}
     sentinel = ids["sentinel"]
     assert sentinel not in got  # its own deadline is after the last watermark
@@ -78,8 +76,8 @@ def test_jobs_batch_and_stream(spark):
     got = {r.job_id: (r.state, r.decided_poll, r.fail_reason) for r in lc.track_jobs(df, tiebreak="id").collect()}
     assert got == {1: ("done", 30, None), 2: ("timed_out", 30, None), 3: ("failed", 3, "quota"),
                    4: ("pending", 5, None)}
-    out = run_available_now(track_jobs_stream(_as_stream(spark, df), "job_id", "poll_ts", "status", "fail_reason",
-                                              "id"), spark, "test-jobs")
+    later = spark.createDataFrame([(99, 0, _t(10 ** 6), "RUNNING", None)], df.schema)   # moves the watermark
+    out = track_jobs_stream(_as_stream(spark, df.unionByName(later)), "job_id", "poll_ts", "status", "fail_reason", "id")
     streamed = {r.job_id: (r.state, r.decided_poll, r.fail_reason) for r in out.collect()}
     assert streamed == {k: v for k, v in got.items() if v[0] != "pending"}
 
@@ -111,8 +109,7 @@ def test_readiness_stream_across_micro_batches(spark):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(os.path.join(d, f"in{n}"))
         _time.sleep(1.1)
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in*"))
-    out = run_available_now(track_readiness_stream(src, "rid", "ts", "status", "id", 300, "0 seconds"),
-                            spark, "test-readiness-3")
+    out = track_readiness_stream(src, "rid", "ts", "status", "id", 300, "0 seconds")
     got = {r.resource: (r.state, r.decided_at) for r in out.collect()}
     batch = {r.rid: (r.state, r.decided_at) for r in
              lc.track_readiness(spark.createDataFrame(rows, schema), resource="rid", tiebreak="id").collect()}
@@ -131,8 +128,7 @@ def test_readiness_stream_in_other_session_time_zone(spark):
         batch = {r.rid: (r.state, r.decided_at) for r in
                  lc.track_readiness(df, resource="rid", tiebreak="id").collect()}
         src = _as_stream(spark, df).withColumn("ts", F.col("ts").cast("timestamp"))
-        out = run_available_now(track_readiness_stream(src, "rid", "ts", "status", "id", 300, "0 seconds"),
-                                spark, "test-readiness-tz")
+        out = track_readiness_stream(src, "rid", "ts", "status", "id", 300, "0 seconds")
         got = {r.resource: (r.state, r.decided_at) for r in
                out.select("resource", "state", F.col("decided_at").cast("timestamp_ntz").alias("decided_at"))
                .collect()}
@@ -141,20 +137,50 @@ def test_readiness_stream_in_other_session_time_zone(spark):
         spark.conf.set(key, old)
 
 
-def test_readiness_stream_state_expires_after_retention(spark):
+def _stream_of_files(spark, name, batches, schema):
+    """A stream that reads one file per micro-batch, in this order."""
     import time as _time
-    schema = "rid long, id long, ts timestamp, status string"
-    batches = [[(1, 1, _t(0), "ACTIVE")],
-               [(9, 2, _t(10000), "BUILD")],                           # watermark -> 10000 s
-               [(1, 3, _t(20000), "BUILD"), (9, 4, _t(30000), "BUILD")]]
-    d = tempfile.mkdtemp(prefix="suitelens-test-retain-")
+    d = tempfile.mkdtemp(prefix=f"suitelens-test-{name}-")
     for n, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(d, f"in{n}"))
         _time.sleep(1.1)
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in*"))
-    out = run_available_now(track_readiness_stream(src, "rid", "ts", "status", "id", 300, "0 seconds",
-                                                   retain_s=300), spark, "test-retain")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in*"))
+
+
+def test_later_events_never_give_a_second_decision(spark):
+    schema = "rid long, id long, ts timestamp, status string"
+    batches = [[(1, 1, _t(0), "ACTIVE")],
+               [(9, 2, _t(10000), "BUILD")],                           # watermark -> 10000 s
+               [(1, 3, _t(20000), "BUILD"), (9, 4, _t(30000), "BUILD")],
+               [(1, 5, _t(90000), "ERROR")]]
+    out = track_readiness_stream(_stream_of_files(spark, "once", batches, schema), "rid", "ts", "status", "id", 300, "0 seconds")
     got = sorted((r.resource, r.state, r.decided_at) for r in out.collect())
-    # resource 1: ready at 0; its state is dropped once the watermark passes 300 s, so the
-    # event at 20000 s starts a new run, which times out at 20300 s
-    assert got == [(1, "ready", _t(0)), (1, "timed_out", _t(20300)), (9, "timed_out", _t(10300))]
+    assert got == [(1, "ready", _t(0)), (9, "timed_out", _t(10300))]
+
+
+def test_streams_equal_batch_on_shuffled_files_with_a_hot_key(spark):
+    import random
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        key = 0 if i % 3 == 0 else rng.randrange(1, 60)    # one key holds a third of the rows
+        rows.append((key, i, _t(rng.randrange(0, 4000)), rng.choice(["BUILD"] * 8 + ["ACTIVE", "ERROR"])))
+    rng.shuffle(rows)
+    parts = [rows[k::6] for k in range(6)] + [[(999, 10 ** 6, _t(10 ** 6), "BUILD")]]
+    schema = "rid long, id long, ts timestamp, status string"
+    every = spark.createDataFrame(rows, schema)
+    src = _stream_of_files(spark, "shuffled", parts, schema)
+    out = track_readiness_stream(src, "rid", "ts", "status", "id", 300, "2 hours")
+    batch = lc.track_readiness(every, resource="rid", tiebreak="id")
+    assert sorted((r.resource, r.state, r.decided_at) for r in out.collect()) == sorted(
+        (r.rid, r.state, r.decided_at) for r in batch.collect())
+
+    def as_polls(df):
+        st = F.when(F.col("status") == "ACTIVE", "SUCCESS").when(F.col("status") == "ERROR", "FAIL").otherwise("RUNNING")
+        return df.select("rid", "id", "ts", st.alias("status"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("why"))
+
+    out = track_jobs_stream(as_polls(_stream_of_files(spark, "shuffled2", parts, schema)), "rid", "ts", "status", "why", "id",
+                            delay="2 hours")
+    batch = lc.track_jobs(as_polls(every), "rid", "ts", "status", "why", "id").where("state <> 'pending'")
+    key = lambda r: tuple("" if v is None else v for v in r)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(map(tuple, batch.collect()), key=key)

@@ -54,14 +54,14 @@ def test_tail_lines(spark):
     assert {r.pos: r.from_end for r in out}[49] == 1
 
 
-def test_stream_totals_accumulate_over_micro_batches(spark):
+def test_stream_totals_accumulate_over_micro_batches(spark, monkeypatch):
     import os
     import tempfile
     import time
 
-    from suitelens.streaming.logs import stream_log_totals
-    from suitelens.streaming.runner import run_complete_to_table
+    from suitelens.streaming import logs as stream_logs
 
+    monkeypatch.setattr(stream_logs, "MERGE_EVERY", 2)   # the last part is added to a merged one
     d = tempfile.mkdtemp(prefix="suitelens-test-totals-")
     line = "Tests: succeeded {}, failed {}, canceled 0, ignored 0, pending 0\n"
     for n, (log, s, f) in enumerate([("a", 1, 0), ("b", 2, 1), ("a", 3, 2)]):
@@ -69,8 +69,7 @@ def test_stream_totals_accumulate_over_micro_batches(spark):
         with open(os.path.join(d, log, f"part{n}.txt"), "w") as fh:
             fh.write(line.format(s, f) + "noise\n")
         time.sleep(1.1)
-    totals = stream_log_totals(spark, os.path.join(d, "*", "*.txt"),
-                               key_col=F.regexp_extract("file", r"/([ab])/part", 1), max_files_per_trigger=1)
-    got = sorted((r.log, r.n_counter_lines, r.succeeded, r.failed)
-                 for r in run_complete_to_table(totals, spark, "test-totals").collect())
+    rows = stream_logs.stream_log_counters(spark, os.path.join(d, "*", "*.txt"), max_files_per_trigger=1)
+    totals = stream_logs.run_log_totals(rows, spark, "test-totals", F.regexp_extract("file", r"/([ab])/part", 1))
+    got = sorted((r.log, r.n_counter_lines, r.succeeded, r.failed) for r in totals.collect())
     assert got == [("a", 2, 4, 2), ("b", 1, 2, 1)]

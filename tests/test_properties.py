@@ -75,7 +75,8 @@ def test_classify_addresses_matches_walk(spark, servers):
 
 @SETTINGS
 @given(st.lists(st.text(min_size=0, max_size=90), min_size=1, max_size=10),
-       st.lists(st.floats(0, 100000, allow_nan=False).map(lambda x: round(x, 2)), min_size=1, max_size=10))
+       st.lists(st.floats(0, 100000, allow_nan=False) | st.integers(0, 800_000).map(lambda x: x / 8 + 0.005)
+                | st.integers(0, 10 ** 7).map(lambda x: x / 1000) | st.floats(0, 1e-5), min_size=1, max_size=10))
 def test_text_helpers_match_python(spark, texts, secs):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.s for r in df.select("i", C.shorten_command("t").alias("s")).collect()}

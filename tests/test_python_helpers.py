@@ -5,49 +5,6 @@ stand-in for ``GroupState``."""
 import pandas as pd
 
 from suitelens.sources.inventory import _first_line_batches
-from suitelens.streaming.lifecycle import _jobs_fn, _readiness_fn
-
-S = 1_000_000  # microseconds per second
-
-
-class FakeState:
-    """The subset of pyspark's GroupState the state functions use."""
-
-    def __init__(self, watermark_ms=0):
-        self.value = None
-        self.timeout_ms = None
-        self.hasTimedOut = False
-        self.watermark_ms = watermark_ms
-
-    @property
-    def exists(self):
-        return self.value is not None
-
-    @property
-    def get(self):
-        return self.value
-
-    def update(self, v):
-        self.value = tuple(v)
-
-    def remove(self):
-        self.value = None
-        self.timeout_ms = None
-
-    def setTimeoutTimestamp(self, ms):
-        assert ms >= self.watermark_ms
-        self.timeout_ms = ms
-
-    def getCurrentWatermarkMs(self):
-        return self.watermark_ms
-
-
-def _call(fn, key, state, rows=None):
-    """One call of the state function for ``key`` with ``rows`` (a column dict)."""
-    batches = iter([pd.DataFrame(rows)]) if rows else iter([])
-    out = list(fn((key,), batches, state))
-    state.hasTimedOut = False
-    return pd.concat(out, ignore_index=True).to_dict("records") if out else []
 
 
 def test_first_line_marks_only_the_start_of_offset_zero_splits():
@@ -63,47 +20,3 @@ def test_first_line_across_batch_boundary_is_not_repeated():
     b2 = pd.DataFrame({"file": ["a"], "block": [0], "seq": [2], "value": ["x"]})
     out = pd.concat(list(_first_line_batches(iter([b1, b2]))), ignore_index=True)
     assert out["is_first"].tolist() == [True, False]
-
-
-def test_readiness_state_machine():
-    fn = _readiness_fn(timeout_s=300, retain_s=600)
-    st = FakeState()
-    # first sight at 0 s, transient status: undecided, timer at the deadline
-    assert _call(fn, 1, st, {"ts_us": [0], "tiebreak": [1], "status": ["BUILD"]}) == []
-    assert st.value == (0, False, 300 * S) and st.timeout_ms == 300_000
-    # ACTIVE at exactly the deadline does not count; the watermark later passes it
-    assert _call(fn, 1, st, {"ts_us": [300 * S], "tiebreak": [2], "status": ["ACTIVE"]}) == []
-    st.watermark_ms, st.hasTimedOut = 400_000, True
-    out = list(fn((1,), iter([]), st))
-    st.hasTimedOut = False
-    rows = pd.concat(out).to_dict("records")
-    assert rows == [{"resource": 1, "first_seen_us": 0, "state": "timed_out", "decided_at_us": 300 * S}]
-    assert st.value == (0, True, 900 * S) and st.timeout_ms == 900_000
-    # later events of the decided resource are ignored while retained
-    assert _call(fn, 1, st, {"ts_us": [500 * S], "tiebreak": [3], "status": ["ERROR"]}) == []
-    # retention over: the state is dropped
-    st.watermark_ms, st.hasTimedOut = 1_000_000, True
-    assert list(fn((1,), iter([]), st)) == [] and st.value is None
-
-
-def test_readiness_decides_on_first_terminal_in_window():
-    fn = _readiness_fn(timeout_s=300, retain_s=300)
-    st = FakeState()
-    rows = _call(fn, 7, st, {"ts_us": [20 * S, 10 * S, 30 * S], "tiebreak": [3, 2, 4],
-                             "status": ["ACTIVE", "ERROR", "ACTIVE"]})
-    assert rows == [{"resource": 7, "first_seen_us": 10 * S, "state": "failed", "decided_at_us": 10 * S}]
-
-
-def test_jobs_state_machine():
-    fn = _jobs_fn(max_polls=3, retain_s=100)
-    st = FakeState()
-    assert _call(fn, 5, st, {"ts_us": [1 * S, 2 * S], "tiebreak": [1, 2], "status": ["RUNNING", "RUNNING"],
-                             "fail_reason": [None, None]}) == []
-    assert st.value[:2] == (2, False)
-    rows = _call(fn, 5, st, {"ts_us": [3 * S, 4 * S], "tiebreak": [3, 4], "status": ["RUNNING", "SUCCESS"],
-                             "fail_reason": [None, None]})
-    assert rows == [{"job_id": 5, "state": "timed_out", "decided_poll": 3, "fail_reason": None}]
-    assert st.value[:2] == (3, True)
-    st2 = FakeState()
-    rows = _call(fn, 6, st2, {"ts_us": [1 * S], "tiebreak": [1], "status": ["FAIL"], "fail_reason": ["quota"]})
-    assert rows == [{"job_id": 6, "state": "failed", "decided_poll": 1, "fail_reason": "quota"}]
