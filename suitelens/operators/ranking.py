@@ -28,6 +28,12 @@ from ..session import new_shared_dir
 _PID_SHIFT = 33  # monotonically_increasing_id: partition id in the upper 31 bits
 
 
+def ranged_rows(df: DataFrame, sort_cols: list, n: int) -> DataFrame:
+    """Rows in ``n`` ranges of ``sort_cols``, in order, with a position and its range's number."""
+    out = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols).withColumn("_mid", F.monotonically_increasing_id())
+    return out.withColumn("_pid", F.shiftright(F.col("_mid"), _PID_SHIFT))
+
+
 def grouped_row_number(df: DataFrame, keys: list[str], order: list, out: str = "rn",
                        num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based row number within ``keys`` ordered by ``order``.
@@ -38,10 +44,7 @@ def grouped_row_number(df: DataFrame, keys: list[str], order: list, out: str = "
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     sort_cols = [F.col(k) for k in keys] + order_cols
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *sort_cols)
-              .sortWithinPartitions(*sort_cols)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_pid", F.shiftright(F.col("_mid"), _PID_SHIFT))
+    ranged = ranged_rows(df, sort_cols, n)
     path = new_shared_dir(df.sparkSession, "numbering")
     ranged.write.parquet(path)
     ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)

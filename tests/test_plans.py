@@ -48,9 +48,30 @@ def test_top_k_is_a_partial_window_group_limit(plans, name):
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
-@pytest.mark.parametrize("name", ["numbered_listing", "pair_by_position"])
-def test_numbering_is_range_partitioned(plans, name):
-    assert "rangepartitioning" in plans[name]
+def test_numbering_is_range_partitioned(spark):
+    from suitelens.operators.ranking import ranged_rows
+    p = plan_of(ranged_rows(spark.range(1000), [F.col("id")], 8))
+    assert "rangepartitioning" in p and "SinglePartition" not in p
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_numbering_with_payload_equals_the_plain_window(spark, reuse):
+    from pyspark.sql import Window
+
+    from suitelens.operators.ranking import grouped_row_number
+    df = spark.range(120_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 11).alias("k"),
+                                     F.xxhash64("id").alias("o"), F.concat(F.lit("payload "), F.col("id").cast("string")).alias("text"))
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.exchange.reuse")
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.set(k, reuse)
+        got = grouped_row_number(df, ["k"], ["o"], "rn", num_partitions=8)
+        want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o")).cast("long"))
+        assert got.count() == 120_000 and got.select("k", "o", "text", F.col("rn").cast("long")).exceptAll(want).count() == 0
+    finally:
+        for k, v in zip(keys, old):
+            spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("name", ["named_resources", "expiry", "short_command", "durations", "address_classes",
@@ -73,3 +94,55 @@ def test_hot_key_is_split_over_range_partitions(spark):
     sizes = [r["n"] for r in df.repartitionByRange(16, "k", "id").groupBy(F.spark_partition_id().alias("p"))
              .agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) == 16 and max(sizes) < 2 * (40000 / 16)
+
+
+# ---- frames behind the queries that only show the read-back of what they wrote
+
+def test_address_reader_has_no_python(spark, tmp_path):
+    from suitelens.sources.inventory import read_addresses
+    (tmp_path / "a.txt").write_text("ID\tIP\na\t1\n")
+    p = plan_of(read_addresses(spark, str(tmp_path)))
+    assert "Python" not in p and "MapInPandas" not in p and "Exchange" not in p
+
+
+def test_report_parse_is_one_pass_over_file_names(spark, tmp_path):
+    from suitelens.operators import suites
+    from suitelens.sources.reports import scan_reports
+    (tmp_path / "TEST-a.xml").write_text('<testsuite tests="1"/>')
+    p = plan_of(suites.summarize(scan_reports(spark, str(tmp_path))))
+    assert p.count("MapInPandas") == 1 and "binaryFile" not in p and "BroadcastNestedLoopJoin" not in p
+    assert "content" not in p  # contents never pass through Spark
+
+
+def test_counter_records_reduce_before_they_shuffle(spark):
+    from suitelens.operators import logs
+    from suitelens.plans.logs import month_log_lines
+    p = plan_of(logs.log_counter_records(month_log_lines(spark, SF), key="log"))
+    assert "partial_bool_or" in p or "partial_max" in p
+
+
+@pytest.mark.parametrize("name,left", [("failed_ids", "l_orderkey"), ("shortfall", "l_orderkey")])
+def test_right_side_is_reduced_before_the_join(plans, name, left):
+    p = plans[name]
+    join = p[p.index("Join"):]
+    assert join.count("HashAggregate(keys=[" + left) >= 1 or "HashAggregate(keys=[_sk" in join
+
+
+def test_lines_are_reduced_before_the_joins(plans):
+    p = plans["log_verdict"]
+    assert p.index("Join") < p.index("HashAggregate(keys=[c_custkey")
+
+
+@pytest.mark.parametrize("name", ["registry_upsert", "shard_assignment", "shard_cover", "failed_ids", "suite_summary"])
+def test_building_starts_no_job(spark, name):
+    sc = spark.sparkContext
+    group = f"build-{name}"
+    QUERIES["count_by_kind"](spark, SF)  # ships the package
+    sc.setJobGroup(group, name)
+    try:
+        QUERIES[name](spark, SF)
+        jobs = list(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setJobGroup("none", "none")
+    # reading a parquet table's schema is a job of its own kind; no table is scanned
+    assert len(jobs) <= 4

@@ -19,14 +19,14 @@ sys.path.insert(0, ROOT)
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from suitelens.session import get_session
-    import __spark_entry__ as entry
+    from suitelens.plans import all_queries
     spark = get_session("local[8]", 8)
     out = ["# Physical plans of the registered queries", "",
            f"Generated by `tools/explain_plans.py` on `{sf_dir}` with local[8], 8 shuffle partitions, AQE on.",
            "Look for: `PushedFilters` / `ReadSchema` on scans, `WindowGroupLimit ... Partial` before",
            "exchanges (top-k per key), `rangepartitioning` for skew-safe numbering, partial aggregates",
            "before every hash exchange, and no nested-loop joins.", ""]
-    for name, fn in sorted(entry.queries().items()):
+    for name, fn in sorted(all_queries().items()):
         df = fn(spark, sf_dir)
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
