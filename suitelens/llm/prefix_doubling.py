@@ -6,9 +6,9 @@ growing lengths, and only positions whose rank is shared go on to the next lengt
 
 * length ``gram``: the anchors of all windows (see ``repeats``), ranked across the whole
   corpus by a shuffle on their names; unique ones leave;
-* then, in the shuffle by anchor, positions are sorted by rank pairs ``(rank of s, rank of
-  s + half)``, doubling the length until it reaches the threshold ``width``; after each sort
-  positions are ranked anew.
+* then, in the shuffle by anchor, positions are ranked at half the threshold ``width``, and
+  those that share a rank are sorted by the pair ``(rank of s, rank of s + half)``, which ranks
+  them at the threshold.
 
 Defined cases: a null or empty text has no bytes; a text shorter than ``width`` keeps
 all; of repeated rows with one id none counts as smaller; a null id is smaller than all;
@@ -22,28 +22,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from suitelens.llm.repeats import ADDED, Symbols, remove_repeats
+from suitelens.llm.repeats import ADDED, Symbols, remove_repeats, window_names_sliced
 
 WIDTH, GRAM = 50, 20
 
 
 def rank_windows(names: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """Ranks of the strings of ``width`` symbols at ``starts``: equal strings, equal ranks.
-    Prefix doubling: ranks of one symbol, then of pairs of ranks at growing offsets."""
-    if not len(starts):
-        return np.zeros(0, np.int64)
-    _, rank = np.unique(names, return_inverse=True)
-    rank = rank.astype(np.int64)
-    length = 1
-    while length < width:
-        step = min(length, width - length)  # the last pair overlaps
-        if length + step >= width:
-            pair = rank[starts] * (int(rank.max()) + 1) + rank[starts + step]
-            return np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        pair = rank[:-step] * (int(rank.max()) + 1) + rank[step:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        length += step
-    return rank[starts]
+    Names are doubled up to half the width; then positions are sorted by the rank of their
+    first half, those that share it with others by the pair with the second half's."""
+    half = -(-width // 2)
+    halves = window_names_sliced(names, half)
+    _, rank, n = np.unique(halves[starts], return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(n[rank] > 1)  # the others are unique already
+    if half == width or not len(shared):
+        return rank
+    second = np.unique(halves[starts[shared] + width - half], return_inverse=True)[1]
+    pair = rank[shared] * (int(second.max()) + 1) + second
+    rank[shared] = len(n) + np.unique(pair, return_inverse=True)[1]
+    return rank
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text",

@@ -39,9 +39,9 @@ from pyspark.sql import types as T
 from suitelens.llm.common import TextChunk, partitions_for, prepare, small_enough, stored, text_chunks
 from suitelens.llm.words import NOT_SPACE, mix, span_names, split_words, window_names
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 19
 #: anchor names, and bytes of contexts, that one bucket holds at about
-BUCKET_ANCHORS, BUCKET_BYTES = 1 << 20, 12 << 20
+BUCKET_ANCHORS, BUCKET_BYTES = 1 << 19, 3 << 20
 #: answers up to this size are broadcast to the batches; larger ones are joined by shuffle
 BROADCAST_BYTES = 32 << 20
 _SLICE = 1 << 18
@@ -88,7 +88,8 @@ class Batch:
         self.low = at[cut]  # first and last window of each anchor
         self.high = at[np.append(cut[1:], len(at)) - 1] if len(at) else at
         self.place = place[cut]
-        self.anchor = grams[self.place] if len(cut) else np.zeros(0, np.uint64)
+        # least names are small numbers; named anew, they spread evenly over buckets
+        self.anchor = mix(grams[self.place] + np.uint64(1)) if len(cut) else np.zeros(0, np.uint64)
         self.doc = np.searchsorted(self.last, self.low, "right")
 
     def unique_anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +305,7 @@ def _repeated_anchors(batches: DataFrame, kind: Symbols, buckets: int) -> DataFr
     return stored(dealt(sent, buckets).mapInArrow(answer, _ANSWER), "anchors")
 
 
-def _with(batches: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+def with_answers(batches: DataFrame, answers: DataFrame, name: str) -> DataFrame:
     """Each batch with its answers as the array ``name``."""
     one = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))  # bounded by a batch
     if small_enough(answers, "bits", BROADCAST_BYTES):
@@ -426,16 +427,16 @@ def remove_repeats(docs: DataFrame, kind: Symbols, compare: Callable, doc_id: st
     docs = docs.select(*[c for c in docs.columns if c not in added.names or c in (doc_id, text)])
     batches = pack_batches(docs, doc_id, text)
     total = int(batches.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0)
-    spread = max(12, partitions_for(total, 4 * BATCH_BYTES))
+    spread = max(12, partitions_for(total, 8 * BATCH_BYTES))
     symbols = total // (6 if kind.words else 1)
     anchor_buckets = max(spread, partitions_for(2 * symbols // (kind.width - kind.gram + 2), BUCKET_ANCHORS))
     anchors = _repeated_anchors(batches, kind, anchor_buckets)
     alive = int(anchors.agg(F.sum("n_set").alias("n")).first()["n"] or 0)
     buckets = max(spread, partitions_for(alive * (6 if kind.words else 1) * (2 * kind.width - kind.gram), BUCKET_BYTES))
-    with_anchors = _with(batches, anchors.select("batch", "bucket", "bits"), "anchors")
+    with_anchors = with_answers(batches, anchors.select("batch", "bucket", "bits"), "anchors")
     windows = _earlier(with_anchors.select("batch", "n_bytes", "sizes", "ids", "copy", "body", "anchors"),
                        kind, anchor_buckets, buckets, compare)
-    both = _with(with_anchors, windows.select("batch", "bucket", "bits"), "windows")
+    both = with_answers(with_anchors, windows.select("batch", "bucket", "bits"), "windows")
 
     kept_columns = [f for f in docs.schema if f.name != text]
     schema = T.StructType([*kept_columns, *added.fields])
