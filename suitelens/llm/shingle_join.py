@@ -1,22 +1,24 @@
 """N-gram Jaccard join with prefix trees, and the classes that its links make.
 
 Two documents link when the Jaccard similarity of their sets of ``n``-word shingles is at
-least ``percent`` hundredths. Sets are globally ordered: shingles from frequent buckets of
-a count over all documents last, then by name. Linked sets share a shingle among their
-first ``size - ceil(size * percent / 100) + 1``, so those prefixes are shuffled by shingle.
+least ``percent`` hundredths. Sets are globally ordered: shingles that one document alone has
+first, frequent ones last, then by name. Linked sets share a shingle among their first
+``size - ceil(size * percent / 100) + 1``.
 
 1. Copies of a text take no part; they join the class of the text's smallest id.
-2. One pass counts shingles in a table of fixed size (any order gives right results;
-   this one keeps what a third of all documents share out of the prefixes).
-3. The prefixes meet by shingle. The documents that share one make a list. The document of
-   the least hash in each list is its pivot; pairs are the pivot with each other member
-   of a fitting size, so a list of n members makes fewer than n pairs.
-4. Pairs are joined with the two texts. For each pivot the sets are put into a prefix
-   tree in global order; the pivot's set walks down it, sets on one path share the overlap
-   counted so far, and a subtree ends where the overlap and what remains cannot reach the
-   threshold.
-5. Links make classes. What is left are pairs of one list in different classes without its
-   pivot: all of those are compared too, so no link between classes is lost.
+2. Each batch of documents sends its distinct shingles, as sorted and shortened names (about
+   two bytes each), to buckets, which answer with a level of frequency for each: 0 if no
+   other document has it. A shortened name can only make a shingle look more frequent, and
+   any order gives right results; this one keeps shared passages out of the prefixes.
+3. The prefixes, without what is unique, meet by shingle. The documents that share one make a list. A list has
+   a few pivots (1 up to 15 members, one more with each doubling), those that share most;
+   pairs are pivots with the other members of a fitting size, n log n for a list of n.
+4. Pairs are joined with the two texts. The sets of a pivot's partners are put into a prefix
+   tree; the pivot's set walks down it, sets on one path share the overlap counted so far,
+   and a set is left where the overlap and what remains cannot reach the threshold.
+5. Links make classes. In lists that then hold several classes, all documents are compared
+   with those outside the largest class, again by prefix trees, so that no link between
+   classes is lost.
 
 Defined cases: a null text or one without words has no shingles and links with nothing; a
 text of fewer than ``n`` words has one shingle, all its words; A-Z are lower-cased; rows
@@ -38,16 +40,18 @@ from pyspark.sql import functions as F
 
 from suitelens.llm.common import partitions_for, prepare, small_enough, stored
 from suitelens.llm.components import components
-from suitelens.llm.repeats import BROADCAST_BYTES, bucket_of, by_bucket, dealt, emit, open_batch, other_columns, pack_batches, rows_of, window_names_sliced
+from suitelens.llm.repeats import BROADCAST_BYTES, bucket_of, by_bucket, dealt, emit, open_batch, other_columns, pack_batches, rows_of, window_names_sliced, with_answers
 from suitelens.llm.words import LOWER, NOT_SPACE, mix, span_names, split_words
 
 SHINGLE, PERCENT = 5, 75
-#: cells of the table of counts
-CELLS = 1 << 20
-#: prefix shingles that one bucket holds at about
-BUCKET_SHINGLES = 1 << 20
-#: members of a prefix tree
-TREE_SETS = 256
+#: a shingle is on level 0 below the first of these counts of documents, on 1 below the second, and so on
+LEVELS = (2, 4, 32)
+#: bits of a short name beyond the number of shingles: one in 2**6 unique ones seems repeated
+SPARE_BITS = 6
+#: shingles that one bucket holds at about
+BUCKET_SHINGLES = 1 << 19
+#: members of a prefix tree, and documents that walk down it in one task
+TREE_SETS, CHUNK_DOCUMENTS = 256, 2048
 _BODY = ("batch", "n_bytes", "sizes", "ids", "copy", "body")
 _INDEX_BITS = 22  # a batch's documents are numbered below this many bits
 
@@ -68,81 +72,121 @@ def shingle_sets(data: np.ndarray, sizes: np.ndarray, n: int = SHINGLE) -> list[
     return out
 
 
-def _cell(names: np.ndarray) -> np.ndarray:
-    return (names % np.uint64(CELLS)).astype(np.int64)
+def _short(names: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits of names, which are in order; so are these."""
+    return names >> np.uint64(64 - bits)
 
 
-def _count(batches: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """Set sizes of all documents, by batch; and the level of each cell of counts."""
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for row in rows_of(parts):
-            data, sizes, _, copy = open_batch(row)
-            sets = shingle_sets(data, sizes, n)
-            own = [s for s, c in zip(sets, copy.tolist(), strict=True) if not c]
-            if own:
-                cells += np.bincount(_cell(np.concatenate(own)), minlength=CELLS)
-            yield emit([(0, row["batch"], np.array([len(s) for s in sets], "<i8").tobytes())], "kind long, key long, body binary")
-        for k, part in enumerate(np.split(cells, 64)):
-            if part.any():
-                yield emit([(1, k, zlib.compress(part.astype("<i8").tobytes(), 1))], "kind long, key long, body binary")
-
-    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+def _levels(batches: DataFrame, buckets: int, bits: int, n: int) -> DataFrame:
+    """For each batch and bucket the level of each distinct short name, two bits each."""
+    sent, back = "bucket long, batch long, n long, body binary, many binary", "batch long, bucket long, bits binary"
+
+    def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
         for row in rows_of(parts):
-            part = np.frombuffer(zlib.decompress(row["body"]), "<i8")
-            sums[row["key"]] = sums.get(row["key"], 0) + part
-        for k, part in sums.items():
-            yield emit([(k, part.tobytes())], "key long, body binary")
-
-    out = stored(batches.select(*_BODY)
-                 .mapInArrow(run, "kind long, key long, body binary"), "shingle-counts")
-    cells = np.zeros((64, CELLS // 64), np.int64)
-    # 64 parts of a table of fixed size
-    for r in out.filter("kind = 1").repartition(64, "key").mapInArrow(add, "key long, body binary").collect():
-        cells[r["key"]] += np.frombuffer(r["body"], "<i8")
-    cells = cells.ravel()
-    usual = 4 * cells.mean() + 16
-    level = np.maximum(0, np.ceil(np.log2(np.maximum(cells, 1) / usual))).astype(np.uint8)
-    return out.filter("kind = 0").select(F.col("key").alias("batch"), F.col("body").alias("counts")), level
+            names, count = _batch_names(*_sets(row, n), bits)
+            cut = _cuts(names, buckets, bits)
+            out = []
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                part = names[cut[b]:cut[b + 1]]
+                # differences, byte by byte: the high bytes are nearly all zero
+                body = np.diff(part, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+                out.append((b, row["batch"], len(part), pack(body), zlib.compress(np.packbits(count[cut[b]:cut[b + 1]] > 1).tobytes(), 1)))
+            if out:
+                yield emit(out, sent)
+
+    def answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        for b, rows in by_bucket(parts):
+            names, weight = [], []
+            for r in rows:
+                raw = np.frombuffer(unpack.decompress(r["body"], max_output_size=8 * r["n"]), np.uint8).reshape(8, -1)
+                names.append(np.cumsum(np.ascontiguousarray(raw.T).view("<u8").ravel(), dtype=np.uint64))
+                weight.append(1 + np.unpackbits(np.frombuffer(zlib.decompress(r["many"]), np.uint8), count=r["n"]))
+            every = np.concatenate(names)
+            order = np.argsort(every, kind="stable")
+            first = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
+            total = np.add.reduceat(np.concatenate(weight)[order].astype(np.int64), first)
+            level = np.empty(len(every), np.uint8)
+            level[order] = np.repeat(np.digitize(total, LEVELS).astype(np.uint8), np.diff(np.append(first, len(every))))
+            at, out = 0, []
+            for r in rows:
+                mine = level[at:at + r["n"]]
+                at += r["n"]
+                if mine.any():
+                    out.append((r["batch"], b, zlib.compress(np.packbits(np.stack([mine >> 1, mine & 1])).tobytes())))
+            if out:
+                yield emit(out, back)
+
+    return stored(dealt(batches.select(*_BODY).mapInArrow(send, sent), buckets).mapInArrow(answer, back), "levels")
+
+
+def _sets(row: dict, n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle sets of a batch's documents, which are copies, all bytes, and sizes."""
+    data, sizes, _, copy = open_batch(row)
+    return shingle_sets(data, sizes, n), copy, data, sizes
+
+
+def _batch_names(sets: list[np.ndarray], copy: np.ndarray, data: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct short names of documents that are no copies, and in how many each is."""
+    own = [s for s, c in zip(sets, copy.tolist(), strict=True) if not c]
+    return np.unique(_short(np.concatenate([*own, np.zeros(0, np.uint64)]), bits), return_counts=True)
+
+
+def _cuts(names: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    return np.searchsorted(bucket_of(names << np.uint64(64 - bits), buckets), np.arange(buckets + 1))
 
 
 def prefix(names: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first names of a set in global order, one of which every linked set has."""
+    """The first names of a set in global order, one of which every linked set has; those
+    of level 0, which no other set has, are left out."""
     n = len(names)
     take = n - -(-n * percent // 100) + 1
-    if take >= n:
-        return names
-    return names[np.argsort(level[_cell(names)], kind="stable")[:take]]
+    head = np.argsort(level, kind="stable")[:take]
+    return names[head[level[head] > 0]]
 
 
-def _candidates(batches: DataFrame, level, buckets: int, n: int, percent: int) -> DataFrame:
-    """kind 0: pairs ``x, y`` of documents (pivot, other); kind 1: documents ``y`` of ``size``
-    in the lists ``x`` of three and more."""
-    sent = "bucket long, batch long, body binary"
+def _candidates(batches: DataFrame, buckets: int, bits: int, meet_buckets: int, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs and lists (kind 0: pairs ``x, y`` of documents, pivot and other; kind 1: documents
+    ``y`` of ``size`` in the lists ``x`` of three and more); and by batch set sizes and digests."""
+    sent = "kind long, bucket long, batch long, body binary"
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
         for row in rows_of(parts):
-            data, sizes, _, copy = open_batch(row)
-            sets = shingle_sets(data, sizes, n)
-            heads = [prefix(s, level.value, percent) if len(s) and not c else s[:0] for s, c in zip(sets, copy.tolist(), strict=True)]
+            sets, copy, data, sizes = _sets(row, n)
+            short, _ = _batch_names(sets, copy, data, sizes, bits)
+            levels = np.zeros(len(short), np.uint8)
+            cut = _cuts(short, buckets, bits)
+            for a in row["levels"] or ():
+                m = int(cut[a["bucket"] + 1] - cut[a["bucket"]])
+                two = np.unpackbits(np.frombuffer(zlib.decompress(a["bits"]), np.uint8), count=2 * m).reshape(2, m)
+                levels[cut[a["bucket"]]:cut[a["bucket"] + 1]] = two[0] * 2 + two[1]
+            heads = [prefix(s, levels[np.searchsorted(short, _short(s, bits))], percent) if len(s) and not c else s[:0]
+                     for s, c in zip(sets, copy.tolist(), strict=True)]
             names = np.concatenate([*heads, np.zeros(0, np.uint64)])
             doc = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
             size = np.array([len(s) for s in sets], np.int64)
-            bucket = bucket_of(names, buckets)
+            bucket = bucket_of(names, meet_buckets)
             order = np.argsort(bucket, kind="stable")
             names, doc = names[order], doc[order]
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = []
+            cut = np.searchsorted(bucket[order], np.arange(meet_buckets + 1))
+            end = np.cumsum(sizes)
+            digests = b"".join(hashlib.sha256(data[a:z]).digest() for a, z in zip((end - sizes).tolist(), end.tolist(), strict=True))
+            out = [(1, -1, row["batch"], size.astype("<i8").tobytes() + digests)]
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 own, at = doc[cut[b]:cut[b + 1]], names[cut[b]:cut[b + 1]]
                 ids, count = np.unique(own, return_counts=True)
                 raw = b"".join([struct.pack("<II", len(ids), len(at)), ids.astype("<u4").tobytes(), size[ids].astype("<u4").tobytes(),
                                 count.astype("<u4").tobytes()])
-                out.append((b, row["batch"], struct.pack("<I", len(z := zlib.compress(raw, 1))) + z +
+                out.append((0, b, row["batch"], struct.pack("<I", len(z := zlib.compress(raw, 1))) + z +
                             at.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
-            if out:
-                yield emit(out, sent)
+            yield emit(out, sent)
 
     def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(parts):
@@ -159,13 +203,21 @@ def _candidates(batches: DataFrame, level, buckets: int, n: int, percent: int) -
                 sizes.append(np.repeat(size, count))
             yield from _lists(*(np.concatenate(x) for x in (names, docs, sizes)), percent)
 
-    pairs = batches.select(*_BODY).mapInArrow(send, sent)
-    return stored(dealt(pairs, buckets).mapInArrow(meet, "kind long, x long, y long, size long"), "candidates")
+    heads = stored(batches.select(*_BODY, "levels").mapInArrow(send, sent), "prefixes", "uncompressed")
+    pairs = dealt(heads.filter("kind = 0").select("bucket", "batch", "body"), meet_buckets).mapInArrow(meet, "kind long, x long, y long, size long")
+    return stored(pairs, "candidates"), heads.filter("kind = 1").select("batch", F.col("body").alias("info"))
+
+
+def _pivots(n: np.ndarray) -> np.ndarray:
+    """Pivots of a list of ``n`` members."""
+    return np.maximum(1, np.log2(n).astype(np.int64) - 2)
 
 
 def _lists(names: np.ndarray, docs: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     luck = mix(docs.astype(np.uint64))
-    order = np.lexsort((luck, names))
+    # members that share most come first: what copies were made from, if it is there
+    _, back, often = np.unique(docs, return_inverse=True, return_counts=True)
+    order = np.lexsort((luck, -often[back], names))
     names, docs, sizes, luck = names[order], docs[order], sizes[order], luck[order]
     first = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, np.int64)
     n = np.diff(np.append(first, len(names)))
@@ -178,11 +230,18 @@ def _lists(names: np.ndarray, docs: np.ndarray, sizes: np.ndarray, percent: int)
     sign = mix(np.add.reduceat(luck[member], begin) + n.astype(np.uint64))
     sign, one = np.unique(sign, return_index=True)
     first, n = first[one], n[one]
-    pivot = np.repeat(first, n - 1)
-    begin = np.cumsum(n - 1) - (n - 1)
-    other = np.repeat(first + 1 - begin, n - 1) + np.arange(int((n - 1).sum()))
-    fit = 100 * np.minimum(sizes[pivot], sizes[other]) >= percent * np.maximum(sizes[pivot], sizes[other])
-    x, y = docs[pivot[fit]], docs[other[fit]]
+    # pivots: a list's first members, more of them in longer lists
+    x, y = [], []
+    for k in range(int(_pivots(n).max())):
+        rows = np.flatnonzero(_pivots(n) > k)
+        m = n[rows] - 1 - k
+        begin = np.cumsum(m) - m
+        pivot = np.repeat(first[rows] + k, m)
+        other = np.repeat(first[rows] + k + 1 - begin, m) + np.arange(int(m.sum()))
+        fit = 100 * np.minimum(sizes[pivot], sizes[other]) >= percent * np.maximum(sizes[pivot], sizes[other])
+        x.append(docs[pivot[fit]])
+        y.append(docs[other[fit]])
+    x, y = np.concatenate(x), np.concatenate(y)
     keep = np.unique(np.stack([x, y], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
     x, y = keep[:, 0], keep[:, 1]
     long_ = n > 2
@@ -195,35 +254,64 @@ def _lists(names: np.ndarray, docs: np.ndarray, sizes: np.ndarray, percent: int)
                                              names=["kind", "x", "y", "size"])
 
 
-def tree_matches(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """Overlap of ``probe`` with each of ``sets`` that links with it, else -1. Sets are sorted
-    names. In order of their names the sets are the leaves of a prefix tree, met depth
-    first: what neighbours have in common is their path, whose overlaps are kept."""
-    out = np.full(len(sets), -1, np.int64)
-    order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
-    path, depth, overlap = np.zeros(0, np.uint64), 0, np.zeros(1, np.int64)  # overlap[d]: among the path's first d
-    for k in order:
-        s = sets[k]
-        m = min(len(s), depth)
-        differ = np.flatnonzero(s[:m] != path[:m])
-        d = int(differ[0]) if len(differ) else m  # this far the path is shared
-        need = -(-percent * (len(s) + len(probe)) // (100 + percent))  # least overlap that links
-        have = overlap[:d + 1]
-        pieces = [have]
-        total = int(have[-1])
-        while True:
-            at = int(np.searchsorted(probe, s[d - 1], "right")) if d else 0
-            if total + min(len(s) - d, len(probe) - at) < need or d == len(s):
-                break
-            part = s[d:d + 64]
-            where = np.minimum(np.searchsorted(probe, part), len(probe) - 1)
-            hits = total + np.cumsum(probe[where] == part)
-            pieces.append(hits)
-            total, d = int(hits[-1]), d + len(part)
-        path, depth, overlap = s, d, np.concatenate(pieces)
-        if d == len(s) and total >= need:
-            out[k] = total
-    return out
+class PrefixTree:
+    """Sets of names as paths of a prefix tree.
+
+    Names are ordered by how many of the sets have them, frequent ones first, so that
+    near copies share long paths. Sets in the order of their paths are the leaves, met depth
+    first; each adds the nodes below the path that it shares with the one before it.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        self.percent = percent
+        size = np.array([len(s) for s in sets], np.int64)
+        self.names, code, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        rank = np.empty(len(count), np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+        self.rank = rank
+        paths = [np.sort(p) for p in np.split(rank[code], np.cumsum(size)[:-1])] if len(sets) else []
+        self.order = sorted(range(len(paths)), key=lambda k: paths[k].astype(">u4").tobytes())
+        nodes, self.begin, self.parent, self.owner, self.shared, self.size = [], [], [], [], [], []
+        before, at = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last path and its nodes
+        total, owner = 0, np.zeros(0, np.int64)
+        for k, i in enumerate(self.order):
+            path = paths[i]
+            m = min(len(path), len(before))
+            differ = np.flatnonzero(path[:m] != before[:m])
+            d = int(differ[0]) if len(differ) else m
+            self.begin.append(total)
+            self.parent.append(int(at[d - 1]) if d else -1)
+            self.owner.append(int(owner[d - 1]) if d else -1)
+            self.shared.append(d)
+            self.size.append(len(path))
+            nodes.append(path[d:])
+            at = np.concatenate([at[:d], np.arange(total, total + len(path) - d)])
+            owner = np.concatenate([owner[:d], np.full(len(path) - d, k)])
+            before, total = path, total + len(path) - d
+        self.nodes = np.concatenate([*nodes, np.zeros(0, np.int64)])
+
+    def overlaps(self, probe: np.ndarray) -> np.ndarray:
+        """Overlap of ``probe`` with each set that it links with, else -1, in the sets' order."""
+        out = np.full(len(self.order), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.names, probe), max(0, len(self.names) - 1))
+        found = at[self.names[at] == probe] if len(self.names) else at[:0]
+        hit = np.zeros(len(self.names), np.int64)
+        hit[self.rank[found]] = 1
+        sums = np.concatenate([[0], np.cumsum(hit[self.nodes])]).tolist()
+        base: list[int] = []  # overlap of the path above each set's own nodes
+        n, have = len(probe), len(found)
+        for k, i in enumerate(self.order):
+            j = self.owner[k]
+            above = base[j] + sums[self.parent[k] + 1] - sums[self.begin[j]] if j >= 0 else 0
+            base.append(above)
+            own = self.size[k] - self.shared[k]
+            need = -(-self.percent * (self.size[k] + n) // (100 + self.percent))  # least overlap that links
+            if above + min(own, have - above) < need:
+                continue  # what remains cannot reach it
+            total = above + sums[self.begin[k] + own] - sums[self.begin[k]]
+            if total >= need:
+                out[i] = total
+        return out
 
 
 def _with_wanted(batches: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
@@ -238,11 +326,9 @@ def _with_wanted(batches: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
     return batches.select(*_BODY, *more).join(one, "batch")
 
 
-def _verify(pairs: DataFrame, batches: DataFrame, n: int, percent: int) -> DataFrame:
-    """``a, b, overlap, union`` of the pairs that link."""
-    asked = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
-
-    def texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``d, body``: the compressed texts of the documents ``d``."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         for row in rows_of(parts):
@@ -253,91 +339,143 @@ def _verify(pairs: DataFrame, batches: DataFrame, n: int, percent: int) -> DataF
             for k in range(0, len(out), 1000):
                 yield emit(out[k:k + 1000], "d long, body binary")
 
-    docs = stored(_with_wanted(batches, asked).mapInArrow(texts, "d long, body binary"), "texts", "uncompressed")
-    rows = (pairs.join(docs.select(F.col("d").alias("y"), F.col("body").alias("other")), "y")
-            .join(docs.select(F.col("d").alias("x"), F.col("body").alias("pivot")), "x").select("x", "y", "pivot", "other"))
+    return stored(_with_wanted(batches, nodes).mapInArrow(run, "d long, body binary"), "texts", "uncompressed")
 
-    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+def _unpacked_sets(bodies: list[bytes], n: int) -> list[np.ndarray]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    raw = [unpack(b) for b in bodies]
+    return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64), n)
+
 
-        def sets_of(bodies: list[bytes]) -> list[np.ndarray]:
-            raw = [unpack(b) for b in bodies]
-            return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64), n)
+_LINK = "a long, b long, overlap long, union long"
 
+
+def _verify(pairs: DataFrame, batches: DataFrame, n: int, percent: int) -> DataFrame:
+    """``a, b, overlap, union`` of the pairs that link."""
+    docs = _texts(batches, pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct())
+    rows = (pairs.join(docs.select(F.col("d").alias("y"), F.col("body").alias("other")), "y")
+            .join(docs.select(F.col("d").alias("x"), F.col("body").alias("pivot")), "x").select("x", "y", "pivot", "other"))
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             order = np.argsort(x, kind="stable")
             cut = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1])) if len(x) else []
             out = []
             for k, z in zip(cut, [*cut[1:], len(x)], strict=True):
-                probe = sets_of([batch.column(2)[int(order[k])].as_py()])[0]
+                probe = _unpacked_sets([batch.column(2)[int(order[k])].as_py()], n)[0]
                 for i in range(k, z, TREE_SETS):
                     rows = order[i:min(z, i + TREE_SETS)].tolist()
-                    sets = sets_of([batch.column(3)[r].as_py() for r in rows])
-                    for r, s, o in zip(rows, sets, tree_matches(probe, sets, percent).tolist(), strict=True):
+                    sets = _unpacked_sets([batch.column(3)[r].as_py() for r in rows], n)
+                    for r, s, o in zip(rows, sets, PrefixTree(sets, percent).overlaps(probe).tolist(), strict=True):
                         if o >= 0:
                             out.append((int(x[r]), int(y[r]), o, len(probe) + len(s) - o))
             if out:
-                yield emit(out, "a long, b long, overlap long, union long")
+                yield emit(out, _LINK)
+
+    return stored(rows.mapInArrow(compare, _LINK), "verified")
 
-    return stored(rows.mapInArrow(compare, "a long, b long, overlap long, union long"), "verified")
 
+def _across(candidates: DataFrame, nodes: DataFrame, batches: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between different classes within lists that the pivots left apart.
 
-def _rest(candidates: DataFrame, done: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list in different classes, without those compared already."""
-    lists = candidates.filter("kind = 1").select("x", "y", "size").distinct()
-    member = lists.join(nodes, lists.y == nodes.node, "left").select("x", "y", "size", F.coalesce("root", "y").alias("root"))
+    Lists with the same largest class make a cluster. Its documents outside that class are
+    put into prefix trees, block by block, and all its documents walk down each of them;
+    documents are dealt to (cluster, block, chunk), never as pairs. Of the links found a
+    task reports those that join classes which it has not joined yet.
+    """
+    member = (candidates.filter("kind = 1").select("x", "y").distinct().join(nodes, F.col("y") == nodes.node, "left")
+              .select("x", "y", F.coalesce("root", "y").alias("root")))
     member = stored(member, "lists")
     main = (member.groupBy("x", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("x")
             .agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("classes"))
             .filter("classes > 1").drop("classes"))
-    open_ = member.join(main, "x")
-    few = open_.filter("root != main").select("x", F.col("y").alias("y2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
-    pairs = (open_.join(few, "x").filter("root != root2 and (root = main or y < y2)")
-             .filter(100 * F.least("size", "size2") >= percent * F.greatest("size", "size2"))
-             .select(F.least("y", "y2").alias("x"), F.greatest("y", "y2").alias("y")).distinct())
-    known = done.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    return stored(pairs.join(known, ["x", "y"], "left_anti"), "pairs")
+    every = stored(member.join(main, "x").select("main", "y", "root").distinct(), "clusters")
+    outside = F.col("root") != F.col("main")
+    plan = every.groupBy("main").agg(F.ceil(F.count_if(outside) / TREE_SETS).cast("int").alias("blocks"),
+                                     F.ceil(F.count(F.lit(1)) / CHUNK_DOCUMENTS).cast("int").alias("chunks"))
+    dealt_ = every.join(plan, "main")
+    block, chunk = F.pmod(F.xxhash64("y"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("y", F.lit(1)), F.col("chunks")).cast("int")
+    columns = ["main", "block", "chunk", "kind", "y", "root"]
+    trees = dealt_.where(outside).withColumn("block", block).withColumn("kind", F.lit(0)) \
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(columns)
+    probes = dealt_.withColumn("chunk", chunk).withColumn("kind", F.lit(1)) \
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(columns)
+    docs = _texts(batches, every.select(F.col("y").alias("d")).distinct())
+    rows = (trees.unionByName(probes).join(docs.withColumnRenamed("d", "y"), "y").select(*columns, "body")
+            .repartition("main", "block", "chunk").sortWithinPartitions("main", "block", "chunk", "kind", "y"))
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, tree, up = None, [], None, {}
+
+        def top(r: int) -> int:
+            while up.get(r, r) != r:
+                up[r] = up.get(up[r], up[r])
+                r = up[r]
+            return r
+
+        for batch in parts:
+            out = []
+            for r in batch.to_pylist():
+                mine = (r["main"], r["block"], r["chunk"])
+                if mine != key:
+                    key, held, tree, up = mine, [], None, {}
+                if r["kind"] == 0:
+                    held.append(r)
+                    continue
+                if tree is None:
+                    sets = _unpacked_sets([h["body"] for h in held], n)
+                    tree = PrefixTree(sets, percent)
+                probe = _unpacked_sets([r["body"]], n)[0]
+                overlaps = tree.overlaps(probe)
+                for k in np.flatnonzero(overlaps >= 0).tolist():
+                    a, b = top(r["root"]), top(held[k]["root"])
+                    if a != b:
+                        up[a] = b
+                        o = int(overlaps[k])
+                        out.append((r["y"], held[k]["y"], o, len(probe) + len(sets[k]) - o))
+            if out:
+                yield emit(out, _LINK)
+
+    return stored(rows.mapInArrow(compare, _LINK), "across")
 
 
 def _link(batches: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Set sizes by batch, the components (``node, root``) and the verified links."""
-    spark = batches.sparkSession
-    total = int(batches.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0)
-    counts, level = _count(batches, n)
-    buckets = max(12, partitions_for(total // 6 * (100 - percent) // 100, BUCKET_SHINGLES))
-    found = _candidates(batches, spark.sparkContext.broadcast(level), buckets, n, percent)
+    """Sizes and digests by batch, the components (``node, root``) and the verified links."""
+    total = int(batches.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0) // 6 + 1  # about the number of shingles
+    bits = min(56, total.bit_length() + SPARE_BITS)
+    buckets = max(12, partitions_for(total, BUCKET_SHINGLES))
+    levels = _levels(batches, buckets, bits, n)
+    meet_buckets = max(12, partitions_for(total * (100 - percent) // 100, BUCKET_SHINGLES))
+    found, info = _candidates(with_answers(batches, levels, "levels"), buckets, bits, meet_buckets, n, percent)
     pairs = stored(found.filter("kind = 0").select("x", "y").distinct(), "pairs")
     linked = _verify(pairs, batches, n, percent)
     nodes = components(linked)
-    more = _rest(found, pairs, nodes, percent)
+    more = _across(found, nodes, batches, n, percent)
     if not more.isEmpty():
-        extra = _verify(more, batches, n, percent)
-        if not extra.isEmpty():
-            linked = linked.unionByName(extra)
-            nodes = components(linked)
-    return counts, nodes, linked
+        linked = linked.unionByName(more)
+        nodes = components(linked)
+    return info, nodes, linked
 
 
-def _documents(batches: DataFrame, counts: DataFrame) -> DataFrame:
+def _documents(batches: DataFrame, info: DataFrame) -> DataFrame:
     """``node, doc_id, n_shingles, copy, digest`` (of the text) of every row."""
     each = "node long, doc_id long, n_shingles long, copy boolean, digest binary"
 
     def unfold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for row in rows_of(parts):
-            data, sizes, ids, copy = open_batch(row)
-            end = np.cumsum(sizes)
+            ids = np.frombuffer(row["ids"], "<i8")
+            copy = np.unpackbits(np.frombuffer(row["copy"], np.uint8), count=len(ids)).astype(bool)
+            digests = [row["info"][8 * len(ids) + 32 * k:][:32] for k in range(len(ids))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array((row["batch"] << _INDEX_BITS) + np.arange(len(ids))), pa.array(ids, mask=ids == np.iinfo(np.int64).min),
-                 pa.array(np.frombuffer(row["counts"], "<i8")), pa.array(copy),
-                 pa.array([hashlib.sha256(data[a:z]).digest() for a, z in zip((end - sizes).tolist(), end.tolist(), strict=True)], pa.binary())],
+                 pa.array(np.frombuffer(row["info"], "<i8", len(ids))), pa.array(copy), pa.array(digests, pa.binary())],
                 names=[f.split()[0] for f in each.split(", ")])
 
-    return stored(batches.select(*_BODY).join(counts, "batch").mapInArrow(unfold, each), "documents")
+    return stored(batches.select("batch", "ids", "copy").join(info, "batch").mapInArrow(unfold, each), "documents")
 
 
 def jaccard_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text",
@@ -346,8 +484,8 @@ def jaccard_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, d
     links ``a, b, overlap, union`` between document ids that the classes were made from."""
     prepare(docs.sparkSession)
     batches = pack_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
-    counts, nodes, linked = _link(batches, n, percent)
-    docs = _documents(batches, counts)
+    info, nodes, linked = _link(batches, n, percent)
+    docs = _documents(batches, info)
     rooted = docs.filter("not copy").join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     known = stored(rooted.join(least, "root").select("doc_id", "n_shingles", "digest", "component_id"), "classes")
@@ -369,8 +507,8 @@ def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, doc_id:
     least id. A document without shingles is a class of its own."""
     prepare(docs.sparkSession)
     batches = pack_batches(docs.withColumn("_no_text", F.col(text).isNull()), doc_id, text)
-    counts, nodes, _ = _link(batches, n, percent)
-    rows = _documents(batches, counts)
+    info, nodes, _ = _link(batches, n, percent)
+    rows = _documents(batches, info)
     rooted = rows.filter("not copy and n_shingles > 0").join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "node"))["node"].alias("d")).select("d") \
         .unionByName(rows.filter("n_shingles = 0").select(F.col("node").alias("d")))
