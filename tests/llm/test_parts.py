@@ -181,3 +181,24 @@ def test_repeated_rows_of_one_id(spark):
     classes = shingle_join.jaccard_classes(docs).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in classes) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1)]
     assert sorted(r.doc_id or 0 for r in shingle_join.keep_one(docs).collect()) == [0, 1]
+
+
+def test_components_of_random_links(spark):
+    from suitelens.llm.components import components
+    rng = random.Random(8)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, k) for k in range(1001, 1060)] + \
+        [(k, k + 1) for k in range(2000, 2040)] + [(5, 5)]
+    up = {}
+
+    def top(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    touched = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {x: top(x) for x in touched}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
