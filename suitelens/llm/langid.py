@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from suitelens.llm.common import prepare, text_chunks
+from suitelens.llm.common import prepare, stored, text_chunks
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (2, 3, 4)
 #: bounds of the training sample: documents of a language, of all, and bytes of a document
@@ -153,8 +153,12 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", allowed: Column
     if allowed is not None:
         rows = rows.filter(allowed)
     rows = rows.select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    # which texts: by hashes alone, each text once; then those texts
     nth = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    sample = rows.withColumn("n", nth).filter(F.col("n") <= per_language).orderBy("n", "l").limit(documents).collect()
+    chosen = rows.select("l", "h").distinct().withColumn("n", nth).filter(F.col("n") <= per_language).orderBy("n", "l").limit(documents)
+    chosen = stored(chosen, "sample")
+    sample = (rows.join(F.broadcast(chosen), ["l", "h"]).groupBy("l", "h", "n").agg(F.first("t").alias("t"))
+              .orderBy("n", "l").collect())
     languages = sorted({r["l"] for r in sample})
     number = {v: k for k, v in enumerate(languages)}
     spare = [r for r in sample if r["n"] % 5 == 0]
