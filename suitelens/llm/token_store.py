@@ -34,6 +34,8 @@ from suitelens.llm.tokens import encoder
 BLOCK_IDS = 1 << 17
 #: text of one output partition
 PARTITION_BYTES = 24 << 20
+#: partitions of the files (16 bytes each) whose places are broadcast; more are joined by shuffle
+BROADCAST_PARTS = 1 << 20
 _MAGIC = b"S8B1"
 _NULL = np.iinfo(np.int64).min
 _FILE = "part long, block long, part_start long, n_docs long, n_ids long, payload binary"
@@ -106,6 +108,8 @@ def map_documents(spark: SparkSession, path: str, function: Callable[[np.ndarray
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per partition of the files
     before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                          .alias("before"))
+    if sums.count() <= BROADCAST_PARTS:  # the blocks themselves then stay where they are read
+        before = F.broadcast(before)
     mine = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
