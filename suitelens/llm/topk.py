@@ -2,11 +2,12 @@
 
 Vectors are stored by descending length. They are rotated into the basis of the second
 moment's singular vectors, where the first coordinates hold most of an inner product. For
-a block of queries each task goes through its vectors in order: it ends where the longest
-one left cannot reach the k-th best score so far (Cauchy-Schwarz on whole vectors); before,
+a block of queries each task goes through its vectors in steps: it skips a step whose longest
+one cannot reach the k-th best score so far (Cauchy-Schwarz on whole vectors); in the others,
 it sums the first rotated coordinates and drops pairs whose sum plus the product of the
 residual lengths stays below it (Cauchy-Schwarz on residuals). What is left is
-scored exactly, in integers. The k-th best starts from the longest vectors of all.
+scored exactly, in integers. The k-th best starts from the longest vectors of all. The order
+makes skips frequent; no result depends on it, as Spark packs files into partitions by size.
 
 Queries are processed in blocks of a bounded number; each block is a scan of the
 vectors. A task returns at most k candidates per query, and the best k of those are
@@ -100,13 +101,12 @@ class Queries:
         held = 0
         for batch in parts:
             rows, ids, norm2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            x = _matrix(batch.column(2), self.v.shape[1])
             for a in range(0, len(rows), STEP):
-                part = x[a:a + STEP]
-                q = np.flatnonzero(self.norm * np.sqrt(norm2[a]) * (1 + 1e-9) >= bound)
+                # a partition may hold several files in any order: longer vectors can follow shorter ones
+                q = np.flatnonzero(self.norm * np.sqrt(norm2[a:a + STEP].max()) * (1 + 1e-9) >= bound)
                 if not len(q):
-                    yield from self._emit(best)
-                    return  # all that follows is shorter
+                    continue
+                part = _matrix(batch.column(2).slice(a, STEP), self.v.shape[1])
                 turned = part @ self.turn
                 size = np.sqrt(norm2[a:a + STEP])
                 alive = self.norm[q][:, None] * size[None, :] * (1 + 1e-9) >= bound[q][:, None]

@@ -4,12 +4,13 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from suitelens.llm import decontaminate, langid, packing, prefix_doubling, sharding, shingle_join, simple8b, suffix_trees, words
+from suitelens.llm import decontaminate, langid, packing, prefix_doubling, sharding, shingle_join, simple8b, suffix_trees, topk, words
 from suitelens.llm.repeats import window_names_sliced
 from suitelens.llm.token_store import pack_block, unpack_block
 from tests.llm import brute
@@ -111,6 +112,38 @@ def test_prefix_tree_finds_all_links():
             assert (o == both) if linked else (o == -1 or len(s) == 0)
 
 
+def test_longer_vectors_behind_shorter_ones():
+    rng = np.random.default_rng(7)
+    v = rng.integers(-256, 256, (3000, 8)).astype(float)
+    v[:1500] //= 64  # a file of short vectors before one of long ones, within a step and across steps
+    norm2, ids = (v ** 2).sum(1), np.arange(3000)
+    asked = np.arange(0, 3000, 100)
+    block = topk.Queries(asked, asked, v[asked], np.linalg.svd(v.T @ v)[0], 5, (ids[1500:2500], v[1500:2500]))
+    for size in (3000, 700):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[a:a + size]) for c in (ids, ids)] + [pa.array(v[a:a + size].astype(int).tolist()),
+                   pa.array(norm2[a:a + size])], names=["row", "vec_id", "v", "norm2"]) for a in range(0, 3000, size)]
+        got = {(h["query"], h["row"]): h["score"] for b in block.search(iter(batches)) for h in b.to_pylist()}
+        for q in asked.tolist():
+            scores = np.delete(v @ v[q], q)
+            assert sorted((s for (one, _), s in got.items() if one == q), reverse=True) == sorted(scores.tolist(), reverse=True)[:5]
+
+
+def test_top_products_of_more_files_than_cores(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PARTITION_VALUES", 320)
+    monkeypatch.setattr(topk, "STEP", 16)
+    monkeypatch.setattr(topk, "HEAD", 16)
+    rng = np.random.default_rng(8)
+    v = np.floor(256 * (rng.normal(size=(2400, 8)) * np.exp(rng.uniform(-3, 3, (2400, 1))))) / 256
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    known = topk.quantised(docs)
+    assert known.inputFiles() and len(known.inputFiles()) > 2 * known.rdd.getNumPartitions()
+    got = {(r.query_id, r["rank"]): r.score for r in topk.top_products(docs, F.col("vec_id") % 40 == 0).collect()}
+    scaled = 256 * v
+    for q in range(0, 2400, 40):
+        scores = np.sort(np.delete(scaled @ scaled[q], q))[::-1][:5]
+        assert [got[q, k] for k in range(1, 6)] == scores.tolist()
+
+
 def test_benchmark_in_blocks(spark, tables, doc_rows, monkeypatch):
     docs, items = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/benchmark.parquet")
     monkeypatch.setattr(decontaminate.benchmark_blocks, "__defaults__", ("item_id", "text", 60))
