@@ -16,10 +16,13 @@ document. The question for every window: does the same one start earlier?
    Each batch sends each distinct context once, with its first place, split by anchor into
    buckets. A bucket compares the windows of its contexts (the operator's own method)
    and answers with one bit per window.
+   An anchor with many contexts (a short string with ever other neighbours) is *heavy*:
+   its windows are dealt one by one, by the window's own 64-bit name, each distinct one once
+   per batch. Which anchors are heavy comes with the answer of 3, from counts per batch.
 5. Every batch applies the answers to its documents.
 
-Whatever a third of all documents share is sent once per batch, so no bucket grows with
-a hot passage; buckets are sized by the data. A lost executor costs the recomputation
+Whatever a third of all documents share is sent once per batch, be it a passage, or a
+window with a short hot string in it; buckets are sized by the data. A lost executor costs the recomputation
 of its tasks from stored batches.
 """
 
@@ -44,6 +47,8 @@ BATCH_BYTES = 3 << 19
 BUCKET_ANCHORS, BUCKET_BYTES = 1 << 19, 3 << 20
 #: answers up to this size are broadcast to the batches; larger ones are joined by shuffle
 BROADCAST_BYTES = 32 << 20
+#: an anchor with more distinct contexts than this is heavy; bytes that one of its windows takes in a bucket
+HEAVY_CONTEXTS, HEAVY_BYTES = 1 << 12, 24
 _SLICE = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)  # low bits of a name that make way for a place within a slice
 _BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -97,8 +102,20 @@ class Batch:
         names, n = np.unique(self.anchor, return_counts=True)
         return names, n > 1
 
-    def contexts(self, repeated: np.ndarray) -> Contexts:
-        return Contexts(self, np.flatnonzero(repeated[np.searchsorted(np.unique(self.anchor), self.anchor)]))
+    def context_counts(self, names: np.ndarray) -> np.ndarray:
+        """Distinct contexts here of each of the anchors ``names`` (in order)."""
+        if not len(names):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(names, self.anchor), len(names) - 1)
+        c = Contexts(self, np.flatnonzero(names[at] == self.anchor))
+        return np.bincount(np.searchsorted(names, self.anchor[c.one]), minlength=len(names))
+
+    def contexts(self, chosen: np.ndarray) -> Contexts:
+        return Contexts(self, self.rows(chosen))
+
+    def rows(self, chosen: np.ndarray) -> np.ndarray:
+        """Anchors' places of the chosen ones of the distinct anchors."""
+        return np.flatnonzero(chosen[np.searchsorted(np.unique(self.anchor), self.anchor)])
 
 
 class Contexts:
@@ -129,6 +146,31 @@ class Contexts:
         return at[answer | np.repeat(later, n)]
 
 
+class HeavyWindows:
+    """The distinct windows of heavy anchors of a batch, in order of their names."""
+
+    def __init__(self, batch: Batch, rows: np.ndarray):
+        self.batch = batch
+        n = batch.high[rows] - batch.low[rows] + 1
+        self.at = np.repeat(batch.low[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        self.doc = np.repeat(batch.doc[rows], n)
+        names = mix(span_names(batch.names, self.at, self.at + batch.kind.width)) if len(self.at) else np.zeros(0, np.uint64)
+        self.names, self.one, self.back = np.unique(names, return_index=True, return_inverse=True)
+
+    def place(self) -> np.ndarray:
+        return self.at - self.batch.first[self.doc]
+
+    def bits_to_starts(self, bits: np.ndarray) -> np.ndarray:
+        """Starts of all these windows that start earlier elsewhere; ``bits``: of the distinct ones."""
+        ids, place, one = self.batch.ids[self.doc], self.place(), self.one[self.back]
+        return self.at[bits[self.back] | starts_later(self.batch.kind, ids, place, ids[one], place[one])]
+
+
+def starts_later(kind: Symbols, ids: np.ndarray, place: np.ndarray, ids1: np.ndarray, place1: np.ndarray) -> np.ndarray:
+    later = ids > ids1
+    return later if kind.strict else later | ((ids == ids1) & (place > place1))
+
+
 def window_names_sliced(names: np.ndarray, width: int) -> np.ndarray:
     """``mix(window_names())``, slice by slice so that it stays in the processor's cache."""
     n = max(0, len(names) - width + 1)
@@ -259,8 +301,8 @@ def dealt(df: DataFrame, buckets: int) -> DataFrame:
 
 # --- anchors ----------------------------------------------------------------------------
 
-_SENT = "bucket long, batch long, n long, n_once long, body binary"
-_ANSWER = "batch long, bucket long, n_set long, bits binary"
+_SENT = "bucket long, batch long, n long, n_once long, body binary, counts binary"
+_ANSWER = "batch long, bucket long, n_set long, n_heavy long, bits binary"
 
 
 def emit(rows: list[tuple], fields: str) -> pa.RecordBatch:
@@ -268,16 +310,22 @@ def emit(rows: list[tuple], fields: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
 
 
-def _repeated_anchors(batches: DataFrame, kind: Symbols, buckets: int) -> DataFrame:
+def _repeated_anchors(batches: DataFrame, kind: Symbols, buckets: int, most: int) -> DataFrame:
+    """For each batch and bucket, which of its anchors occur elsewhere, and which have more
+    than ``most`` contexts; ``n_set``, ``n_heavy``: contexts of the light and the heavy ones."""
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
-            names, many = _open(kind, row).unique_anchors()
+            batch = _open(kind, row)
+            names, many = batch.unique_anchors()
+            count = np.ones(len(names), "<u4")
+            count[many] = batch.context_counts(names[many])
             cut = np.searchsorted(bucket_of(names, buckets), np.arange(buckets + 1))
             out = []
             for b in np.flatnonzero(np.diff(cut)).tolist():
-                part, m = names[cut[b]:cut[b + 1]], many[cut[b]:cut[b + 1]]
+                part, m, n = (x[cut[b]:cut[b + 1]] for x in (names, many, count))
                 part = np.concatenate([part[~m], part[m]])  # 48 bits and the bucket are enough: this is a filter
-                out.append((b, row["batch"], len(part), int((~m).sum()), part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+                out.append((b, row["batch"], len(part), int((~m).sum()), part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
+                            zlib.compress(n[m].tobytes(), 1)))
             if out:
                 yield emit(out, _SENT)
 
@@ -291,13 +339,20 @@ def _repeated_anchors(batches: DataFrame, kind: Symbols, buckets: int) -> DataFr
             again = np.zeros(len(names), bool)
             again[order[1:][same]] = True
             again[order[:-1][same]] = True
+            count = np.concatenate([np.append(np.ones(r["n_once"], np.int64), np.frombuffer(zlib.decompress(r["counts"]), "<u4")) for r in rows])
+            first = np.flatnonzero(np.append(True, ~same))
+            heavy = np.empty(len(names), bool)
+            heavy[order] = np.repeat(np.add.reduceat(count[order], first) > most, np.diff(np.append(first, len(names))))
             at, out = 0, []
             for r in rows:
-                bits = again[at:at + r["n"]]
+                part = slice(at, at + r["n"])
+                bits = again[part]
                 bits[r["n_once"]:] = True
                 at += r["n"]
                 if bits.any():
-                    out.append((r["batch"], b, int(bits.sum()), zlib.compress(np.packbits(bits).tobytes())))
+                    both = np.stack([bits, bits & heavy[part]])
+                    n_heavy = int(count[part][both[1]].sum())
+                    out.append((r["batch"], b, int(count[part][bits].sum()) - n_heavy, n_heavy, zlib.compress(np.packbits(both).tobytes())))
             if out:
                 yield emit(out, _ANSWER)
 
@@ -313,29 +368,41 @@ def with_answers(batches: DataFrame, answers: DataFrame, name: str) -> DataFrame
     return batches.join(one, "batch", "left")
 
 
-def _bits(answers: list | None, counts: np.ndarray) -> np.ndarray:
-    """Answers of all buckets, in order of buckets; a bucket without one has no bit set."""
-    end = np.cumsum(counts)
-    out = np.zeros(int(end[-1]) if len(end) else 0, bool)
+def _bits(answers: list | None, *counts: np.ndarray) -> list[np.ndarray]:
+    """Answers of all buckets, in order of buckets; a bucket without one has no bit set.
+    Each holds as many parts as there are ``counts`` (by bucket), one after the other."""
+    ends = [np.cumsum(c) for c in counts]
+    outs = [np.zeros(int(e[-1]) if len(e) else 0, bool) for e in ends]
     for a in answers or ():
-        n = int(counts[a["bucket"]])
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(a["bits"]), np.uint8), count=n).astype(bool)
-        out[end[a["bucket"]] - n:end[a["bucket"]]] = bits
-    return out
+        b, at = a["bucket"], 0
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(a["bits"]), np.uint8)).astype(bool)
+        for out, c, end in zip(outs, counts, ends, strict=True):
+            n = int(c[b])
+            out[end[b] - n:end[b]] = bits[at:at + n]
+            at += n
+    return outs
 
 
-def _alive(batch: Batch, answers: list | None, buckets: int) -> Contexts:
+def _alive(batch: Batch, answers: list | None, buckets: int) -> tuple[Contexts, HeavyWindows]:
+    """Contexts of the light repeated anchors, and the windows of the heavy ones."""
     names, many = batch.unique_anchors()
     bucket = bucket_of(names, buckets)
     order = np.lexsort((many, bucket))  # as it was sent: in each bucket those that occur once first
-    repeated = np.zeros(len(names), bool)
-    repeated[order] = _bits(answers, np.bincount(bucket, minlength=buckets))
-    return batch.contexts(repeated)
+    n = np.bincount(bucket, minlength=buckets)
+    repeated, heavy = np.zeros(len(names), bool), np.zeros(len(names), bool)
+    repeated[order], heavy[order] = _bits(answers, n, n)
+    return batch.contexts(repeated & ~heavy), HeavyWindows(batch, batch.rows(heavy))
+
+
+def _counts(c: Contexts, h: HeavyWindows, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of contexts, and windows of heavy anchors, that a batch sends to each bucket."""
+    return (np.bincount(bucket_of(c.batch.anchor[c.one], buckets), weights=c.windows, minlength=buckets).astype(np.int64),
+            np.bincount(bucket_of(h.names, buckets), minlength=buckets))
 
 
 # --- contexts ---------------------------------------------------------------------------
 
-_CONTEXTS = "bucket long, batch long, body binary"
+_CONTEXTS = "bucket long, batch long, body binary, heavy binary"
 
 
 def _pack_contexts(c: Contexts, rows: np.ndarray) -> bytes:
@@ -364,49 +431,89 @@ def _unpack_contexts(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return (*out, np.frombuffer(raw, np.uint8, offset=at))
 
 
-def _earlier(batches: DataFrame, kind: Symbols, anchor_buckets: int, buckets: int, compare: Callable) -> DataFrame:
-    """``batches`` has the anchors' answers; the contexts' answers come back."""
+def _pack_heavy(h: HeavyWindows, part: slice) -> bytes:
+    import zstandard
+
+    one = h.one[part]
+    raw = [h.batch.ids[h.doc[one]], h.place()[one], h.names[part]]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in raw))
+
+
+def _unpack_heavy(body: bytes) -> np.ndarray:
+    """Ids, places and names."""
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8) if body else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(raw.reshape(3, 8, -1 if len(raw) else 0).transpose(0, 2, 1)).view("<i8")[:, :, 0]
+
+
+def _sent_windows(batches: DataFrame, kind: Symbols, anchor_buckets: int, buckets: int) -> DataFrame:
+    """What each batch sends to each bucket; ``batches`` has the anchors' answers."""
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
             if not row["anchors"]:
                 continue
-            c = _alive(_open(kind, row), row["anchors"], anchor_buckets)
-            cut = np.searchsorted(bucket_of(c.batch.anchor[c.one], buckets), np.arange(buckets + 1))
-            out = [(k, row["batch"], _pack_contexts(c, np.arange(cut[k], cut[k + 1]))) for k in np.flatnonzero(np.diff(cut)).tolist()]
+            c, h = _alive(_open(kind, row), row["anchors"], anchor_buckets)
+            cut, cut_h = (np.searchsorted(bucket_of(x, buckets), np.arange(buckets + 1)) for x in (c.batch.anchor[c.one], h.names))
+            out = []
+            for k in np.flatnonzero(np.diff(cut) + np.diff(cut_h)).tolist():
+                out.append((k, row["batch"], _pack_contexts(c, np.arange(cut[k], cut[k + 1])),
+                            _pack_heavy(h, slice(cut_h[k], cut_h[k + 1])) if cut_h[k + 1] > cut_h[k] else b""))
             if out:
                 yield emit(out, _CONTEXTS)
 
+    return batches.mapInArrow(send, _CONTEXTS)
+
+
+def _later_contexts(kind: Symbols, found: list[tuple], compare: Callable) -> np.ndarray:
+    """One bit for each window of the contexts, in the order in which they came."""
+    ids, place, size, windows, data = (np.concatenate(x) for x in zip(*found, strict=True))
+    # contexts in order of their place in the corpus, so that the first of equal windows is the earliest
+    order = np.lexsort((place, ids))
+    end = np.cumsum(size)
+    names, _, _, first, _ = kind.split(data, end - size, end)
+    n = windows[order]
+    at = np.repeat(first[order] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    bits = np.zeros(len(at), bool)
+    if not len(at):
+        return bits
+    group = compare(names, at)  # equal windows have equal numbers
+    who = np.repeat(order, n)
+    earliest = np.full(int(group.max()) + 1, -1, np.int64)
+    earliest[group[::-1]] = who[::-1]
+    one = earliest[group]
+    begin = np.cumsum(windows) - windows
+    bits[np.repeat(begin[order] - (np.cumsum(n) - n), n) + np.arange(len(at))] = starts_later(kind, ids[who], place[who], ids[one], place[one])
+    return bits
+
+
+def _later_heavy(kind: Symbols, ids: np.ndarray, place: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """One bit for each window, in the order in which they came."""
+    order = np.lexsort((place, ids, names))
+    first = np.flatnonzero(np.append(True, names[order][1:] != names[order][:-1])) if len(names) else order
+    one = np.empty(len(names), np.int64)
+    one[order] = np.repeat(order[first], np.diff(np.append(first, len(names))))
+    return starts_later(kind, ids, place, ids[one], place[one])
+
+
+def _earlier(batches: DataFrame, kind: Symbols, anchor_buckets: int, buckets: int, compare: Callable) -> DataFrame:
+    """``batches`` has the anchors' answers; the windows' answers come back."""
     def answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, rows in by_bucket(parts):
-            found = [_unpack_contexts(r["body"]) for r in rows]
-            ids, place, size, windows, data = (np.concatenate(x) for x in zip(*found, strict=True))
-            # contexts in order of their place in the corpus, so that the first of equal windows is the earliest
-            order = np.lexsort((place, ids))
-            end = np.cumsum(size)
-            names, _, _, first, _ = kind.split(data, end - size, end)
-            n = windows[order]
-            at = np.repeat(first[order] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            group = compare(names, at)  # equal windows have equal numbers
-            who = np.repeat(order, n)
-            earliest = np.full(int(group.max()) + 1 if len(group) else 0, -1, np.int64)
-            earliest[group[::-1]] = who[::-1]
-            one = earliest[group]
-            later = ids[who] > ids[one]
-            if not kind.strict:
-                later |= (ids[who] == ids[one]) & (place[who] > place[one])
-            bits = np.zeros(len(at), bool)  # back in the order in which the contexts came
-            begin = np.cumsum(windows) - windows
-            bits[np.repeat(begin[order] - (np.cumsum(n) - n), n) + np.arange(len(at))] = later
-            k, out = 0, []
-            for r, f in zip(rows, found, strict=True):
-                m = int(f[3].sum())
-                if bits[k:k + m].any():
-                    out.append((r["batch"], b, int(bits[k:k + m].sum()), zlib.compress(np.packbits(bits[k:k + m]).tobytes())))
+            found, heavy = [_unpack_contexts(r["body"]) for r in rows], [_unpack_heavy(r["heavy"]) for r in rows]
+            bits, bits_h = _later_contexts(kind, found, compare), _later_heavy(kind, *np.concatenate(heavy, axis=1))
+            k, k_h, out = 0, 0, []
+            for r, f, g in zip(rows, found, heavy, strict=True):
+                m, m_h = int(f[3].sum()), g.shape[1]
+                mine = np.concatenate([bits[k:k + m], bits_h[k_h:k_h + m_h]])
+                if mine.any():
+                    out.append((r["batch"], b, int(mine.sum()), int(mine[m:].sum()), zlib.compress(np.packbits(mine).tobytes())))
                 k += m
+                k_h += m_h
             if out:
                 yield emit(out, _ANSWER)
 
-    sent = batches.mapInArrow(send, _CONTEXTS)
+    sent = _sent_windows(batches, kind, anchor_buckets, buckets)
     return stored(dealt(sent, buckets).mapInArrow(answer, _ANSWER), "windows")
 
 
@@ -430,9 +537,11 @@ def remove_repeats(docs: DataFrame, kind: Symbols, compare: Callable, doc_id: st
     spread = max(12, partitions_for(total, 8 * BATCH_BYTES))
     symbols = total // (6 if kind.words else 1)
     anchor_buckets = max(spread, partitions_for(2 * symbols // (kind.width - kind.gram + 2), BUCKET_ANCHORS))
-    anchors = _repeated_anchors(batches, kind, anchor_buckets)
-    alive = int(anchors.agg(F.sum("n_set").alias("n")).first()["n"] or 0)
-    buckets = max(spread, partitions_for(alive * (6 if kind.words else 1) * (2 * kind.width - kind.gram), BUCKET_BYTES))
+    anchors = _repeated_anchors(batches, kind, anchor_buckets, HEAVY_CONTEXTS)
+    sums = anchors.agg(F.sum("n_set").alias("light"), F.sum("n_heavy").alias("heavy")).first()
+    light = int(sums["light"] or 0) * (6 if kind.words else 1) * (2 * kind.width - kind.gram)
+    heavy = int(sums["heavy"] or 0) * (kind.width - kind.gram + 1) * HEAVY_BYTES
+    buckets = max(spread, partitions_for(light + heavy, BUCKET_BYTES))
     with_anchors = with_answers(batches, anchors.select("batch", "bucket", "bits"), "anchors")
     windows = _earlier(with_anchors.select("batch", "n_bytes", "sizes", "ids", "copy", "body", "anchors"),
                        kind, anchor_buckets, buckets, compare)
@@ -446,9 +555,9 @@ def remove_repeats(docs: DataFrame, kind: Symbols, compare: Callable, doc_id: st
             b = _open(kind, row)
             gone = np.zeros(len(b.names) + 1, np.int32)
             if row["windows"] or row["anchors"]:
-                c = _alive(b, row["anchors"], anchor_buckets)
-                count = np.bincount(bucket_of(b.anchor[c.one], buckets), weights=c.windows, minlength=buckets).astype(np.int64)
-                at = c.bits_to_starts(_bits(row["windows"], count))
+                c, h = _alive(b, row["anchors"], anchor_buckets)
+                bits, bits_h = _bits(row["windows"], *_counts(c, h, buckets))
+                at = np.concatenate([c.bits_to_starts(bits), h.bits_to_starts(bits_h)])
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + kind.width, -1)
             whole = b.copy & (b.last - b.first >= kind.width)

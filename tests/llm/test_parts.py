@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from suitelens.llm import decontaminate, langid, packing, prefix_doubling, sharding, shingle_join, simple8b, suffix_trees, topk, words
+from suitelens.llm import decontaminate, langid, packing, prefix_doubling, repeats, sharding, shingle_join, simple8b, suffix_trees, topk, words
 from suitelens.llm.repeats import window_names_sliced
 from suitelens.llm.token_store import pack_block, unpack_block
 from tests.llm import brute
@@ -144,6 +144,41 @@ def test_top_products_of_more_files_than_cores(spark, monkeypatch):
         assert [got[q, k] for k in range(1, 6)] == scores.tolist()
 
 
+def hot_string_texts(words_):
+    """Texts around one string that is shorter than a window, some of them around a longer passage too."""
+    rng = random.Random(11)
+    hot = "see http://example.org/a for terms" if not words_ else " ".join(f"hot{k}" for k in range(14))
+    out = []
+    for i in range(300):
+        a, z = (" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) + str(rng.randrange(10**6)) for _ in range(25)) for _ in range(2))
+        out.append((i, f"{a} {hot} {z}"))
+        if i % 10 == 9:  # a window with the hot string in it that starts earlier, in another and in the same text
+            out.append((1000 + i, f"x {' '.join(a.split()[-12:])} {hot} {' '.join(z.split()[:12])} y"))
+            out.append((2000 + i, f"{hot} {z} {hot} {z}"))
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 40, None])
+@pytest.mark.parametrize("words_", [False, True])
+def test_windows_of_a_hot_string_are_dealt_evenly(spark, monkeypatch, words_, most):
+    rows = hot_string_texts(words_)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9, "doc_id")
+    kind = repeats.Symbols(words=words_, width=20 if words_ else 50, gram=8 if words_ else 20, strict=not words_)
+    if most is not None:
+        monkeypatch.setattr(repeats, "HEAVY_CONTEXTS", most)
+    out = (suffix_trees.dedup_words if words_ else prefix_doubling.dedup_substrings)(docs).select("doc_id", "n_symbols", "n_removed", "kept").collect()
+    got = sorted((r.doc_id, r.n_symbols, r.n_removed, brute.sha(bytes(r.kept))) for r in out)
+    want = brute.op2(rows) if words_ else [(d, n, gone, kept) for d, n, gone, _, kept in brute.op5(rows)]
+    assert got == want
+    if most == 40:  # a bucket's share of the hot windows
+        batches = repeats.pack_batches(docs, "doc_id", "text")
+        answers = repeats._repeated_anchors(batches, kind, 12, most)
+        assert answers.agg(F.sum("n_heavy")).first()[0] > 200
+        sent = repeats._sent_windows(repeats.with_answers(batches, answers.select("batch", "bucket", "bits"), "anchors"), kind, 12, 12)
+        size = sorted(r["sum(n)"] for r in sent.select("bucket", (F.length("body") + F.length("heavy")).alias("n")).groupBy("bucket").sum("n").collect())
+        assert len(size) == 12 and size[-1] < 0.15 * sum(size)  # by anchor it is 0.17 for bytes, 0.26 for words
+
+
 def test_benchmark_in_blocks(spark, tables, doc_rows, monkeypatch):
     docs, items = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/benchmark.parquet")
     monkeypatch.setattr(decontaminate.benchmark_blocks, "__defaults__", ("item_id", "text", 60))
