@@ -1,14 +1,14 @@
-"""Suffix-array dedup by distributed prefix doubling over bytes.
+"""Substring dedup over bytes by anchors, with one doubling step inside a bucket.
 
 Removes every byte covered by a string of ``width`` bytes that also starts in a
-document of a smaller id. Positions are ranked by the string that follows them, at
-growing lengths, and only positions whose rank is shared go on to the next length:
+document of a smaller id. No Spark job ranks positions; strings are matched at growing
+lengths, and only those that others share go on:
 
-* length ``gram``: the anchors of all windows (see ``repeats``), ranked across the whole
-  corpus by a shuffle on their names; unique ones leave;
-* then, in the shuffle by anchor, positions are ranked at half the threshold ``width``, and
-  those that share a rank are sorted by the pair ``(rank of s, rank of s + half)``, which ranks
-  them at the threshold.
+* length ``gram``: the anchors of all windows (see ``repeats``) are matched across the whole
+  corpus by a shuffle on their 64-bit names; unique ones leave;
+* then, in the shuffle by anchor, windows are numbered by the name of their first half, and
+  those that share it by the pair ``(number of s, number of s + half)``; windows of heavy
+  anchors meet by their own 64-bit names instead.
 
 Defined cases: a null or empty text has no bytes; a text shorter than ``width`` keeps
 all; of repeated rows with one id none counts as smaller; a null id is smaller than all;
