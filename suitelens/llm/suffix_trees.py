@@ -1,13 +1,13 @@
 """Substring dedup with prefix-partitioned suffix trees over words.
 
 Removes every word covered by a window of ``width`` words whose sequence also starts
-earlier. Word suffixes are dealt to groups that fit in memory by a prefix: the ``gram``
-words at the window's anchor (see ``repeats``; it is the same for equal windows, so all
-suffixes that can share a deep node meet in one group). Each group sorts its suffixes,
-which lays out the leaves of its subtree; the common prefix lengths of neighbours are
-the depths of the internal nodes. The leaves below one node of depth ``width`` are the
-places of one repeat. A group's sort looks at longer and longer prefixes (1, 2, 4, ...
-words) and only where shorter ones do not tell suffixes apart.
+earlier. Word suffixes are dealt to groups by a prefix: the ``gram`` words at the window's
+anchor (see ``repeats``; it is the same for equal windows, so all suffixes that can share
+a deep node meet in one group). Where an anchor has too many contexts for a group, its
+windows are dealt by the name of all their words and compared by it. In the other groups
+classes of suffixes are split by hashes of longer and longer prefixes (1, 2, 4, ... words),
+only where shorter ones do not tell suffixes apart; the classes at depth ``width`` are the
+places of one repeat. Leaves are not sorted, and no maximal repeats come out.
 
 Defined cases: a null or empty text has no words; a text of fewer than ``width`` words
 keeps all; equal windows at the same id and place (repeated rows) do not remove each
