@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from suitelens.llm import chat_format, decontaminate, langid, packing, prefix_doubling, sharding, shingle_join, suffix_trees, token_store, topk
+from suitelens.llm import (alignment, chat_format, decontaminate, langid, lexical, packing, prefix_doubling, sharding, shingle_join, simhash, suffix_trees,
+                           token_store, topk)
 from suitelens.llm.common import END_ID, new_shared_dir, prepare, stored, table, tokenizer_path
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,24 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_fp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hexadecimal("print").alias("fingerprint"), "component_id")
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    out = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"), PATTERN)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                      F.coalesce(F.lower(F.hex("digest")), F.lit("")).alias("groups_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_suffix_trees, op3_top_products, op4_pack, op5_prefix_doubling, op6_langid,
-                                   op7_decontaminate, op8_shingle_join, op9_chat_format, op10_shard)} | {"pipeline": corpus_pipeline.run}
+                                   op7_decontaminate, op8_shingle_join, op9_chat_format, op10_shard, op11_fp_tree_search, op12_simhash_trie, op13_align)} | {"pipeline": corpus_pipeline.run}
 #: SQL can express none of these within its limits on whole tables; tests compare with brute force
 ORACLES: dict[str, str] = {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from suitelens.llm.common import TextChunk, partitions_for, prepare, small_enough, stored, text_chunks
-from suitelens.llm.words import NOT_SPACE, mix, span_names, split_words, window_names
+from suitelens.llm.words import NOT_SPACE, mix, span_names, split_words, window_names, word_names
 
 BATCH_BYTES = 3 << 19
 #: anchor names, and bytes of contexts, that one bucket holds at about
@@ -57,11 +57,12 @@ _BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7
 @dataclass(frozen=True)
 class Symbols:
     """How texts become symbols. ``strict``: only smaller documents count as earlier;
-    otherwise an earlier start in the same document does too."""
+    otherwise an earlier start in the same document does too. ``key``: of the words' names."""
     words: bool
     width: int
     gram: int
     strict: bool
+    key: int = 0
 
     def split(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbol names, byte starts and ends of symbols, first and last symbol of each document."""
@@ -69,7 +70,7 @@ class Symbols:
             at = np.arange(len(data) + 1)
             return _BYTE_NAMES[data], at[:-1], at[1:], begin, end
         starts, ends = split_words(data, begin, NOT_SPACE)
-        return span_names(data, starts, ends), starts, ends, np.searchsorted(starts, begin, "left"), np.searchsorted(starts, end, "left")
+        return word_names(data, starts, ends, self.key), starts, ends, np.searchsorted(starts, begin, "left"), np.searchsorted(starts, end, "left")
 
 
 class Batch:

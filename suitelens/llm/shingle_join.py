@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from suitelens.llm.common import partitions_for, prepare, small_enough, stored
 from suitelens.llm.components import components
 from suitelens.llm.repeats import BROADCAST_BYTES, bucket_of, by_bucket, dealt, emit, open_batch, other_columns, pack_batches, rows_of, window_names_sliced, with_answers
-from suitelens.llm.words import LOWER, NOT_SPACE, mix, span_names, split_words
+from suitelens.llm.words import LOWER, NOT_SPACE, fresh_key, mix, span_names, split_words, word_names
 
 SHINGLE, PERCENT = 5, 75
 #: a shingle is on level 0 below the first of these counts of documents, on 1 below the second, and so on
@@ -56,13 +56,13 @@ _BODY = ("batch", "n_bytes", "sizes", "ids", "copy", "body")
 _INDEX_BITS = 22  # a batch's documents are numbered below this many bits
 
 
-def shingle_sets(data: np.ndarray, sizes: np.ndarray, n: int = SHINGLE) -> list[np.ndarray]:
-    """The distinct shingle names of each document, sorted by name."""
+def shingle_sets(data: np.ndarray, sizes: np.ndarray, n: int = SHINGLE, key: int = 0) -> list[np.ndarray]:
+    """The distinct shingle names of each document, sorted by name; ``key``: of the words' names."""
     low = LOWER[data]
     end = np.cumsum(sizes)
     starts, ends = split_words(low, end - sizes, NOT_SPACE)
     first, last = np.searchsorted(starts, end - sizes, "left"), np.searchsorted(starts, end, "left")
-    names = span_names(low, starts, ends)
+    names = word_names(low, starts, ends, key)
     grams = window_names_sliced(names, n)
     short = (last > first) & (last - first < n)
     whole = span_names(names, first[short], last[short]) + (last - first)[short].astype(np.uint64)
@@ -77,7 +77,7 @@ def _short(names: np.ndarray, bits: int) -> np.ndarray:
     return names >> np.uint64(64 - bits)
 
 
-def _levels(batches: DataFrame, buckets: int, bits: int, n: int) -> DataFrame:
+def _levels(batches: DataFrame, buckets: int, bits: int, kind: tuple[int, int]) -> DataFrame:
     """For each batch and bucket the level of each distinct short name, two bits each."""
     sent, back = "bucket long, batch long, n long, body binary, many binary", "batch long, bucket long, bits binary"
 
@@ -86,7 +86,7 @@ def _levels(batches: DataFrame, buckets: int, bits: int, n: int) -> DataFrame:
 
         pack = zstandard.ZstdCompressor(level=1).compress
         for row in rows_of(parts):
-            names, count = _batch_names(*_sets(row, n), bits)
+            names, count = _batch_names(*_sets(row, kind), bits)
             cut = _cuts(names, buckets, bits)
             out = []
             for b in np.flatnonzero(np.diff(cut)).tolist():
@@ -125,10 +125,10 @@ def _levels(batches: DataFrame, buckets: int, bits: int, n: int) -> DataFrame:
     return stored(dealt(batches.select(*_BODY).mapInArrow(send, sent), buckets).mapInArrow(answer, back), "levels")
 
 
-def _sets(row: dict, n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def _sets(row: dict, kind: tuple[int, int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Shingle sets of a batch's documents, which are copies, all bytes, and sizes."""
     data, sizes, _, copy = open_batch(row)
-    return shingle_sets(data, sizes, n), copy, data, sizes
+    return shingle_sets(data, sizes, *kind), copy, data, sizes
 
 
 def _batch_names(sets: list[np.ndarray], copy: np.ndarray, data: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +150,7 @@ def prefix(names: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> np.n
     return names[head[level[head] > 0]]
 
 
-def _candidates(batches: DataFrame, buckets: int, bits: int, meet_buckets: int, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _candidates(batches: DataFrame, buckets: int, bits: int, meet_buckets: int, kind: tuple[int, int], percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs and lists (kind 0: pairs ``x, y`` of documents, pivot and other; kind 1: documents
     ``y`` of ``size`` in the lists ``x`` of three and more); and by batch set sizes and digests."""
     sent = "kind long, bucket long, batch long, body binary"
@@ -159,7 +159,7 @@ def _candidates(batches: DataFrame, buckets: int, bits: int, meet_buckets: int,
         import hashlib
 
         for row in rows_of(parts):
-            sets, copy, data, sizes = _sets(row, n)
+            sets, copy, data, sizes = _sets(row, kind)
             short, _ = _batch_names(sets, copy, data, sizes, bits)
             levels = np.zeros(len(short), np.uint8)
             cut = _cuts(short, buckets, bits)
@@ -342,18 +342,18 @@ def _texts(batches: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(_with_wanted(batches, nodes).mapInArrow(run, "d long, body binary"), "texts", "uncompressed")
 
 
-def _unpacked_sets(bodies: list[bytes], n: int) -> list[np.ndarray]:
+def _unpacked_sets(bodies: list[bytes], kind: tuple[int, int]) -> list[np.ndarray]:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
     raw = [unpack(b) for b in bodies]
-    return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64), n)
+    return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64), *kind)
 
 
 _LINK = "a long, b long, overlap long, union long"
 
 
-def _verify(pairs: DataFrame, batches: DataFrame, n: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, batches: DataFrame, kind: tuple[int, int], percent: int) -> DataFrame:
     """``a, b, overlap, union`` of the pairs that link."""
     docs = _texts(batches, pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct())
     rows = (pairs.join(docs.select(F.col("d").alias("y"), F.col("body").alias("other")), "y")
@@ -366,10 +366,10 @@ def _verify(pairs: DataFrame, batches: DataFrame, n: int, percent: int) -> DataF
             cut = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1])) if len(x) else []
             out = []
             for k, z in zip(cut, [*cut[1:], len(x)], strict=True):
-                probe = _unpacked_sets([batch.column(2)[int(order[k])].as_py()], n)[0]
+                probe = _unpacked_sets([batch.column(2)[int(order[k])].as_py()], kind)[0]
                 for i in range(k, z, TREE_SETS):
                     rows = order[i:min(z, i + TREE_SETS)].tolist()
-                    sets = _unpacked_sets([batch.column(3)[r].as_py() for r in rows], n)
+                    sets = _unpacked_sets([batch.column(3)[r].as_py() for r in rows], kind)
                     for r, s, o in zip(rows, sets, PrefixTree(sets, percent).overlaps(probe).tolist(), strict=True):
                         if o >= 0:
                             out.append((int(x[r]), int(y[r]), o, len(probe) + len(s) - o))
@@ -379,7 +379,7 @@ def _verify(pairs: DataFrame, batches: DataFrame, n: int, percent: int) -> DataF
     return stored(rows.mapInArrow(compare, _LINK), "verified")
 
 
-def _across(candidates: DataFrame, nodes: DataFrame, batches: DataFrame, n: int, percent: int) -> DataFrame:
+def _across(candidates: DataFrame, nodes: DataFrame, batches: DataFrame, kind: tuple[int, int], percent: int) -> DataFrame:
     """Links between different classes within lists that the pivots left apart.
 
     Lists with the same largest class make a cluster. Its documents outside that class are
@@ -427,9 +427,9 @@ def _across(candidates: DataFrame, nodes: DataFrame, batches: DataFrame, n: int,
                     held.append(r)
                     continue
                 if tree is None:
-                    sets = _unpacked_sets([h["body"] for h in held], n)
+                    sets = _unpacked_sets([h["body"] for h in held], kind)
                     tree = PrefixTree(sets, percent)
-                probe = _unpacked_sets([r["body"]], n)[0]
+                probe = _unpacked_sets([r["body"]], kind)[0]
                 overlaps = tree.overlaps(probe)
                 for k in np.flatnonzero(overlaps >= 0).tolist():
                     a, b = top(r["root"]), top(held[k]["root"])
@@ -448,13 +448,14 @@ def _link(batches: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     total = int(batches.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0) // 6 + 1  # about the number of shingles
     bits = min(56, total.bit_length() + SPARE_BITS)
     buckets = max(12, partitions_for(total, BUCKET_SHINGLES))
-    levels = _levels(batches, buckets, bits, n)
+    kind = n, fresh_key()  # one key of names for all tasks
+    levels = _levels(batches, buckets, bits, kind)
     meet_buckets = max(12, partitions_for(total * (100 - percent) // 100, BUCKET_SHINGLES))
-    found, info = _candidates(with_answers(batches, levels, "levels"), buckets, bits, meet_buckets, n, percent)
+    found, info = _candidates(with_answers(batches, levels, "levels"), buckets, bits, meet_buckets, kind, percent)
     pairs = stored(found.filter("kind = 0").select("x", "y").distinct(), "pairs")
-    linked = _verify(pairs, batches, n, percent)
+    linked = _verify(pairs, batches, kind, percent)
     nodes = components(linked)
-    more = _across(found, nodes, batches, n, percent)
+    more = _across(found, nodes, batches, kind, percent)
     if not more.isEmpty():
         linked = linked.unionByName(more)
         nodes = components(linked)

@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from suitelens.llm.repeats import Symbols, remove_repeats
+from suitelens.llm.words import fresh_key
 
 WIDTH, GRAM = 20, 8
 
@@ -54,4 +55,4 @@ def dedup_words(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, doc_id: s
     """``docs`` (without ``text``) with ``n_symbols, n_removed, spans, kept``; see ``repeats.remove_repeats``."""
     def compare(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return subtree_nodes(names, starts, width)
-    return remove_repeats(docs, Symbols(words=True, width=width, gram=gram, strict=False), compare, doc_id, text)
+    return remove_repeats(docs, Symbols(words=True, width=width, gram=gram, strict=False, key=fresh_key()), compare, doc_id, text)

@@ -16,7 +16,7 @@ import unicodedata
 
 import numpy as np
 
-from suitelens.llm.words import span_names
+from suitelens.llm.words import fresh_key, word_names
 
 #: fixed values: the word pattern and the order of normalisation this module can stand in for
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -28,6 +28,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 _SLOTS = 1 << 20
 _POOL_IDS = 6 << 20
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_KEY = fresh_key()  # names of words never leave this worker
 _encoders: dict[str, Encoder] = {}
 
 
@@ -104,7 +105,7 @@ class Encoder:
         starts, ends = np.flatnonzero(inside & cut[:-1]), np.flatnonzero(inside & cut[1:]) + 1
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        names = span_names(code, starts, ends)
+        names = word_names(code, starts, ends, _KEY)
         slot = (names >> np.uint64(44)).astype(np.int64)
         at, n = self.slot_at[slot], self.slot_n[slot]
         miss = np.flatnonzero((self.slot_name[slot] != names) | (n == 0))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 
 NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -141,3 +143,81 @@ def op9(rows):
         loss = "".join(t for _, r, t in ts if r == "assistant")
         out.append((c, len(ts), sha("".join(f"{r}\n{t}\n" for _, r, t in ts)), len(loss), sha(loss)))
     return sorted(out)
+
+
+TERMS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def op11(docs, items, k=10):
+    """Rows ``item_id, rank, doc_id, score``."""
+    counts = [(d, Counter(TERMS.findall(lower(t)))) for d, t in docs]
+    counts = [(d, c) for d, c in counts if c]
+    n, length = len(counts), sum(c.total() for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    terms = defaultdict(set)
+    for i, t in items:
+        terms[i] |= set(TERMS.findall(lower(t)))
+    out = []
+    for i, ts in terms.items():
+        scored = []
+        for d, c in counts:
+            m = 10 + 90 * c.total() * n // length
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in ts if c[t])
+            if s > 0:
+                scored.append((-s, d is not None, d))
+        out += [(i, r + 1, d, -s) for r, (s, _, d) in enumerate(sorted(scored)[:k])]
+    return out
+
+
+def simhash(text, n=3):
+    ws = NOT_SPACE.findall(lower(text))
+    if not ws:
+        return 0
+    hs = [xxhash.xxh64_intdigest(" ".join(ws[i:i + n]).encode(), 42) for i in range(max(1, len(ws) - n + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def op12(docs):
+    prints = [simhash(t) for _, t in docs]
+    up = list(range(len(docs)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= 3:
+                x, y = top(i), top(j)
+                up[x] = y
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[top(i)] = min(least.get(top(i), d), d)
+    return sorted((d, f"{p:016x}", least[top(i)]) for i, ((d, _), p) in enumerate(zip(docs, prints)))
+
+
+def op13(docs, encode_a, bytes_a, encode_b, bytes_b):
+    """``encode_a``, ``encode_b``: ids of a text; ``bytes_a``, ``bytes_b``: bytes of an id."""
+    found = []
+    for d, t in docs:
+        whole = (" " + (t or "")).encode()
+        a, b = (encode_a(" " + t), encode_b(t)) if t else ([], [])
+        if b"".join(map(bytes_a, a)) != whole or b"".join(map(bytes_b, b)) != whole:
+            found.append((d, [], [], []))
+            continue
+        ends_a, ends_b = (np.cumsum([len(size(i)) for i in ids]).tolist() for ids, size in ((a, bytes_a), (b, bytes_b)))
+        groups, x, y = [], 0, 0
+        for e in sorted(set(ends_a) & set(ends_b)):
+            u, v = ends_a.index(e) + 1, ends_b.index(e) + 1
+            groups.append((a[x:u], b[y:v]))
+            x, y = u, v
+        found.append((d, a, b, groups))
+    links = [[(p, q) for g, h in groups for p in g for q in h] for *_, groups in found]
+    count = Counter(pair for ls in links for pair in set(ls))
+    most = defaultdict(int)
+    for (p, _), n in count.items():
+        most[p] = max(most[p], n)
+    return [(d, len(a), len(b), len(groups), len(ls), sum(count[x] == most[x[0]] for x in ls), sum(count[x] for x in ls),
+             sha(";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in groups)) if groups else "")
+            for (d, a, b, groups), ls in zip(found, links)]
