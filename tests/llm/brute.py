@@ -208,8 +208,9 @@ def op13(docs, encode_a, bytes_a, encode_b, bytes_b):
             continue
         ends_a, ends_b = (np.cumsum([len(size(i)) for i in ids]).tolist() for ids, size in ((a, bytes_a), (b, bytes_b)))
         groups, x, y = [], 0, 0
-        for e in sorted(set(ends_a) & set(ends_b)):
-            u, v = ends_a.index(e) + 1, ends_b.index(e) + 1
+        rank_a, rank_b = ({e: k + 1 for k, e in enumerate(ends)} for ends in (ends_a, ends_b))
+        for e in sorted(rank_a.keys() & rank_b.keys()):
+            u, v = rank_a[e], rank_b[e]
             groups.append((a[x:u], b[y:v]))
             x, y = u, v
         found.append((d, a, b, groups))
