@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from suitelens.llm import (alignment, chat_format, decontaminate, langid, lexical, packing, prefix_doubling, sharding, shingle_join, simhash, suffix_trees,
+from suitelens.llm import (alignment, chat_format, decontaminate, langid, lexical, oracles, packing, prefix_doubling, sharding, shingle_join, simhash, suffix_trees,
                            token_store, topk)
 from suitelens.llm.common import END_ID, new_shared_dir, prepare, stored, table, tokenizer_path
 
@@ -48,7 +48,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"),
                         F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                        (F.size("hits") > 0).alias("contaminated"), "matches")
+                        (F.size("hits") > 0).alias("contaminated"))
 
 
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +95,4 @@ def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_suffix_trees, op3_top_products, op4_pack, op5_prefix_doubling, op6_langid,
                                    op7_decontaminate, op8_shingle_join, op9_chat_format, op10_shard, op11_fp_tree_search, op12_simhash_trie, op13_align)} | {"pipeline": corpus_pipeline.run}
-#: SQL can express none of these within its limits on whole tables; tests compare with brute force
-ORACLES: dict[str, str] = {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES: dict[str, str] = oracles.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
