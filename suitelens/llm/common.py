@@ -17,7 +17,7 @@ __all__ = ["prepare", "stored", "table", "text_bytes", "partitions_for", "text_c
 #: Text of one numpy step inside a task; a longer document is a step of its own.
 CHUNK_BYTES = 2 << 20
 #: Text that crosses to a Python worker at once.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 #: the id that ends a document in token streams

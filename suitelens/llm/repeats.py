@@ -42,13 +42,14 @@ from pyspark.sql import types as T
 from suitelens.llm.common import TextChunk, partitions_for, prepare, small_enough, stored, text_chunks
 from suitelens.llm.words import NOT_SPACE, mix, span_names, split_words, window_names, word_names
 
-BATCH_BYTES = 3 << 19
-#: anchor names, and bytes of contexts, that one bucket holds at about
-BUCKET_ANCHORS, BUCKET_BYTES = 1 << 19, 3 << 20
+BATCH_BYTES = 1 << 20
+#: anchor names, and windows of contexts, that one bucket holds at about (a bucket unfolds its
+#: windows into a dozen long arrays)
+BUCKET_ANCHORS, BUCKET_WINDOWS = 1 << 18, 1 << 18
 #: answers up to this size are broadcast to the batches; larger ones are joined by shuffle
 BROADCAST_BYTES = 32 << 20
-#: an anchor with more distinct contexts than this is heavy; bytes that one of its windows takes in a bucket
-HEAVY_CONTEXTS, HEAVY_BYTES = 1 << 12, 24
+#: an anchor with more distinct contexts than this is heavy
+HEAVY_CONTEXTS = 1 << 12
 _SLICE = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)  # low bits of a name that make way for a place within a slice
 _BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -540,9 +541,8 @@ def remove_repeats(docs: DataFrame, kind: Symbols, compare: Callable, doc_id: st
     anchor_buckets = max(spread, partitions_for(2 * symbols // (kind.width - kind.gram + 2), BUCKET_ANCHORS))
     anchors = _repeated_anchors(batches, kind, anchor_buckets, HEAVY_CONTEXTS)
     sums = anchors.agg(F.sum("n_set").alias("light"), F.sum("n_heavy").alias("heavy")).first()
-    light = int(sums["light"] or 0) * (6 if kind.words else 1) * (2 * kind.width - kind.gram)
-    heavy = int(sums["heavy"] or 0) * (kind.width - kind.gram + 1) * HEAVY_BYTES
-    buckets = max(spread, partitions_for(light + heavy, BUCKET_BYTES))
+    windows = (int(sums["light"] or 0) + int(sums["heavy"] or 0)) * (kind.width - kind.gram + 1)  # at most
+    buckets = max(spread, partitions_for(windows, BUCKET_WINDOWS))
     with_anchors = with_answers(batches, anchors.select("batch", "bucket", "bits"), "anchors")
     windows = _earlier(with_anchors.select("batch", "n_bytes", "sizes", "ids", "copy", "body", "anchors"),
                        kind, anchor_buckets, buckets, compare)
