@@ -18,6 +18,8 @@ __all__ = ["prepare", "stored", "table", "text_bytes", "partitions_for", "text_c
 CHUNK_BYTES = 2 << 20
 #: Text that crosses to a Python worker at once.
 ARROW_BYTES = 4 << 20
+#: what a broadcast row takes besides its binary column
+ROW_BYTES = 64
 
 
 #: the id that ends a document in token streams
@@ -57,8 +59,8 @@ def partitions_for(n_bytes: int, per_partition: int) -> int:
 
 
 def small_enough(df: DataFrame, column: str, max_bytes: int) -> bool:
-    """Whether the binary ``column`` of all rows together stays within ``max_bytes``."""
-    return int(df.agg(F.sum(F.octet_length(column)).alias("b")).first()["b"] or 0) <= max_bytes
+    """Whether all rows, the binary ``column`` and about ``ROW_BYTES`` more of each, stay within ``max_bytes``."""
+    return int(df.agg(F.sum(F.octet_length(column) + ROW_BYTES).alias("b")).first()["b"] or 0) <= max_bytes
 
 
 class TextChunk:
