@@ -2,8 +2,8 @@
 and the reader for SNK-2's instance TSV.
 
 The line-based readers need "is this the first line of its file". A file may be
-split over several tasks, so this is computed, not assumed: it is the first row
-of the file's offset-0 split, marked inside the task that reads that split.
+split over several tasks, so this is computed, not assumed: it is the line with the
+least number within the file's offset-0 split.
 """
 
 from __future__ import annotations
@@ -22,32 +22,18 @@ INVENTORY_SCHEMA = ("index long, id string, name string, private_ip string, publ
 ID_LIST_HEADERS = ("id,ip", "id\tip")
 
 
-def _first_line_batches(batches):
-    """Mark the first row of every (file, block 0) run in a partition's row order."""
-    prev_file, prev_block = None, None
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        f, b = pdf["file"], pdf["block"]
-        pf, pb = f.shift(1), b.shift(1)
-        pf.iloc[0], pb.iloc[0] = prev_file, prev_block
-        first = (b == 0) & ((f != pf) | (b != pb))
-        prev_file, prev_block = f.iloc[-1], b.iloc[-1]
-        yield pdf.assign(is_first=first.astype(bool))
-
-
 def with_first_line_flag(lines: DataFrame, out: str = "is_first") -> DataFrame:
-    """Add ``out`` = the line is the first line of its file (needs ``file, block, seq, value``
-    straight from ``scan_log_lines``).
+    """Add ``out`` = the line is the first line of its file (needs ``file, block, seq`` straight
+    from ``scan_log_lines``).
 
-    A split is read by one task, in file order, so the first line of a file is the
-    first row of its offset-0 split within that task's row order. This is marked per
-    partition (Arrow batches, no shuffle, no per-file table to join back), which
-    holds for any number of files and for files split over many tasks.
+    A split is read by one task, in file order, so a file's first line is the one with the least ``seq`` of its
+    offset-0 split: one partial aggregate per file, of two numbers. Those numbers, one per file (less
+    than the file list that the driver holds for the scan), are broadcast back; lines are neither shuffled nor
+    sent to Python.
     """
-    schema = "file string, block long, seq long, value string, is_first boolean"
-    flagged = lines.select("file", "block", "seq", "value").mapInPandas(_first_line_batches, schema)
-    return flagged.withColumnRenamed("is_first", out) if out != "is_first" else flagged
+    first = lines.where(F.col("block") == 0).groupBy("file").agg(F.min("seq").alias("_first")).select("_first")
+    return lines.join(F.broadcast(first), F.col("seq") == F.col("_first"), "left") \
+        .withColumn(out, F.col("_first").isNotNull()).drop("_first")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -72,15 +58,11 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
 def read_addresses(spark: SparkSession, path: str) -> DataFrame:
     """SRC-4: ``id, ip``. The first line of each file is always skipped; each other line
     is stripped and split on tabs; fewer than 2 fields -> skipped, fields past 2 ignored.
-    A path that does not exist gives no row.
-
-    The lines are read as a CSV of one column, whose reader skips the first line of each
-    file, also of one that several tasks read; nothing crosses to Python.
+    A blank first line is skipped like any other. A path that does not exist gives no row.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], "id string, ip string")
-    lines = (spark.read.schema("value string").option("header", True).option("sep", "\x01").option("quote", "")
-             .option("escape", "\x00").option("recursiveFileLookup", "true").option("lineSep", "\n").csv(path))
+    lines = with_first_line_flag(scan_log_lines(spark, path)).where("not is_first")
     parts = F.split(py_strip("value"), "\t", -1)
     return (lines.select(parts.alias("p")).where(F.size("p") >= 2)
             .select(F.col("p")[0].alias("id"), F.col("p")[1].alias("ip")))

@@ -118,3 +118,40 @@ def test_append_rows_by_name(spark):
     b = spark.createDataFrame([(5, "Total")], "NumTests int, Path string")
     got = sorted(tuple(r) for r in inv.append_rows(a, b).collect())
     assert got == [("Total", 5, None), ("p", 1, 2)]
+
+
+def test_numbering_carries_over_partitions(spark):
+    """Keys that end and begin within, at and over partition bounds; nulls; many keys; many partitions."""
+    import random
+
+    from pyspark.sql import Window
+    rng = random.Random(3)
+    rows = [(None if rng.random() < 0.1 else rng.choice(["hot"] * 6 + ["a", "b", "c", str(rng.randrange(300))]), rng.randrange(3), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, j int, id long")
+    for keys in (["k"], ["k", "j"], []):
+        want = df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("id")).cast("long"))
+        for n in (1, 3, 40, 200):
+            got = grouped_row_number(df, keys, ["id"], "rn", num_partitions=n)
+            assert sorted((r.id, r.rn) for r in got.collect()) == sorted((r.id, r.rn) for r in want.collect())
+
+
+def test_numbering_shuffles_rows_once_and_joins_at_most_a_row_per_partition(spark):
+    import contextlib
+    import io
+    df = spark.range(20_000).select((F.col("id") % 19_000).alias("k"), "id")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        grouped_row_number(df, ["k"], ["id"], "rn", num_partitions=8).explain()
+    p = buf.getvalue()
+    # what is left after the rows were written: scans, and joins with broadcast tables of one row per partition
+    assert "SortMergeJoin" not in p and "BroadcastHashJoin" in p and "k#" in p
+    assert "Exchange hashpartitioning(k" not in p and "rangepartitioning" not in p
+
+
+def test_places_over_batches():
+    import pandas as pd
+
+    from suitelens.operators.ranking import places
+    frames = [pd.DataFrame({"k": ["a", "a"]}), pd.DataFrame({"k": []}), pd.DataFrame({"k": ["a", None, None]}), pd.DataFrame({"k": [None, "b"]}),
+              pd.DataFrame({"k": ["b"]}), pd.DataFrame({"k": ["b", "c"]})]
+    assert [x for s in places(iter(frames)) for x in s] == [1, 2, 3, 1, 2, 3, 1, 2, 3, 1]

@@ -98,11 +98,14 @@ def test_hot_key_is_split_over_range_partitions(spark):
 
 # ---- frames behind the queries that only show the read-back of what they wrote
 
-def test_address_reader_has_no_python(spark, tmp_path):
-    from suitelens.sources.inventory import read_addresses
+@pytest.mark.parametrize("reader", ["read_addresses", "read_id_list"])
+def test_line_readers_have_no_python_and_shuffle_no_lines(spark, tmp_path, reader):
+    from suitelens.sources import inventory
     (tmp_path / "a.txt").write_text("ID\tIP\na\t1\n")
-    p = plan_of(read_addresses(spark, str(tmp_path)))
-    assert "Python" not in p and "MapInPandas" not in p and "Exchange" not in p
+    p = plan_of(getattr(inventory, reader)(spark, str(tmp_path)))
+    assert "Python" not in p and "MapInPandas" not in p
+    # the one shuffle is of each file's least line number; lines meet it by broadcast
+    assert p.count("Exchange hashpartitioning") == 1 and "partial_min" in p and "SortMergeJoin" not in p
 
 
 def test_report_parse_is_one_pass_over_file_names(spark, tmp_path):

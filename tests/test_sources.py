@@ -132,3 +132,31 @@ def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
     import pytest
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_root(Bare)
+
+
+def test_blank_first_lines_are_first_lines(spark):
+    root = tempfile.mkdtemp(prefix="suitelens-test-blank-")
+    _write(root, "a.txt", "\nid1\tip1\nid2\tip2\n")
+    _write(root, "b.txt", "   \nid3\tip3\n")
+    _write(root, "c.txt", "ID\tIP\n\nid4\tip4\n")
+    _write(root, "d.txt", "")
+    _write(root, "e.txt", "id5\tip5")
+    got = sorted(tuple(r) for r in src.read_addresses(spark, root).collect())
+    assert got == [("id1", "ip1"), ("id2", "ip2"), ("id3", "ip3"), ("id4", "ip4")]
+    ids = sorted(r.id for r in src.read_id_list(spark, root).collect())
+    assert ids == ["id1", "id2", "id3", "id4", "id5"]
+
+
+def test_first_line_flag_of_many_files_and_splits(spark):
+    from suitelens.sources.logs import scan_log_lines
+    root = tempfile.mkdtemp(prefix="suitelens-test-first-")
+    for k in range(30):
+        _write(root, f"f{k}.txt", "\n".join(f"{k}-{i}" for i in range(1 + 400 * (k % 3))) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        lines = src.with_first_line_flag(scan_log_lines(spark, root))
+        assert sorted(r.value for r in lines.where("is_first").collect()) == sorted(f"{k}-0" for k in range(30))
+        assert lines.count() == sum(1 + 400 * (k % 3) for k in range(30)) and lines.select("block").distinct().count() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
