@@ -160,3 +160,48 @@ def test_first_line_flag_of_many_files_and_splits(spark):
         assert lines.count() == sum(1 + 400 * (k % 3) for k in range(30)) and lines.select("block").distinct().count() > 3
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_one_huge_folder_is_looked_up_by_many_tasks(spark, monkeypatch):
+    from suitelens.sources import listing
+    monkeypatch.setattr(listing, "LOOKUPS_PER_TASK", 500)
+    monkeypatch.setattr(listing, "_BATCH", 300)
+    root = tempfile.mkdtemp(prefix="suitelens-test-huge-")
+    for i in range(8000):
+        _write(root, f"{'.' if i % 100 == 0 else ''}f{i}.txt", "x" * (i % 7))
+    files = listing.list_files(spark, root)
+    assert files.count() == 8000 and files.agg({"size": "sum"}).first()[0] == sum(i % 7 for i in range(8000))
+    from pyspark.sql import functions as F
+    tasks = files.groupBy(F.input_file_name()).count().collect()
+    assert len(tasks) >= 8000 // 500 and max(r["count"] for r in tasks) < 1500  # written by as many tasks
+
+
+def test_unreadable_entries_are_rows_and_the_rest_is_listed(spark, monkeypatch):
+    import pandas as pd
+
+    from suitelens.sources import listing
+    root = tempfile.mkdtemp(prefix="suitelens-test-unreadable-")
+    _write(root, "a/TEST-1.xml", "1")
+    _write(root, "b/TEST-2.xml", "2")
+    os.symlink(os.path.join(root, "nowhere"), os.path.join(root, "a", "broken"))
+    with open(os.path.join(os.fsencode(root), b"a", b"bad\xff.txt"), "w"):
+        pass
+    real = os.scandir
+
+    def closed(path):
+        if str(path).endswith("/b"):
+            raise PermissionError(13, "Permission denied", path)
+        return real(path)
+
+    monkeypatch.setattr(os, "scandir", closed)
+    rows = pd.concat(list(listing._list_batches(iter([pd.DataFrame({"path": ["a", "b", "gone"]})]), root)))
+    assert rows.loc[rows.error.isna(), "path"].tolist() == ["a/TEST-1.xml"]
+    bad = dict(zip(rows.loc[rows.error.notna(), "path"], rows.loc[rows.error.notna(), "error"]))
+    assert sorted(bad) == ["a/bad\\udcff.txt", "b", "gone"] and "Permission denied" in bad["b"]
+    seen = pd.concat(list(listing._look_up_batches(iter([pd.DataFrame({"file": ["x", "y"], "path": ["a/TEST-1.xml", "a/gone.xml"]})]), root)))
+    assert seen["size"].tolist()[0] == 1 and "gone.xml" in seen["error"].tolist()[1]
+    monkeypatch.undo()
+    tree = listing.list_tree(spark, root)
+    assert sorted(r.path for r in tree.files.collect()) == ["a/TEST-1.xml", "b/TEST-2.xml"]
+    assert [r.error for r in tree.errors.collect()] == ["the name is not UTF-8"]
+    assert sorted(r.path for r in scan_reports(spark, root).collect()) == ["a/TEST-1.xml", "b/TEST-2.xml"]
