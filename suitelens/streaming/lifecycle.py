@@ -9,8 +9,13 @@ may still come. So the result is the batch form's for events in any order within
 watermark's delay. Decided keys stay in the result table, and their later events are
 tested against it; a key is decided once.
 
-State, results and the largest time seen are tables with one folder per micro-batch
-(``runner.BatchTable``); all times are epoch microseconds computed by Spark.
+State, results and the largest time seen are tables with one part per micro-batch
+(``runner.BatchTable``); a batch reads the state and the time of the one before, and the results in a few
+merged parts. All times are epoch microseconds computed by Spark.
+
+With a ``root`` of the caller's, a stream that failed, or one to which more has come, goes on
+where it stopped when it is called again: Spark's checkpoint knows what was read, and a batch that was not finished is
+run again over the same tables. What one call decided is part of the result of the next.
 """
 
 from __future__ import annotations
@@ -20,8 +25,7 @@ from pyspark.sql import functions as F
 
 from suitelens.operators.lifecycle import (ACTIVE, DONE, ERROR, FAIL, FAILED, MAX_POLLS, READY,
                                            READY_TIMEOUT_S, SUCCESS, TIMED_OUT)
-from suitelens.session import new_shared_dir
-from suitelens.streaming.runner import BatchTable, run_batches
+from suitelens.streaming.runner import BatchTable, run_batches, stream_root
 
 READINESS_OUT = "resource long, first_us long, state string, decided_us long"
 READINESS_STATE = "resource long, first_us long, terminal struct<ts_us: long, tiebreak: long, status: string>"
@@ -39,23 +43,22 @@ def _delay_us(spark: SparkSession, delay: str) -> int:
 class _Keyed:
     """State, results and clock of a keyed stream."""
 
-    def __init__(self, spark: SparkSession, name: str, key: str, state: str, out: str, delay: str):
-        self.root, self.key, self.delay_us = new_shared_dir(spark, name), key, _delay_us(spark, delay)
+    def __init__(self, spark: SparkSession, name: str, key: str, state: str, out: str, delay: str, root: str | None):
+        self.root, self.key, self.delay_us = stream_root(spark, name, root), key, _delay_us(spark, delay)
         self.state, self.out, self.clock = (BatchTable(f"{self.root}/{t}", s) for t, s in (("state", state), ("out", out), ("clock", CLOCK)))
         self.fresh = BatchTable(f"{self.root}/fresh", state)
-        for t in (self.state, self.out, self.clock):
-            t.start(spark)
 
     def merge(self, rows: DataFrame, reduce, batch: int, ts_us: str = "ts_us") -> tuple[DataFrame, Column]:
         """Undecided keys with this batch's rows, reduced; and the watermark. Rows behind the
         watermark of the batches before, and of decided keys, are left out."""
         spark = rows.sparkSession
-        seen = self.clock.all(spark, batch).agg(F.max("max_us").alias("m")).first()["m"]
+        before = self.clock.read(spark, batch - 1).first()
+        seen = before["max_us"] if before else None
         if seen is not None:
             rows = rows.where(F.col(ts_us) >= seen - self.delay_us)
-        self.clock.write(rows.agg(F.max(ts_us).alias("max_us")), batch)
-        now = max([m for m in (seen, self.clock.read(spark, batch).first()["max_us"]) if m is not None], default=None)
-        decided = self.out.all(spark, batch).select(self.key)
+        self.clock.write(rows.agg(F.greatest(F.max(ts_us), F.lit(seen).cast("long")).alias("max_us")), batch)
+        now = self.clock.read(spark, batch).first()["max_us"]
+        decided = self.out.upto(spark, batch - 1).select(self.key)
         self.fresh.write(reduce(rows), batch)
         fresh = self.fresh.read(spark, batch).join(decided, self.key, "left_anti")
         held = self.state.read(spark, batch - 1).unionByName(fresh)
@@ -65,16 +68,17 @@ class _Keyed:
     def publish(self, kept: DataFrame, decided: DataFrame, batch: int) -> None:
         self.out.write(decided, batch)
         self.state.write(kept, batch)
+        self.out.merge(kept.sparkSession, batch)
 
 
 def track_readiness_stream(events: DataFrame, resource: str, ts: str, status: str, tiebreak: str,
                            timeout_s: int = READY_TIMEOUT_S, delay: str = "1 hour", name: str = "readiness-stream",
-                           run_timeout_s: float | None = None) -> DataFrame:
+                           run_timeout_s: float | None = None, root: str | None = None) -> DataFrame:
     """STR-1 on a stream, run over all that is available: ``resource, first_seen, state,
     decided_at``. A resource comes out once the watermark (largest ``ts`` less ``delay``)
     passes its decision: its first terminal status, or first_seen + timeout."""
     spark = events.sparkSession
-    keyed = _Keyed(spark, name, "resource", READINESS_STATE, READINESS_OUT, delay)
+    keyed = _Keyed(spark, name, "resource", READINESS_STATE, READINESS_OUT, delay, root)
     src = events.select(F.col(resource).cast("long").alias("resource"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"),
                         F.col(status).alias("status"), F.col(tiebreak).cast("long").alias("tiebreak"))
     terminal = F.when(F.col("status").isin(ACTIVE, ERROR), F.struct("ts_us", "tiebreak", "status"))
@@ -91,19 +95,19 @@ def track_readiness_stream(events: DataFrame, resource: str, ts: str, status: st
         over = F.coalesce(at < watermark, F.lit(False))
         keyed.publish(one.where(~over), one.where(over).select("resource", "first_us", state.alias("state"), at.alias("decided_us")), batch)
 
-    run_batches(src, spark, name, step, keyed.root, run_timeout_s)
-    return keyed.out.all(spark).select("resource", F.timestamp_micros("first_us").alias("first_seen"), "state",
+    last = run_batches(src, spark, name, step, keyed.root, run_timeout_s)
+    return keyed.out.upto(spark, last).select("resource", F.timestamp_micros("first_us").alias("first_seen"), "state",
                                        F.timestamp_micros("decided_us").alias("decided_at"))
 
 
 def track_jobs_stream(polls: DataFrame, job: str, ts: str, status: str, reason: str, tiebreak: str,
                       max_polls: int = MAX_POLLS, delay: str = "1 hour", name: str = "jobs-stream",
-                      run_timeout_s: float | None = None) -> DataFrame:
+                      run_timeout_s: float | None = None, root: str | None = None) -> DataFrame:
     """STR-2 on a stream, run over all that is available: ``job_id, state, decided_poll,
     fail_reason``. State is a job's first ``max_polls`` polls by time; the job is decided at
     SUCCESS, FAIL or poll ``max_polls`` once the watermark passes that poll."""
     spark = polls.sparkSession
-    keyed = _Keyed(spark, name, "job_id", JOBS_STATE, JOBS_OUT, delay)
+    keyed = _Keyed(spark, name, "job_id", JOBS_STATE, JOBS_OUT, delay, root)
     src = polls.select(F.col(job).cast("long").alias("job_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"),
                        F.col(tiebreak).cast("long").alias("tiebreak"), F.col(status).alias("status"), F.col(reason).alias("fail_reason"))
     order = Window.partitionBy("job_id").orderBy("ts_us", "tiebreak")
@@ -123,5 +127,5 @@ def track_jobs_stream(polls: DataFrame, job: str, ts: str, status: str, reason:
             F.when(F.col("end.status") == FAIL, F.col("end.fail_reason")).alias("fail_reason"))
         keyed.publish(polls_.drop("poll").join(done.select("job_id"), "job_id", "left_anti"), done, batch)
 
-    run_batches(src, spark, name, step, keyed.root, run_timeout_s)
-    return keyed.out.all(spark)
+    last = run_batches(src, spark, name, step, keyed.root, run_timeout_s)
+    return keyed.out.upto(spark, last)

@@ -7,13 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from suitelens.operators.logs import COUNTERS, extract_log_counters, log_counter_totals
-from suitelens.session import new_shared_dir
 from suitelens.sources.logs import file_name
-from suitelens.streaming.runner import BatchTable, run_batches
+from suitelens.streaming.runner import BatchTable, run_batches, stream_root
 
 TOTALS = "log string, n_counter_lines long, n_unparsed long, " + ", ".join(f"{c} long" for c in COUNTERS)
-#: micro-batches after which the parts of the totals table are merged
-MERGE_EVERY = 32
 
 
 def stream_log_counters(spark: SparkSession, path: str, max_files_per_trigger: int | None = None
@@ -30,39 +27,32 @@ def stream_log_counters(spark: SparkSession, path: str, max_files_per_trigger: i
     return extract_log_counters(lines)
 
 
+def _added(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("log").agg(*[F.sum(c).alias(c) for c in ("n_counter_lines", "n_unparsed", *COUNTERS)])
+
+
 class LogTotals:
     """Per-log totals as parts that add up: one part per micro-batch with the logs that it
-    changed, and now and then a merged part that stands for all up to its batch."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.parts, self.merged = spark, BatchTable(f"{root}/parts", TOTALS), BatchTable(f"{root}/merged", TOTALS)
-        for t in (self.parts, self.merged):
-            t.start(spark)
+    changed, merged in tiers (``BatchTable``)."""
 
-    def read(self, spark: SparkSession | None = None, upto: int | None = None) -> DataFrame:
-        """The totals, of all batches or of those up to one."""
-        spark = spark or self.spark
-        limit = F.lit(True) if upto is None else F.col("batch") <= upto
-        tables = [spark.read.schema(f"{TOTALS}, batch long").parquet(t.root).where(limit) for t in (self.merged, self.parts)]
-        # folders only: the newest merged part, whose _SUCCESS its writer left last
-        base = max([-1, *(b for b in self._done if upto is None or b <= upto)])
-        rows = tables[0].where(F.col("batch") == base).unionByName(tables[1].where(F.col("batch") > base))
-        return rows.groupBy("log").agg(*[F.sum(c).alias(c) for c in ("n_counter_lines", "n_unparsed", *COUNTERS)])
+    def __init__(self, root: str):
+        self.parts = BatchTable(f"{root}/parts", TOTALS, _added)
 
-    _done: tuple = ()
+    def read(self, spark: SparkSession, upto: int) -> DataFrame:
+        """The totals of all batches up to one."""
+        return _added(self.parts.upto(spark, upto))
 
     def add(self, rows: DataFrame, batch: int) -> None:
         self.parts.write(log_counter_totals(rows, key="log"), batch)
-        if (batch + 1) % MERGE_EVERY == 0:
-            self.merged.write(self.read(rows.sparkSession, batch), batch)
-            self._done = (*self._done, batch)
+        self.parts.merge(rows.sparkSession, batch)
 
 
 def run_log_totals(stream: DataFrame, spark: SparkSession, name: str, log: Column | None = None,
-                   timeout_s: float | None = None) -> DataFrame:
+                   timeout_s: float | None = None, root: str | None = None) -> DataFrame:
     """Per-log counter totals kept current as log files arrive, run over all that is
-    available. ``log`` derives the log's name from ``file``; by default that is the log."""
-    root = new_shared_dir(spark, name)
-    totals = LogTotals(spark, root)
-    run_batches(stream.withColumn("log", F.col("file") if log is None else log), spark, name, totals.add, root, timeout_s)
-    return totals.read()
+    available. ``log`` derives the log's name from ``file``; by default that is the log. With the same
+    ``root`` a later call reads only files that no earlier one has, and gives the totals of all."""
+    root = stream_root(spark, name, root)
+    totals = LogTotals(root)
+    last = run_batches(stream.withColumn("log", F.col("file") if log is None else log), spark, name, totals.add, root, timeout_s)
+    return totals.read(spark, last)

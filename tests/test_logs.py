@@ -61,7 +61,8 @@ def test_stream_totals_accumulate_over_micro_batches(spark, monkeypatch):
 
     from suitelens.streaming import logs as stream_logs
 
-    monkeypatch.setattr(stream_logs, "MERGE_EVERY", 2)   # the last part is added to a merged one
+    from suitelens.streaming.runner import BatchTable
+    monkeypatch.setattr(BatchTable, "MERGE", 2)   # the last part is added to a merged one
     d = tempfile.mkdtemp(prefix="suitelens-test-totals-")
     line = "Tests: succeeded {}, failed {}, canceled 0, ignored 0, pending 0\n"
     for n, (log, s, f) in enumerate([("a", 1, 0), ("b", 2, 1), ("a", 3, 2)]):
