@@ -11,7 +11,8 @@ it is shorter) begin no benchmark window can match none and are left out before
 sort. Word names have 64 bits; every match is then compared word by word.
 
 The documents are only scanned: no shuffle, and no group of any kind. The benchmark
-goes to the executors in blocks of a bounded size; more blocks mean more scans.
+goes to the executors in blocks of a bounded size, one at a time: what a block finds is stored with the documents,
+and the next block's pass reads that. So driver and workers hold one block at once; more blocks mean more passes.
 
 Defined cases: a null or empty text has no words; an item without words never occurs;
 an item of fewer words than a window is one window; items with a null id mark the
@@ -30,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitelens.llm.common import TextChunk, prepare, text_chunks
+from suitelens.llm.common import TextChunk, prepare, stored, text_chunks
 from suitelens.llm.words import ALNUM, LOWER, mix, span_names, split_words
 
 WINDOW = 10
 #: benchmark text that goes to the executors at once
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SEED = 3  # words that must begin a benchmark window
 
@@ -196,6 +197,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("text"), *arrays],
                                                      names=["doc_id", "text", *_ADDED.names])
 
+        if k:
+            out = stored(out, "block-hits")
         out = out.mapInArrow(run, f"doc_id long, text string, {added}")
         base += len(items)
     return out.drop("text")
@@ -207,7 +210,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     spark = docs.sparkSession
     prepare(spark)
     out = docs
-    for items in benchmark_blocks(benchmark, item_id, item_text):
+    for k, items in enumerate(benchmark_blocks(benchmark, item_id, item_text)):
+        if k:
+            out = stored(out, "block-kept")
         block = spark.sparkContext.broadcast(Block(items, window))
 
         def run(batches, block=block):

@@ -83,11 +83,6 @@ def test_window_names_and_ranks():
         for i, n in enumerate(names.tolist()):
             assert seen.setdefault(n, bytes(data[i:i + width])) == bytes(data[i:i + width])
         assert len(set(names.tolist())) == len({bytes(data[i:i + width]) for i in range(400 - width + 1)})
-    starts = np.arange(0, 351)
-    for number in (prefix_doubling.rank_windows(words.mix(data.astype(np.uint64)), starts, 50),
-                   suffix_trees.subtree_nodes(words.mix(data.astype(np.uint64)), starts, 50),
-                   suffix_trees.subtree_nodes(words.mix(np.zeros(400, np.uint64)), starts, 20)):
-        pass
     small = rng.integers(0, 2, 300).astype(np.uint64)
     starts = np.arange(0, 290)
     for method in (prefix_doubling.rank_windows, suffix_trees.subtree_nodes):
@@ -270,3 +265,70 @@ def test_components_of_random_links(spark):
     touched = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: top(x) for x in touched}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def thue_morse(bits, a="a", b="b"):
+    out = a, b
+    for _ in range(bits):
+        out = out[0] + out[1], out[1] + out[0]
+    return out
+
+
+def test_words_that_collide_under_polynomials_have_their_own_names():
+    one, two = thue_morse(10)
+    assert len(one) == 1024 and one != two
+    for kind in (np.uint8, np.uint32):
+        data = np.frombuffer((one + two).encode(), np.uint8).astype(kind)
+        for key in (0, words.fresh_key()):
+            a, b = words.word_names(data, np.array([0, 1024]), np.array([1024, 2048]), key).tolist()
+            assert a != b
+
+
+def test_colliding_words_in_all_operators(spark):
+    import hashlib
+
+    from suitelens.llm import tokens
+    from suitelens.llm.common import END_ID, new_shared_dir, tokenizer_path
+    from suitelens.llm.token_store import read_checksums, write_tokens
+    one, two = thue_morse(10)
+    tok = pytest.importorskip("tokenizers").Tokenizer.from_file(tokenizer_path())
+    ids, n = tokens.Encoder(tokenizer_path()).encode([one, two])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in (one, two)]
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*base[:10], w, *base[10:20]]) for w in (one, two)] + [one, two] + [" ".join([*base, w, *base[::-1]]) for w in (one, two)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_symbols, r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_trees.dedup_words(df).collect())
+    assert got == brute.op2(rows)
+    assert sorted(tuple(r) for r in shingle_join.jaccard_classes(df).collect()) == brute.op8(rows)
+    path = new_shared_dir(spark, "colliding")
+    write_tokens(df, path, tokenizer_path(), END_ID)
+    got = sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in read_checksums(spark, path).collect())
+    assert got == [(d, k, c) for d, _, k, c in brute.op1(rows, lambda t: tok.encode(t, add_special_tokens=False).ids)]
+
+
+def test_language_rejects_gibberish_and_unlearned_alphabets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs, allowed=~langid.held_out())
+    rng = random.Random(6)
+
+    def noise(letters):
+        return [" ".join("".join(rng.choices(letters, k=rng.randint(2, 10))) for _ in range(rng.randint(8, 60))) for _ in range(300)]
+
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω"):
+        odd = spark.createDataFrame(list(enumerate(noise(letters))), "doc_id long, text string")
+        assert langid.predict(odd, model).filter("rejected").count() >= 0.95 * 300
+    clean = langid.predict(docs.filter(langid.held_out()).filter("lang is not null and text is not null"), model)
+    assert clean.filter("rejected").count() <= 0.02 * clean.count()
+    assert clean.filter("lang = lang_pred").count() >= 0.95 * clean.count()
+
+
+def test_language_of_long_texts_is_learned(spark):
+    rng = random.Random(2)
+    long = ["".join(rng.choices(["ka", "ti ", "mo"], k=1500)) for _ in range(40)]
+    short = ["".join(rng.choices(["xo", "qu ", "zze"], k=60)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([*((t, "long") for t in long), *((t, "short") for t in short)])],
+                                 "doc_id long, text string, lang string")
+    model = langid.fit(docs, document_bytes=1000)
+    assert model.languages == ["long", "short"]
+    assert langid.predict(docs, model).filter("lang_pred = lang and not rejected").count() == 80
