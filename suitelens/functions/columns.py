@@ -59,6 +59,22 @@ def format_duration(seconds) -> Column:
     return F.format_string("%dm %d.%02ds", mins, F.floor(cents / 100).cast("long"), cents % 100)
 
 
+def run_stamp(ts) -> Column:
+    """The stamp that names a run's log folder, from its start: ``20240131_235959``."""
+    # fixed value: the format of the stamp
+    return F.date_format(col_(ts), "yyyyMMdd_HHmmss")
+
+
+def megabytes(n_bytes) -> Column:
+    """Bytes as ``"{n / 1024**2:.2f} MB"``, rounded as Python does: the exact value, ties to even."""
+    n = col_(n_bytes).cast("long")
+    # hundredths of whole and of the remaining bytes apart, so that no product leaves a long
+    whole, times = F.shiftright(n, 20), n.bitwiseAND(F.lit((1 << 20) - 1)) * 100
+    cents, rest, half = F.shiftright(times, 20), times.bitwiseAND(F.lit((1 << 20) - 1)), F.lit(1 << 19)
+    cents = cents + ((rest > half) | ((rest == half) & (cents % 2 == 1))).cast("long")
+    return F.when(n.isNotNull(), F.format_string("%d.%02d MB", whole + F.floor(cents / 100).cast("long"), cents % 100))
+
+
 def expiry_time(ts, hours, ltz: bool = False) -> Column:
     """PRJ-4: ``ts + hours`` formatted ``%Y-%m-%dT%H:%M:%SZ``.
 

@@ -145,6 +145,16 @@ def durations(spark, sf_dir):
     return e.select("event_id", C.format_duration(F.col("value") / 7).alias("duration"))
 
 
+def run_stamps(spark, sf_dir):
+    """The stamp of a run that starts with each event."""
+    return table(spark, sf_dir, "events").select("event_id", C.run_stamp(F.col("ts").cast("timestamp")).alias("stamp"))
+
+
+def log_sizes(spark, sf_dir):
+    """Sizes as shown, of logs of 4099 bytes per character of a document."""
+    return table(spark, sf_dir, "documents").select("doc_id", C.megabytes(F.col("n_chars") * 4099).alias("size"))
+
+
 def supplier_networks(spark, sf_dir) -> DataFrame:
     """Each supplier as a server with three ordered networks and an optional explicit public IP."""
     sp = table(spark, sf_dir, "supplier")
@@ -230,6 +240,8 @@ QUERIES = {
     "expiry": expiry,
     "short_command": short_command,
     "durations": durations,
+    "run_stamps": run_stamps,
+    "log_sizes": log_sizes,
     "address_classes": address_classes,
     "addressable": addressable,
     "drop_node_lines": drop_node_lines,
@@ -330,6 +342,8 @@ SELECT doc_id, CASE WHEN length(text) < 60 THEN text
                END AS short_text
 FROM documents
 """,
+    "run_stamps": "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events",
+    "log_sizes": "SELECT doc_id, printf('%.2f MB', n_chars * 4099 / 1048576.0) AS size FROM documents",
     "durations": """
 SELECT event_id, printf('%dm %.2fs', CAST(floor(value / 7 / 60) AS BIGINT), fmod(value / 7, 60.0)) AS duration
 FROM events

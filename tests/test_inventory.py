@@ -155,3 +155,22 @@ def test_places_over_batches():
     frames = [pd.DataFrame({"k": ["a", "a"]}), pd.DataFrame({"k": []}), pd.DataFrame({"k": ["a", None, None]}), pd.DataFrame({"k": [None, "b"]}),
               pd.DataFrame({"k": ["b"]}), pd.DataFrame({"k": ["b", "c"]})]
     assert [x for s in places(iter(frames)) for x in s] == [1, 2, 3, 1, 2, 3, 1, 2, 3, 1]
+
+
+def test_run_stamp_and_megabytes(spark):
+    import datetime as dt
+
+    from suitelens.functions import columns as C
+    sizes = [0, 1, 5242, 5243, 131072, 393216, 1048575, 1048576, 123456789, 10 ** 15 + 7, (1 << 62) + 12345, *range(131000, 131200, 7)]
+    times = [dt.datetime(2024, 1, 31, 23, 59, 59), dt.datetime(1999, 12, 1, 0, 0, 1, 999999)]
+    df = spark.createDataFrame([(n,) for n in sizes] + [(None,)], "n long")
+    got = {r.n: r.mb for r in df.select("n", C.megabytes("n").alias("mb")).collect()}
+    from fractions import Fraction
+    for n in sizes:
+        cents = round(Fraction(100 * n, 1 << 20))  # ties to even
+        assert got[n] == f"{cents // 100}.{cents % 100:02d} MB"
+        if n < 1 << 53:
+            assert got[n] == f"{n / (1024 * 1024):.2f} MB"
+    assert got[None] is None
+    stamps = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz").select(C.run_stamp("t").alias("s")).collect()
+    assert [r.s for r in stamps] == [t.strftime("%Y%m%d_%H%M%S") for t in times]
