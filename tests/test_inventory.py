@@ -148,15 +148,6 @@ def test_numbering_shuffles_rows_once_and_joins_at_most_a_row_per_partition(spar
     assert "Exchange hashpartitioning(k" not in p and "rangepartitioning" not in p
 
 
-def test_places_over_batches():
-    import pandas as pd
-
-    from suitelens.operators.ranking import places
-    frames = [pd.DataFrame({"k": ["a", "a"]}), pd.DataFrame({"k": []}), pd.DataFrame({"k": ["a", None, None]}), pd.DataFrame({"k": [None, "b"]}),
-              pd.DataFrame({"k": ["b"]}), pd.DataFrame({"k": ["b", "c"]})]
-    assert [x for s in places(iter(frames)) for x in s] == [1, 2, 3, 1, 2, 3, 1, 2, 3, 1]
-
-
 def test_run_stamp_and_megabytes(spark):
     import datetime as dt
 

@@ -1,22 +1,18 @@
-"""The Python pieces that run inside Spark tasks, tested directly (no JVM needed):
-the first-line marker and the two stream state machines, driven through a small
-stand-in for ``GroupState``."""
+"""The Python pieces that run inside Spark tasks, tested directly (no JVM needed)."""
 
 import pandas as pd
 
-from suitelens.sources.inventory import _first_line_batches
+from suitelens.operators.ranking import places
 
 
-def test_first_line_marks_only_the_start_of_offset_zero_splits():
-    b1 = pd.DataFrame({"file": ["a", "a", "b"], "block": [0, 0, 128], "seq": [1, 2, 3], "value": ["h", "x", "y"]})
-    b2 = pd.DataFrame({"file": ["b", "c", "c", "a"], "block": [128, 0, 0, 256],
-                       "seq": [4, 5, 6, 7], "value": ["z", "h2", "w", "v"]})
-    out = pd.concat(list(_first_line_batches(iter([b1, b2]))), ignore_index=True)
-    assert out["is_first"].tolist() == [True, False, False, False, True, False, False]
+def _places(*frames):
+    return [x for s in places(iter(frames)) for x in s]
 
 
-def test_first_line_across_batch_boundary_is_not_repeated():
-    b1 = pd.DataFrame({"file": ["a"], "block": [0], "seq": [1], "value": ["h"]})
-    b2 = pd.DataFrame({"file": ["a"], "block": [0], "seq": [2], "value": ["x"]})
-    out = pd.concat(list(_first_line_batches(iter([b1, b2]))), ignore_index=True)
-    assert out["is_first"].tolist() == [True, False]
+def test_places_over_batches():
+    assert _places(pd.DataFrame({"k": ["a", "a"]}), pd.DataFrame({"k": []}), pd.DataFrame({"k": ["a", None, None]}),
+                   pd.DataFrame({"k": [None, "b"]}), pd.DataFrame({"k": ["b"]}), pd.DataFrame({"k": ["b", "c"]})) == [1, 2, 3, 1, 2, 3, 1, 2, 3, 1]
+
+
+def test_places_of_several_keys():
+    assert _places(pd.DataFrame({"k": [1, 1, 1], "j": ["x", "x", None]}), pd.DataFrame({"k": [1, 2], "j": [None, None]})) == [1, 2, 1, 2, 1]
