@@ -1,4 +1,4 @@
-"""Queries for log mining: log_counters, log_stat_lines, log_verdict, module_report, tail_lines."""
+"""Queries for log mining: log_counters, log_stat_lines, log_verdict, module_report, tail_lines, file_tails."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from suitelens.operators import logs
 from suitelens.plans.fixtures import order_line_counts
 from suitelens.session import new_shared_dir, table
+from suitelens.sinks.files import write_documents
 from suitelens.sources.logs import scan_log_lines
+from suitelens.sources.tails import tail_files
 
 # Patterns for FLT-2 over the documents table (a parameter of stat_lines).
 DOC_PATTERNS = ("License", "password", "@")
@@ -106,12 +108,25 @@ def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", "event_id", F.col("from_end").cast("long").alias("from_end"))
 
 
+def file_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ORD-2 on files: the last 20 lines of each document, written as a file of its own and read from its end."""
+    root = new_shared_dir(spark, "document-files")
+    docs = table(spark, sf_dir, "documents").select(
+        F.format_string("%d/%d.txt", F.pmod("doc_id", F.lit(100)), F.col("doc_id")).alias("path"),
+        F.coalesce("text", F.lit("")).alias("content"))
+    write_documents(docs, root)
+    return tail_files(spark, root, glob="*.txt").select(
+        F.regexp_extract("file", r"(-?\d+)\.txt$", 1).cast("long").alias("doc_id"),
+        F.col("from_end").cast("long").alias("from_end"), F.col("value").alias("line"))
+
+
 QUERIES = {
     "log_counters": log_counters,
     "log_stat_lines": log_stat_lines,
     "log_verdict": log_verdict,
     "module_report": module_report,
     "tail_lines": tail_lines,
+    "file_tails": file_tails,
 }
 
 ORDER_COUNTS_SQL = """
@@ -170,5 +185,12 @@ SELECT user_id, event_id, from_end FROM (
   SELECT user_id, event_id,
          row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS from_end
   FROM events) WHERE from_end <= 20
+""",
+    "file_tails": """
+WITH ended AS (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END AS t
+               FROM documents WHERE text <> ''),
+parts AS (SELECT doc_id, string_split(t, chr(10)) AS p FROM ended),
+places AS (SELECT doc_id, p, unnest(generate_series(1, least(len(p), 20))) AS from_end FROM parts)
+SELECT doc_id, from_end, p[len(p) - from_end + 1] AS line FROM places
 """,
 }
