@@ -1,5 +1,8 @@
 """Shard selection (FIXTURES A9)."""
 
+import random
+from collections import Counter
+
 from suitelens.operators import shards
 
 
@@ -49,3 +52,41 @@ def test_null_tags_do_not_hide_a_suite(spark):
                                    "suite string, module string, tags array<string>")
     got = [r.shard for r in shards.assign_shards(suites, shards.named_shard_rules(spark)).collect()]
     assert got == ["hive-3"]
+
+
+def _covers(tags, inc, exc):
+    tags, inc, exc = ({x for x in xs or []} for xs in (tags, inc, exc))
+    tags.discard(None)
+    return bool(tags & inc) if inc else not tags & exc
+
+
+def test_rules_by_tag_like_every_pair(spark):
+    rng = random.Random(5)
+    names, tags = ["m1", "m2", "m3", None], ["a", "b", "c", "d", None]
+
+    def some(k):
+        return None if rng.random() < 0.1 else [rng.choice(tags) for _ in range(rng.randrange(k))]
+
+    suites = [(f"s{rng.randrange(60)}", rng.choice(names), some(4)) for _ in range(150)]
+    rules = [(f"t{rng.randrange(30)}", rng.choice(names), some(3), some(4)) for _ in range(40)]
+    s = spark.createDataFrame(suites, "suite string, module string, tags array<string>")
+    r = spark.createDataFrame(rules, shards.RULE_SCHEMA)
+    want = sorted((n, m, t) for n, m, g in suites for t, rm, inc, exc in rules if m is not None and m == rm and _covers(g, inc, exc))
+    assert sorted(tuple(x) for x in shards.assign_shards(s, r).collect()) == want
+    found = Counter((n, m) for n, m, _ in want)
+    cover = {(n, m): found[n, m] for n, m, _ in suites if found[n, m] != 1}
+    got = {(x.suite, x.module): x.n_shards for x in shards.shard_cover_check(s, r).collect()}
+    assert got == cover
+
+
+def test_many_rules_of_one_module(spark):
+    """100,000 rules and 2,000 suites of one module: 2e8 pairs, of which 4,000 share a tag."""
+    s = spark.range(2000).selectExpr("id AS suite", "'m' AS module", "array(concat('t', id), concat('t', id + 50000), 'other') AS tags")
+    r = spark.range(100_000).selectExpr("concat('r', id) AS task", "'m' AS module", "array(concat('t', id)) AS included",
+                                        "cast(array() AS array<string>) AS excluded")
+    got = shards.assign_shards(s, r)
+    assert got.count() == 4000 and got.where("shard not in (concat('r', suite), concat('r', suite + 50000))").count() == 0
+    cover = shards.shard_cover_check(s, r.unionByName(spark.createDataFrame([("x", "m", [], ["other"])], shards.RULE_SCHEMA)))
+    assert cover.agg({"n_shards": "sum"}).first()[0] == 4000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan and "arrays_overlap" not in plan
