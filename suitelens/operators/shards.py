@@ -108,49 +108,40 @@ def assign_shards(suites: DataFrame, rules: DataFrame, suite_col: str = "suite",
 
     A rule covers a suite of its module when the rule has no tags at all, when a
     suite tag is included, or when the rule only excludes and no suite tag is
-    excluded. Rules are looked up by tag: each (module, included tag) is a posting, and
-    a suite meets only rules that share a tag with it. Rules without included tags are results
-    for all suites of their module but those that meet an excluded tag, so they are
-    joined by module, and their exceptions, found by tag as well, are taken out. Equal suites and equal rules
-    each count as often as they occur. The joins' strategy is left to Spark; building the query starts no job.
+    excluded. Rules with included tags are looked up by tag: each (module, included tag) is a
+    posting, and a suite meets only rules that share a tag with it. Rules without included tags
+    hold for all suites of their module but those that meet an excluded tag: nearly all those pairs are
+    results, so they are joined by module. Rules may be computed, so the joins' strategy is left to Spark (its
+    size check, or sort-merge joins whose hot keys AQE splits), and building the query starts no job.
     """
     s, r = _suite_rows(suites, suite_col, tags_col), _rule_rows(rules)
-    times = F.explode(F.sequence(F.lit(1), (F.col("_n") * F.col("_m")).cast("int")))
-    included = _met(s, r, "_inc").select("suite", "module", "shard", "_n", "_m")
-    wide = r.where(F.size("_inc") == 0)
-    rest = (s.join(wide, "module")
-            .join(_met(s, wide, "_exc").select("_s", "_r"), ["_s", "_r"], "left_anti")
-            .select("suite", "module", "shard", "_n", "_m"))
-    return included.unionByName(rest).select(F.col("suite").alias(suite_col), "module", "shard", times.alias("_t")).drop("_t")
+    included = _met(s, r, "_inc")
+    rest = s.join(r.where(F.size("_inc") == 0), "module").where(~F.arrays_overlap("_tags", F.array_compact("_exc")))
+    return included.unionByName(rest, allowMissingColumns=True).select(F.col("suite").alias(suite_col), "module", "shard")
 
 
-def _digest(*cols) -> F.Column:
-    """A name of a row's values; nulls and texts that look alike are told apart."""
-    return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+def _tag_set(c) -> F.Column:
+    return F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))
 
 
 def _suite_rows(suites: DataFrame, suite_col: str, tags_col: str) -> DataFrame:
-    """``suite, module, _tags, _n, _s``: distinct suites with their number of rows and a name. NULL tags
-    are no tags."""
-    tags = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(tags_col), F.array().cast("array<string>")))))
-    return (suites.groupBy(F.col(suite_col).alias("suite"), "module", tags.alias("_tags")).agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_s", _digest("suite", "module", "_tags")))
+    """``suite, module, _tags``; NULL tags are no tags."""
+    return suites.select(F.col(suite_col).alias("suite"), "module", F.array_compact(_tag_set(F.col(tags_col))).alias("_tags"))
 
 
 def _rule_rows(rules: DataFrame) -> DataFrame:
-    """``shard, module, _inc, _exc, _m, _r``: distinct rules with their number of rows and a name."""
-    empty = F.array().cast("array<string>")
-    # a list of nothing but NULLs is still a list of tags, which no suite has
-    inc, exc = (F.array_sort(F.array_distinct(F.coalesce(c, empty))) for c in ("included", "excluded"))
-    return (rules.groupBy(F.col("task").alias("shard"), "module", inc.alias("_inc"), exc.alias("_exc")).agg(F.count(F.lit(1)).alias("_m"))
-            .withColumn("_r", _digest("shard", "module", "_inc", "_exc")))
+    """``shard, module, _inc, _exc``; a list of nothing but NULLs is still a list of tags, which no suite has."""
+    return rules.select(F.col("task").alias("shard"), "module", _tag_set(F.col("included")).alias("_inc"),
+                        _tag_set(F.col("excluded")).alias("_exc"))
 
 
 def _met(s: DataFrame, r: DataFrame, tags: str) -> DataFrame:
-    """Suites with the rules of their module of whose list ``tags`` they have a tag, each pair once."""
-    postings = r.select("module", F.explode(tags).alias("_tag"), "_r", "shard", "_m").where(F.col("_tag").isNotNull())
-    tagged = s.select("_s", "suite", "module", "_n", F.explode("_tags").alias("_tag"))
-    return tagged.join(postings, ["module", "_tag"]).drop("_tag").dropDuplicates(["_s", "_r"])
+    """Suites with the rules of their module of whose list ``tags`` they have a tag. A pair that shares
+    several tags meets at each, and stays at the first of them."""
+    postings = r.select("module", F.explode(tags).alias("_tag"), F.col(tags).alias("_list"), "shard")
+    tagged = s.select("suite", "module", "_tags", F.explode("_tags").alias("_tag"))
+    return (tagged.join(postings, ["module", "_tag"])
+            .where(F.col("_tag") == F.get(F.array_intersect("_tags", "_list"), F.lit(0))).select("suite", "module", "shard"))
 
 
 def shard_cover_check(suites: DataFrame, rules: DataFrame, suite_col: str = "suite",
@@ -158,20 +149,18 @@ def shard_cover_check(suites: DataFrame, rules: DataFrame, suite_col: str = "sui
     """Suites that land in no shard or in more than one: ``suite, module, n_shards``, counted
     over the rows of a suite.
 
-    Only counted, never paired: a suite has the rules it meets by an included tag, and those of
+    Counted, not paired: a suite has the rules it meets by an included tag, and those of
     its module without included tags (one number per module) less those it meets by an excluded one.
     """
     s, r = _suite_rows(suites, suite_col, tags_col), _rule_rows(rules)
     wide = r.where(F.size("_inc") == 0)
-    of_module = wide.groupBy("module").agg(F.sum("_m").alias("_all"))
+    of_module = wide.groupBy("module").agg(F.count(F.lit(1)).alias("_all"))
 
-    def number(pairs: DataFrame, out: str) -> DataFrame:
-        return pairs.groupBy("_s").agg(F.sum("_m").alias(out))
+    def each(df: DataFrame, n) -> DataFrame:
+        return df.select("suite", "module", n.cast("long").alias("_n"))
 
-    counted = (s.join(of_module, "module", "left")
-               .join(number(_met(s, r, "_inc"), "_in"), "_s", "left")
-               .join(number(_met(s, wide, "_exc"), "_out"), "_s", "left"))
-    zero = F.lit(0).cast("long")
-    n = F.coalesce("_in", zero) + F.coalesce("_all", zero) - F.coalesce("_out", zero)
-    return (counted.groupBy(F.col("suite").alias(suite_col), "module").agg(F.sum(n * F.col("_n")).alias("n_shards"))
+    parts = (each(s.join(of_module, "module", "left"), F.coalesce("_all", F.lit(0)))
+             .unionByName(each(_met(s, r, "_inc"), F.lit(1)))
+             .unionByName(each(_met(s, wide, "_exc"), F.lit(-1))))
+    return (parts.groupBy(F.col("suite").alias(suite_col), "module").agg(F.sum("_n").alias("n_shards"))
             .where(F.col("n_shards") != 1).select(suite_col, "module", "n_shards"))

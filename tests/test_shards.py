@@ -88,5 +88,7 @@ def test_many_rules_of_one_module(spark):
     assert got.count() == 4000 and got.where("shard not in (concat('r', suite), concat('r', suite + 50000))").count() == 0
     cover = shards.shard_cover_check(s, r.unionByName(spark.createDataFrame([("x", "m", [], ["other"])], shards.RULE_SCHEMA)))
     assert cover.agg({"n_shards": "sum"}).first()[0] == 4000
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "CartesianProduct" not in plan and "arrays_overlap" not in plan
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    met = shards._met(shards._suite_rows(s, "suite", "tags"), shards._rule_rows(r), "_inc")
+    assert "_tag" in [line for line in met._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line][0]
