@@ -2,9 +2,12 @@
 
 Documents with equal texts are linked (through their group, so a group of n copies
 has n links and not n * n). Every document starts in a shard dealt by its id. In each
-round the groups count their members per shard, every group names the shards where
-most of its members already are (one shard, or as many as its rows need), and the
-other members move there as far as those shards have room. At the end rows above a
+round the groups count their members per shard and name a home: of the shards in which the whole
+group has room the one with most of its members, else one drawn in proportion to the
+room that is left. A group larger than a shard names as many shards as its rows need. The
+other members move there as far as there is room; of groups that lie whole in a shard with
+too many rows, some look for another. Rounds end when nobody wants to move and no shard has too many rows, or
+after ``rounds`` of them. At the end rows above a
 shard's quota, documents without links first, move to shards below theirs, which makes
 the counts equal to within one.
 
@@ -34,7 +37,7 @@ def _unit(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, group, shard, slot`` for every row of ``docs``; shard
     counts differ by one at most, slots run from 0 in each shard."""
     spark = docs.sparkSession
@@ -67,21 +70,46 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 4, doc_id:
     return _even(numbered, shards, quotas)
 
 
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])
+
+
 def _round(linked: DataFrame, shards: int, room: int, k: int) -> DataFrame | None:
     """One step of propagation; None when no document wants to move."""
+    found = {r["shard"]: r for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("n") <= room).alias("small")).collect()}
+    free = [room - (found[s]["c"] if s in found else 0) for s in range(shards)]
+    small = [found[s]["small"] if s in found else 0 for s in range(shards)]
     counts = linked.groupBy("group", "n", "shard").agg(F.count(F.lit(1)).alias("c"))
+    hot = F.col("n") > room
+    # a group that is whole stays, but for a share of those in a shard with too many rows
+    above, inside = (F.get(_longs(x), F.col("shard")) for x in ([max(0, -f) for f in free], small))
+    leaving = F.when(above > 0, F.greatest(above, F.col("n")) / inside).otherwise(0.0)
+    whole = (F.col("c") == F.col("n")) & (_unit(F.col("group"), F.lit("stay"), F.lit(k)) >= leaving)
+    fits = whole | ((F.col("c") < F.col("n")) & (F.get(_longs(free), F.col("shard")) + F.col("c") >= F.col("n")))
     by_count = Window.partitionBy("group").orderBy(F.desc("c"), F.xxhash64("group", "shard"))
-    need = F.ceil(F.col("n") / F.lit(room))
-    homes = (counts.withColumn("_r", F.row_number().over(by_count)).filter(F.col("_r") <= need)
+    ranked = counts.filter(hot | fits).withColumn("_r", F.row_number().over(by_count))
+    homes = (ranked.filter(F.col("_r") <= F.when(hot, F.ceil(F.col("n") / F.lit(room))).otherwise(1))
              .groupBy("group").agg(F.sort_array(F.collect_list("shard")).alias("homes")))  # at most `shards` entries
-    wish = linked.join(homes, "group").withColumn(
-        "to", F.when(F.array_contains("homes", F.col("shard")), F.col("shard"))
+    # for a group without a home: a shard drawn by the room that is left, or the one with most of it
+    begins, total = [], 0
+    for f in free:
+        begins.append(total)
+        total += max(0, f)
+    at = (_unit(F.col("group"), F.lit("draw"), F.lit(k)) * F.lit(float(total))).cast("long")
+    open_shards = [s for s in range(shards) if free[s] > 0]
+    drawn = F.get(F.array(*[F.lit(s) for s in open_shards]), F.size(F.filter(_longs([begins[s] for s in open_shards]), lambda b: b <= at)) - 1) \
+        if open_shards else F.col("shard")
+    roomiest = max(range(shards), key=lambda s: free[s])
+    drawn = F.when(F.get(_longs(free), drawn) >= F.col("n"), drawn).when(F.col("n") <= free[roomiest], F.lit(roomiest)).otherwise(F.col("shard"))
+    wish = linked.join(homes, "group", "left").withColumn(
+        "to", F.when(F.col("homes").isNull(), drawn)
+        .when(F.array_contains("homes", F.col("shard")), F.col("shard"))
         .otherwise(F.get("homes", F.pmod(F.xxhash64("rid"), F.size("homes")).cast("int"))))
     wish = stored(wish.drop("homes"), "shard-wishes")
     flows = wish.groupBy("to").agg(F.sum(F.when(F.col("to") == F.col("shard"), 1).otherwise(0)).alias("stay"),
                                    F.sum(F.when(F.col("to") != F.col("shard"), 1).otherwise(0)).alias("come")).collect()
     leave = {r["shard"]: r["c"] for r in wish.filter(F.col("to") != F.col("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("c")).collect()}
-    if not leave:
+    if not leave and not (max(free) > 0 and any(f < 0 < n for f, n in zip(free, small))):
         return None
     part = [1.0] * shards  # of those who want to come, as many as there is room for
     for r in flows:
@@ -112,15 +140,12 @@ def _even(numbered: DataFrame, shards: int, quotas: list[int]) -> DataFrame:
     if not gap_begin:
         return out
 
-    def longs(values: list[int]) -> Column:
-        return F.array(*[F.lit(v).cast("long") for v in values])
-
-    quota, before = F.get(longs(quotas), F.col("shard")), F.get(longs(over), F.col("shard"))
+    quota, before = F.get(_longs(quotas), F.col("shard")), F.get(_longs(over), F.col("shard"))
     extra = out.withColumn("_i", F.when(F.col("slot") >= quota, before + F.col("slot") - quota))
-    extra = extra.withColumn("_g", F.size(F.filter(longs(gap_begin), lambda b: b <= F.col("_i"))) - 1)
+    extra = extra.withColumn("_g", F.size(F.filter(_longs(gap_begin), lambda b: b <= F.col("_i"))) - 1)
     moved = F.col("_i").isNotNull()
     return extra.select(
         "doc_id", "size", "text_crc32", "group",
-        F.when(moved, F.get(longs(gap_shard), F.col("_g"))).otherwise(F.col("shard")).cast("int").alias("shard"),
-        F.when(moved, F.get(longs(gap_slot), F.col("_g")) + F.col("_i") - F.get(longs(gap_begin), F.col("_g")))
+        F.when(moved, F.get(_longs(gap_shard), F.col("_g"))).otherwise(F.col("shard")).cast("int").alias("shard"),
+        F.when(moved, F.get(_longs(gap_slot), F.col("_g")) + F.col("_i") - F.get(_longs(gap_begin), F.col("_g")))
         .otherwise(F.col("slot")).cast("long").alias("slot"))
