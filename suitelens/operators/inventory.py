@@ -54,17 +54,30 @@ def resolve_public_ip(instances: DataFrame, addresses: DataFrame, ref_col: str =
 
 
 def upsert_registry(registry: DataFrame, incoming: DataFrame, line_col: str = "line",
-                    ip_col: str = "private_ip", host_col: str = "hostname") -> DataFrame:
+                    ip_col: str = "private_ip", host_col: str = "hostname", sorted_pass: bool = False) -> DataFrame:
     """JON-3 + SET-1: ``line, source`` -- old lines kept, then ``ip<TAB>hostname`` per incoming row.
 
     An old line is dropped when it is blank, a comment, or its stripped text ends with
-    any incoming hostname (so ``xnode-1`` is dropped by ``node-1``). "Ends with any" is one sorted
-    pass over the distinct lines and hostnames (``suffixes.ends_with_any``), each of them once
-    whatever the lengths of the hostnames.
+    any incoming hostname (so ``xnode-1`` is dropped by ``node-1``). "Ends with any" is
+    evaluated as an equi-join: each distinct stripped line is expanded to its suffixes of
+    those lengths that an incoming hostname has (one small array, a scalar subquery), and
+    those are semi-joined with the hostnames. Building the query starts no job.
+
+    ``sorted_pass`` takes one sorted pass over the distinct lines and hostnames instead
+    (``suffixes.ends_with_any``): each of them once, whatever the number of lengths, but its rows are
+    written once while the query is built. The result is the same.
     """
     t = py_strip(line_col)
     old = registry.withColumn("_t", t).where((F.col("_t") != "") & ~F.col("_t").startswith("#"))
-    hit = ends_with_any(old.select("_t"), incoming.select(host_col)).withColumnRenamed("text", "_t")
+    if sorted_pass:
+        hit = ends_with_any(old.select("_t"), incoming.select(host_col)).withColumnRenamed("text", "_t")
+    else:
+        hosts = incoming.select(F.col(host_col).alias("_h")).where(F.col("_h").isNotNull()).distinct()
+        lengths = hosts.agg(F.collect_set(F.length("_h"))).scalar()
+        texts = old.select("_t").distinct().withColumn("_n", lengths)
+        suffixes = texts.select("_t", F.explode(F.expr(
+            "transform(filter(_n, L -> L <= length(_t)), L -> substring(_t, length(_t) - L + 1, L))")).alias("_s"))
+        hit = suffixes.join(hosts, F.col("_s") == F.col("_h"), "left_semi").select("_t").distinct()
     kept = old.join(hit, "_t", "left_anti")
     new = incoming.select(F.concat_ws("\t", F.col(ip_col), F.col(host_col)).alias(line_col),
                           F.lit("new").alias("source"))

@@ -79,6 +79,11 @@ def registry_upsert(spark, sf_dir):
     return inv.upsert_registry(registry_lines(spark, sf_dir), incoming_nodes(spark, sf_dir))
 
 
+def registry_upsert_sorted(spark, sf_dir):
+    """JON-3 with "ends with any" as one sorted pass."""
+    return inv.upsert_registry(registry_lines(spark, sf_dir), incoming_nodes(spark, sf_dir), sorted_pass=True)
+
+
 def failed_ids(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     done = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "F").select("l_orderkey")
@@ -231,6 +236,7 @@ QUERIES = {
     "pair_by_position": pair_by_position,
     "resolve_address": resolve_address,
     "registry_upsert": registry_upsert,
+    "registry_upsert_sorted": registry_upsert_sorted,
     "failed_ids": failed_ids,
     "outcome_tally": outcome_tally,
     "all_succeeded": all_succeeded,
@@ -401,3 +407,4 @@ SELECT c_nationkey, c_custkey, c_name, c_acctbal, row_number() OVER (PARTITION B
 FROM customer
 """,
 }
+ORACLES["registry_upsert_sorted"] = ORACLES["registry_upsert"]

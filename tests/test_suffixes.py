@@ -46,3 +46,13 @@ def test_an_empty_ending_and_none(spark):
 def test_carried_over_batches():
     batches = [pd.Series([None, "a", None], dtype=object), pd.Series([], dtype=object), pd.Series(["ab", None, "b", "ba"], dtype=object)]
     assert [x for out in carried(iter(batches)) for x in out] == [None, "a", "a", "a", "a", "b", "b"]
+
+
+def test_upsert_by_either_way(spark):
+    from suitelens.operators import inventory as inv
+    rng = random.Random(2)
+    lines = [(f"10.0.0.{k}\t" + "".join(rng.choice("ab1-") for _ in range(rng.randrange(6))) + rng.choice(["", " "]),) for k in range(200)]
+    reg = spark.createDataFrame(lines + [("",), ("# a",), (None,)], "line string")
+    new = spark.createDataFrame([("1.1.1.1", "a1"), ("1.1.1.2", "b-"), ("1.1.1.3", "-b-"), ("1.1.1.4", None)], "private_ip string, hostname string")
+    plain, in_order = (sorted(map(tuple, inv.upsert_registry(reg, new, sorted_pass=p).collect())) for p in (False, True))
+    assert plain == in_order and 4 < len(plain) < 200
