@@ -85,7 +85,7 @@ def test_window_names_and_ranks():
         assert len(set(names.tolist())) == len({bytes(data[i:i + width]) for i in range(400 - width + 1)})
     small = rng.integers(0, 2, 300).astype(np.uint64)
     starts = np.arange(0, 290)
-    for method in (prefix_doubling.rank_windows, suffix_trees.subtree_nodes):
+    for method in (prefix_doubling.rank_windows, suffix_trees.repeat_numbers):
         number = method(words.mix(small), starts, 6)
         want = {}
         for s, r in zip(starts.tolist(), number.tolist(), strict=True):
@@ -93,6 +93,36 @@ def test_window_names_and_ranks():
         assert len(want) == len({bytes(small[s:s + 6]) for s in starts.tolist()})
 
 
+@pytest.mark.parametrize("letters,limit", [(2, 7), (2, 1 << 15), (5, 1), (30, 40)])
+def test_suffix_trees_against_all_windows(letters, limit):
+    rng = np.random.default_rng(letters + limit)
+    width = 6
+    text = rng.integers(0, letters, 500).astype(np.uint64)
+    text[300:340], text[400:440] = text[100:140], text[100:140]
+    starts = np.concatenate([np.arange(a, a + n) for a, n in ((0, 1), (8, 7), (40, 3), (98, 7), (298, 7), (399, 4), (420, 7), (120, 7), (480, 7))])
+    window = [tuple(text[s:s + width].tolist()) for s in starts.tolist()]
+    number = suffix_trees.repeat_numbers(words.mix(text), starts, width, limit)
+    assert len(set(zip(window, number.tolist(), strict=True))) == len(set(window)) == len(set(number.tolist()))
+    # groups hold whole prefixes, each suffix at most once, and all that share a window
+    rank = np.unique(text, return_inverse=True)[1] + 1
+    groups = [g.tolist() for g in suffix_trees.prefix_groups(rank, starts, width, limit)]
+    held = [i for g in groups for i in g]
+    assert len(held) == len(set(held)) and {i for i, w in enumerate(window) if window.count(w) > 1} <= set(held)
+    assert all(len(g) <= limit or len({window[i] for i in g}) == 1 for g in groups)
+    assert all({window[i] for i in g}.isdisjoint(window[i] for i in set(held) - set(g)) for g in groups)
+    # topmost deep nodes: each repeated window once; no longer string has the same places within the contexts
+    stops = suffix_trees.context_stops(starts, width)
+    order, common = suffix_trees.sorted_leaves(rank, starts, stops)
+    suffix = [tuple(text[starts[i]:stops[i]].tolist()) for i in order.tolist()]
+    assert [s for s in suffix] == sorted(suffix)
+    nodes = list(zip(*(x.tolist() for x in suffix_trees.deep_nodes(common, width)), strict=True))
+    assert sorted(suffix[a][:width] for a, _, _ in nodes) == sorted(w for w in set(window) if window.count(w) > 1)
+    for a, n, d in nodes:
+        leaves = suffix[a:a + n]
+        assert n == window.count(leaves[0][:width]) and len({s[:d] for s in leaves}) == 1
+        assert min(map(len, leaves)) == d or len({s[:d + 1] for s in leaves}) > 1
+
+
 def test_prefix_tree_finds_all_links():
     rng = random.Random(5)
     base = rng.sample(range(1, 10_000), 80)
