@@ -1,8 +1,8 @@
 """``python -m suitelens <directory>``: roll up the JUnit reports below a folder.
 
 Scans ``<directory>`` recursively for ``TEST*.xml``, writes the ordered summary
-with its total row to ``<directory>/test_summary.csv`` (a folder of ordered CSV
-parts) and prints a short preview plus the total. Bad reports are all listed with their
+with its total row to ``<directory>/test_summary.csv`` (one file; on a store that does
+not write at offsets a folder of ordered CSV parts) and prints a short preview plus the total. Bad reports are all listed with their
 parse error, and written to ``<directory>/test_summary_bad.csv``. A folder that does not
 exist or holds no report writes nothing and exits 0.
 """
@@ -23,10 +23,11 @@ def main(argv: list[str]) -> int:
     root = argv[1].rstrip("/")
     from suitelens.operators import suites
     from suitelens.session import get_session
+    from suitelens.sinks.files import is_posix
 
     spark = get_session()
     out, bad_out = f"{root}/test_summary.csv", f"{root}/test_summary_bad.csv"
-    summary = suites.report_rollup(spark, root, out_dir=out, bad_dir=bad_out, relative=False)
+    summary = suites.report_rollup(spark, root, out_dir=out, bad_dir=bad_out, relative=False, one_file=is_posix(root))
     if summary is None:
         print(f"no TEST*.xml report below {root}; nothing written")
         return 0
