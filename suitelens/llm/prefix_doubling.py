@@ -1,8 +1,8 @@
 """Substring dedup over bytes by anchors, with one doubling step inside a bucket.
 
 Removes every byte covered by a string of ``width`` bytes that also starts in a
-document of a smaller id. No Spark job ranks positions; strings are matched at growing
-lengths, and only those that others share go on:
+document of a smaller id. ``dedup_substrings`` matches strings at growing
+lengths, and only those that others share go on (``repeated_strings`` ranks all positions by Spark sorts):
 
 * length ``gram``: the anchors of all windows (see ``repeats``) are matched across the whole
   corpus by a shuffle on their 64-bit names; unique ones leave;
@@ -17,11 +17,16 @@ an empty table gives an empty result; other columns are kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from suitelens.llm.common import prepare, stored
 from suitelens.llm.repeats import ADDED, Symbols, remove_repeats, window_names_sliced
 
 WIDTH, GRAM = 50, 20
@@ -51,6 +56,84 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, doc_
     return remove_repeats(docs, Symbols(words=False, width=width, gram=gram, strict=True), compare, doc_id, text, whole_characters)
 
 
+_RANKED = "id long, doc long, start long, rank long, many boolean"
+
+
+def _positions(parts: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """A row for each place of a text with its first bytes as a number."""
+    for part in parts:
+        for doc, own, text in zip(*(part.column(c).to_pylist() for c in ("id", "doc", "text")), strict=True):
+            data = np.frombuffer((text or "").encode("utf-8"), np.uint8)
+            n = max(0, len(data) - first + 1)
+            for a in range(0, n, 1 << 18):
+                m = min(n, a + (1 << 18)) - a
+                rank = np.zeros(m, np.uint64)
+                for k in range(first):
+                    rank = (rank << np.uint64(8)) | data[a + k:a + k + m]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, own), pa.int64()), pa.array([doc] * m, pa.int64()),
+                                                  pa.array(np.arange(a, a + m)), pa.array(rank.view(np.int64))], names=["doc", "id", "start", "r1"])
+
+
+def _rerank(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with equal ``r1, r2`` get the number of their first one; ``many``: not the only one. A row
+    is kept back until the next one is seen."""
+    from pyspark import TaskContext
+
+    high, seen, held = TaskContext.get().partitionId() << 40, 0, None
+    names = [f.split()[0] for f in _RANKED.split(", ")]
+
+    def batch(ids, doc, start, rank, many):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()),
+                                           pa.array(rank, pa.int64()), pa.array(many, pa.bool_())], names=names)
+
+    for part in parts:
+        if not part.num_rows:
+            continue
+        ids, doc, start, r1, r2 = (part.column(c).to_pylist() if c == "id" else part.column(c).to_numpy() for c in ("id", "doc", "start", "r1", "r2"))
+        same = np.append(False, (r1[1:] == r1[:-1]) & (r2[1:] == r2[:-1]))
+        if held is not None:
+            same[0] = (r1[0], r2[0]) == held[5]
+        index = np.arange(len(r1))
+        rank = high + seen + np.maximum.accumulate(np.where(same, -1, index))
+        if same[0]:
+            rank[:np.flatnonzero(~same)[0] if (~same).any() else len(rank)] = held[3]
+        many = same | np.append(same[1:], False)
+        if held is not None:
+            yield batch([held[0]], [held[1]], [held[2]], [held[3]], [held[4] or bool(same[0])])
+        yield batch(ids[:-1], doc[:-1], start[:-1], rank[:-1], many[:-1])
+        held = (ids[-1], doc[-1], start[-1], int(rank[-1]), bool(many[-1]), (r1[-1], r2[-1]))
+        seen += len(r1)
+    if held is not None:
+        yield batch([held[0]], [held[1]], [held[2]], [held[3]], [held[4]])
+
+
+def repeated_strings(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text", first: int = 8) -> DataFrame:
+    """``doc_id, start, rank`` of every string of ``width`` bytes that stands at several places (of one document
+    or more); equal strings have equal ranks. This is prefix doubling as Spark sorts: places with the rank of their
+    first 8 bytes are joined with the rank at an offset, pairs are range-sorted and ranked anew at 16, 32, ...
+    bytes up to ``width``, and only places whose pair others have go on.
+
+    It moves a row for each byte several times (README has figures), which is why ``dedup_substrings`` matches anchors
+    instead. Defined cases as there; rows of one id are told apart; equal strings are sorted by one task,
+    which streams them.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    first = min(first, width)
+    numbered = stored(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("doc")), "texts")
+    rows = numbered.mapInArrow(partial(_positions, first=first), "doc long, id long, start long, r1 long").withColumn("r2", F.lit(0).cast("long"))
+    length = first
+    while True:
+        ranked = rows.repartitionByRange("r1", "r2").sortWithinPartitions("r1", "r2").mapInArrow(_rerank, _RANKED)
+        ranked = stored(ranked.filter("many").drop("many"), "ranks")
+        if length == width:
+            return ranked.select(F.col("id").alias(doc_id), "start", "rank")
+        offset = min(length, width - length)
+        behind = ranked.select("doc", (F.col("start") - offset).alias("start"), F.col("rank").alias("r2"))
+        rows = ranked.withColumnRenamed("rank", "r1").join(behind, ["doc", "start"]).select("doc", "id", "start", "r1", "r2")
+        length += offset
+
+
 def dedup_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text",
                 n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with the same columns and the shortened texts; a character stays whole if

@@ -123,6 +123,29 @@ def test_suffix_trees_against_all_windows(letters, limit):
         assert min(map(len, leaves)) == d or len({s[:d + 1] for s in leaves}) > 1
 
 
+@pytest.mark.parametrize("width", [5, 8, 20, 50])
+def test_prefix_doubling_by_sorts(spark, width):
+    rng = random.Random(width)
+    texts = ["".join(rng.choice("abü") for _ in range(rng.randint(0, 150))) for _ in range(12)]
+    texts += [texts[0], texts[1][20:90] + texts[2], "x" * 200, "x" * 120, "", None]
+    docs = [(i if i != 3 else None, t) for i, t in enumerate(texts)] + [(5, texts[5])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    places = {}
+    for i, t in docs:
+        data = (t or "").encode()
+        for a in range(len(data) - width + 1):
+            places.setdefault(data[a:a + width], []).append((i, a))
+    want = sorted(sorted(map(str, p)) for p in places.values() if len(p) > 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {}
+        for r in prefix_doubling.repeated_strings(df, width).collect():
+            got.setdefault(r.rank, []).append((r.doc_id, r.start))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(sorted(map(str, p)) for p in got.values()) == want
+
+
 def test_prefix_tree_finds_all_links():
     rng = random.Random(5)
     base = rng.sample(range(1, 10_000), 80)
