@@ -121,7 +121,6 @@ def train(texts: list[bytes], labels: np.ndarray, languages: list[str], epochs:
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
     weight, bias = rng.normal(0, 0.1, (DIM, len(languages))), np.zeros(len(languages))
     clean = [_CLEAN[np.frombuffer(t, np.uint8)] for t in texts]
-    grams = [[hashed(c, o) for o in ORDERS] for c in clean]
     steps = max(1, epochs * len(texts) // 64)
     order = np.concatenate([rng.permutation(len(texts)) for _ in range(epochs)]) if texts else np.zeros(0, int)
     for step in range(steps):
@@ -130,7 +129,8 @@ def train(texts: list[bytes], labels: np.ndarray, languages: list[str], epochs:
         for d in batch.tolist():
             size = int(8 * 100 ** rng.random())
             a = int(rng.integers(0, max(1, len(clean[d]) - size + 1)))
-            mine = np.concatenate([g[a:a + size] for g in grams[d]])
+            # the snippet's n-grams alone: those of all texts would be twelve times their bytes in the driver
+            mine = np.concatenate([hashed(clean[d][a:a + size + o - 1], o) for o in ORDERS])
             if len(mine):
                 ids.append(mine)
                 target.append(labels[d])

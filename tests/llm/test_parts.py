@@ -264,6 +264,21 @@ def test_language_of_one_or_no_label(spark):
     assert {r.lang_pred for r in langid.predict(none, langid.fit(none)).collect()} == {"und"}
 
 
+def test_language_training_keeps_no_ngrams_of_whole_texts():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 123, langid.DOCUMENT_BYTES, np.uint8).tobytes() for _ in range(300)]
+    tracemalloc.start()
+    try:
+        langid.train(texts, np.arange(300) % 2, ["aa", "bb"], epochs=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # the embeddings and the texts, and no twelve bytes for each byte of text
+    assert peak < 10 * sum(map(len, texts))
+
+
 def test_shards_keep_groups_and_split_hot_ones(spark):
     rows = [(i, f"text {i % 50}") for i in range(200)] + [(1000 + i, "hot") for i in range(300)] + [(2000 + i, f"single {i}") for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
