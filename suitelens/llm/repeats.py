@@ -22,8 +22,9 @@ document. The question for every window: does the same one start earlier?
 5. Every batch applies the answers to its documents.
 
 Whatever a third of all documents share is sent once per batch, be it a passage, or a
-window with a short hot string in it; buckets are sized by the data. A lost executor costs the recomputation
-of its tasks from stored batches.
+window with a short hot string in it; buckets are sized by the data. As every batch has a message for nearly every
+bucket, buckets grow with the data before there are more of them: one is worked through in slices by name, each
+as large as memory wants it. A lost executor costs the recomputation of its tasks from stored batches.
 """
 
 from __future__ import annotations
@@ -43,9 +44,11 @@ from suitelens.llm.common import TextChunk, partitions_for, prepare, small_enoug
 from suitelens.llm.words import NOT_SPACE, mix, span_names, split_words, window_names, word_names
 
 BATCH_BYTES = 1 << 20
-#: anchor names, and windows of contexts, that one bucket holds at about (a bucket unfolds its
-#: windows into a dozen long arrays)
+#: anchor names, and windows of contexts, that one slice of a bucket holds at about (a slice unfolds its
+#: windows into a dozen long arrays; what comes packed takes a twentieth of that)
 BUCKET_ANCHORS, BUCKET_WINDOWS = 1 << 18, 1 << 18
+#: a bucket has up to so many slices, once there are so many buckets
+MOST_SLICES, ENOUGH_BUCKETS = 32, 256
 #: answers up to this size are broadcast to the batches; larger ones are joined by shuffle
 BROADCAST_BYTES = 32 << 20
 #: an anchor with more distinct contexts than this is heavy
@@ -203,6 +206,30 @@ def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
     return (((names >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
+def in_buckets(parts: int, least: int) -> tuple[int, int]:
+    """Numbers of buckets and of slices in each for at least ``parts`` slices; ``least`` buckets or more."""
+    slices = min(MOST_SLICES, max(1, parts // ENOUGH_BUCKETS))
+    return max(least, -(-parts // slices)), slices
+
+
+def by_slice(slice_of: np.ndarray, slices: int) -> Iterator[np.ndarray]:
+    """Places of the entries of one slice after the other, each in order."""
+    if slices == 1:
+        yield np.arange(len(slice_of))
+        return
+    slice_of = slice_of.astype(np.uint8)
+    order = np.argsort(slice_of, kind="stable")
+    cut = np.searchsorted(slice_of[order], np.arange(slices + 1))
+    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if z > a:
+            yield order[a:z]
+
+
+def _runs(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``begin, begin + 1, ...``, ``n`` of each, one after the other."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 # --- the stored batches ------------------------------------------------------------------
 
 _BATCHES = "batch long, n_bytes long, sizes binary, ids binary, copy binary, rest binary, body binary"
@@ -312,7 +339,19 @@ def emit(rows: list[tuple], fields: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
 
 
-def _repeated_anchors(batches: DataFrame, kind: Symbols, buckets: int, most: int) -> DataFrame:
+def _shared_names(names: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which names occur several times, and which have counts of more than ``most`` together."""
+    order = np.argsort(names)
+    same = names[order[1:]] == names[order[:-1]]
+    again, heavy = np.zeros(len(names), bool), np.empty(len(names), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    first = np.flatnonzero(np.append(True, ~same))
+    heavy[order] = np.repeat(np.add.reduceat(count[order].astype(np.int64), first) > most, np.diff(np.append(first, len(names))))
+    return again, heavy
+
+
+def _repeated_anchors(batches: DataFrame, kind: Symbols, buckets: int, most: int, slices: int = 1) -> DataFrame:
     """For each batch and bucket, which of its anchors occur elsewhere, and which have more
     than ``most`` contexts; ``n_set``, ``n_heavy``: contexts of the light and the heavy ones."""
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,15 +375,10 @@ def _repeated_anchors(batches: DataFrame, kind: Symbols, buckets: int, most: int
             names = np.zeros((sum(r["n"] for r in rows), 8), np.uint8)
             names[:, :6] = np.frombuffer(b"".join(r["body"] for r in rows), np.uint8).reshape(-1, 6)
             names = names.view("<u8").ravel()
-            order = np.argsort(names)
-            same = names[order[1:]] == names[order[:-1]]
-            again = np.zeros(len(names), bool)
-            again[order[1:][same]] = True
-            again[order[:-1][same]] = True
-            count = np.concatenate([np.append(np.ones(r["n_once"], np.int64), np.frombuffer(zlib.decompress(r["counts"]), "<u4")) for r in rows])
-            first = np.flatnonzero(np.append(True, ~same))
-            heavy = np.empty(len(names), bool)
-            heavy[order] = np.repeat(np.add.reduceat(count[order], first) > most, np.diff(np.append(first, len(names))))
+            count = np.concatenate([np.append(np.ones(r["n_once"], "<u4"), np.frombuffer(zlib.decompress(r["counts"]), "<u4")) for r in rows])
+            again, heavy = np.zeros(len(names), bool), np.zeros(len(names), bool)
+            for mine in by_slice(names % np.uint64(slices), slices):
+                again[mine], heavy[mine] = _shared_names(names[mine], count[mine], most)
             at, out = 0, []
             for r in rows:
                 part = slice(at, at + r["n"])
@@ -353,8 +387,8 @@ def _repeated_anchors(batches: DataFrame, kind: Symbols, buckets: int, most: int
                 at += r["n"]
                 if bits.any():
                     both = np.stack([bits, bits & heavy[part]])
-                    n_heavy = int(count[part][both[1]].sum())
-                    out.append((r["batch"], b, int(count[part][bits].sum()) - n_heavy, n_heavy, zlib.compress(np.packbits(both).tobytes())))
+                    n_heavy = int(count[part][both[1]].sum(dtype=np.int64))
+                    out.append((r["batch"], b, int(count[part][bits].sum(dtype=np.int64)) - n_heavy, n_heavy, zlib.compress(np.packbits(both).tobytes())))
             if out:
                 yield emit(out, _ANSWER)
 
@@ -407,26 +441,29 @@ def _counts(c: Contexts, h: HeavyWindows, buckets: int) -> tuple[np.ndarray, np.
 _CONTEXTS = "bucket long, batch long, body binary, heavy binary"
 
 
-def _pack_contexts(c: Contexts, rows: np.ndarray) -> bytes:
+def _pack_contexts(c: Contexts, cut: np.ndarray) -> bytes:
+    """The contexts ``cut[0]`` to ``cut[-1]``, each slice up to the next of ``cut``."""
     import zstandard
 
+    rows = slice(int(cut[0]), int(cut[-1]))
     b, one = c.batch, c.one[rows]
     begin, end = b.starts[b.low[one]], b.ends[b.high[one] + b.kind.width - 1]
     n = end - begin
-    data = b.data[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    data = b.data[_runs(begin, n)]
     doc = b.doc[one]
-    raw = b"".join([struct.pack("<I", len(one)), b.ids[doc].astype("<i8").tobytes(), (b.place[one] - b.first[doc]).astype("<i8").tobytes(),
+    raw = b"".join([np.diff(cut).astype("<u4").tobytes(), b.ids[doc].astype("<i8").tobytes(), (b.place[one] - b.first[doc]).astype("<i8").tobytes(),
                     n.astype("<u4").tobytes(), c.windows[rows].astype("<u2").tobytes(), data.tobytes()])
     return struct.pack("<Q", len(raw)) + zstandard.ZstdCompressor(level=3).compress(raw)
 
 
-def _unpack_contexts(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack_contexts(body: bytes, slices: int = 1) -> tuple[np.ndarray, ...]:
+    """The slice of each context, ids, places, sizes, numbers of windows, and the bytes."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(body[8:], max_output_size=struct.unpack_from("<Q", body)[0])
-    (n,) = struct.unpack_from("<I", raw)
-    at = 4
-    out = []
+    of_slice = np.repeat(np.arange(slices, dtype=np.uint8), np.frombuffer(raw, "<u4", slices))
+    n, at = len(of_slice), 4 * slices
+    out = [of_slice]
     for dtype in ("<i8", "<i8", "<u4", "<u2"):
         out.append(np.frombuffer(raw, dtype, n, at).astype(np.int64))
         at += n * np.dtype(dtype).itemsize
@@ -449,17 +486,18 @@ def _unpack_heavy(body: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(3, 8, -1 if len(raw) else 0).transpose(0, 2, 1)).view("<i8")[:, :, 0]
 
 
-def _sent_windows(batches: DataFrame, kind: Symbols, anchor_buckets: int, buckets: int) -> DataFrame:
-    """What each batch sends to each bucket; ``batches`` has the anchors' answers."""
+def _sent_windows(batches: DataFrame, kind: Symbols, anchor_buckets: int, buckets: int, slices: int = 1) -> DataFrame:
+    """What each batch sends to each bucket, in order of its slices; ``batches`` has the anchors' answers."""
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(parts):
             if not row["anchors"]:
                 continue
             c, h = _alive(_open(kind, row), row["anchors"], anchor_buckets)
-            cut, cut_h = (np.searchsorted(bucket_of(x, buckets), np.arange(buckets + 1)) for x in (c.batch.anchor[c.one], h.names))
+            cut = np.searchsorted(bucket_of(c.batch.anchor[c.one], buckets * slices), np.arange(buckets * slices + 1))
+            cut_h = np.searchsorted(bucket_of(h.names, buckets), np.arange(buckets + 1))
             out = []
-            for k in np.flatnonzero(np.diff(cut) + np.diff(cut_h)).tolist():
-                out.append((k, row["batch"], _pack_contexts(c, np.arange(cut[k], cut[k + 1])),
+            for k in np.flatnonzero(np.diff(cut[::slices]) + np.diff(cut_h)).tolist():
+                out.append((k, row["batch"], _pack_contexts(c, cut[k * slices:(k + 1) * slices + 1]),
                             _pack_heavy(h, slice(cut_h[k], cut_h[k + 1])) if cut_h[k + 1] > cut_h[k] else b""))
             if out:
                 yield emit(out, _CONTEXTS)
@@ -467,9 +505,9 @@ def _sent_windows(batches: DataFrame, kind: Symbols, anchor_buckets: int, bucket
     return batches.mapInArrow(send, _CONTEXTS)
 
 
-def _later_contexts(kind: Symbols, found: list[tuple], compare: Callable) -> np.ndarray:
+def _later_contexts(kind: Symbols, ids: np.ndarray, place: np.ndarray, size: np.ndarray, windows: np.ndarray, data: np.ndarray,
+                    compare: Callable) -> np.ndarray:
     """One bit for each window of the contexts, in the order in which they came."""
-    ids, place, size, windows, data = (np.concatenate(x) for x in zip(*found, strict=True))
     # contexts in order of their place in the corpus, so that the first of equal windows is the earliest
     order = np.lexsort((place, ids))
     end = np.cumsum(size)
@@ -498,15 +536,40 @@ def _later_heavy(kind: Symbols, ids: np.ndarray, place: np.ndarray, names: np.nd
     return starts_later(kind, ids, place, ids[one], place[one])
 
 
-def _earlier(batches: DataFrame, kind: Symbols, anchor_buckets: int, buckets: int, compare: Callable) -> DataFrame:
+def _in_slices(kind: Symbols, found: list[tuple], compare: Callable, slices: int) -> np.ndarray:
+    """``_later_contexts`` of a whole bucket, slice by slice: equal windows have equal anchors, so they are in one."""
+    of_slice, ids, place, size, windows, data = (np.concatenate(x) for x in zip(*found, strict=True))
+    if slices == 1:
+        return _later_contexts(kind, ids, place, size, windows, data, compare)
+    bits = np.zeros(int(windows.sum()), bool)
+    begin, first = np.cumsum(size) - size, np.cumsum(windows) - windows
+    for mine in by_slice(of_slice, slices):
+        bits[_runs(first[mine], windows[mine])] = _later_contexts(
+            kind, ids[mine], place[mine], size[mine], windows[mine], data[_runs(begin[mine], size[mine])], compare)
+    return bits
+
+
+def _heavy_in_slices(kind: Symbols, found: list[np.ndarray], slices: int) -> np.ndarray:
+    """``_later_heavy`` of a whole bucket, slice by slice."""
+    ids, place, names = np.concatenate(found, axis=1)
+    bits = np.zeros(len(names), bool)
+    for mine in by_slice(names.view(np.uint64) % np.uint64(slices), slices):
+        bits[mine] = _later_heavy(kind, ids[mine], place[mine], names[mine])
+    return bits
+
+
+def _earlier(batches: DataFrame, kind: Symbols, anchor_buckets: int, buckets: int, compare: Callable, slices: int = 1) -> DataFrame:
     """``batches`` has the anchors' answers; the windows' answers come back."""
     def answer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, rows in by_bucket(parts):
-            found, heavy = [_unpack_contexts(r["body"]) for r in rows], [_unpack_heavy(r["heavy"]) for r in rows]
-            bits, bits_h = _later_contexts(kind, found, compare), _later_heavy(kind, *np.concatenate(heavy, axis=1))
+            heavy = [_unpack_heavy(r["heavy"]) for r in rows]
+            bits_h, n_heavy = _heavy_in_slices(kind, heavy, slices), [g.shape[1] for g in heavy]
+            del heavy
+            found = [_unpack_contexts(r["body"], slices) for r in rows]
+            bits, n = _in_slices(kind, found, compare, slices), [int(f[4].sum()) for f in found]
+            del found
             k, k_h, out = 0, 0, []
-            for r, f, g in zip(rows, found, heavy, strict=True):
-                m, m_h = int(f[3].sum()), g.shape[1]
+            for r, m, m_h in zip(rows, n, n_heavy, strict=True):
                 mine = np.concatenate([bits[k:k + m], bits_h[k_h:k_h + m_h]])
                 if mine.any():
                     out.append((r["batch"], b, int(mine.sum()), int(mine[m:].sum()), zlib.compress(np.packbits(mine).tobytes())))
@@ -515,7 +578,7 @@ def _earlier(batches: DataFrame, kind: Symbols, anchor_buckets: int, buckets: in
             if out:
                 yield emit(out, _ANSWER)
 
-    sent = _sent_windows(batches, kind, anchor_buckets, buckets)
+    sent = _sent_windows(batches, kind, anchor_buckets, buckets, slices)
     return stored(dealt(sent, buckets).mapInArrow(answer, _ANSWER), "windows")
 
 
@@ -536,16 +599,16 @@ def remove_repeats(docs: DataFrame, kind: Symbols, compare: Callable, doc_id: st
     docs = docs.select(*[c for c in docs.columns if c not in added.names or c in (doc_id, text)])
     batches = pack_batches(docs, doc_id, text)
     total = int(batches.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0)
-    spread = max(12, partitions_for(total, 8 * BATCH_BYTES))
+    spread = max(12, min(ENOUGH_BUCKETS, partitions_for(total, 8 * BATCH_BYTES)))
     symbols = total // (6 if kind.words else 1)
-    anchor_buckets = max(spread, partitions_for(2 * symbols // (kind.width - kind.gram + 2), BUCKET_ANCHORS))
-    anchors = _repeated_anchors(batches, kind, anchor_buckets, HEAVY_CONTEXTS)
+    anchor_buckets, slices = in_buckets(partitions_for(2 * symbols // (kind.width - kind.gram + 2), BUCKET_ANCHORS), spread)
+    anchors = _repeated_anchors(batches, kind, anchor_buckets, HEAVY_CONTEXTS, slices)
     sums = anchors.agg(F.sum("n_set").alias("light"), F.sum("n_heavy").alias("heavy")).first()
     windows = (int(sums["light"] or 0) + int(sums["heavy"] or 0)) * (kind.width - kind.gram + 1)  # at most
-    buckets = max(spread, partitions_for(windows, BUCKET_WINDOWS))
+    buckets, slices = in_buckets(partitions_for(windows, BUCKET_WINDOWS), spread)
     with_anchors = with_answers(batches, anchors.select("batch", "bucket", "bits"), "anchors")
     windows = _earlier(with_anchors.select("batch", "n_bytes", "sizes", "ids", "copy", "body", "anchors"),
-                       kind, anchor_buckets, buckets, compare)
+                       kind, anchor_buckets, buckets, compare, slices)
     both = with_answers(with_anchors, windows.select("batch", "bucket", "bits"), "windows")
 
     kept_columns = [f for f in docs.schema if f.name != text]

@@ -227,6 +227,22 @@ def test_windows_of_a_hot_string_are_dealt_evenly(spark, monkeypatch, words_, mo
         assert len(size) == 12 and size[-1] < 0.15 * sum(size)  # by anchor it is 0.17 for bytes, 0.26 for words
 
 
+@pytest.mark.parametrize("most", [0, 40])
+@pytest.mark.parametrize("words_", [False, True])
+def test_buckets_grow_before_there_are_more_of_them(spark, monkeypatch, words_, most):
+    """Each batch has a message for nearly every bucket, so their number must not grow with the batches'."""
+    rows = hot_string_texts(words_)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9, "doc_id")
+    for name, value in (("HEAVY_CONTEXTS", most), ("BUCKET_ANCHORS", 64), ("BUCKET_WINDOWS", 256), ("MOST_SLICES", 32), ("ENOUGH_BUCKETS", 4)):
+        monkeypatch.setattr(repeats, name, value, raising=False)
+    real, used = repeats.dealt, []
+    monkeypatch.setattr(repeats, "dealt", lambda df, buckets: used.append(buckets) or real(df, buckets))
+    out = (suffix_trees.dedup_words if words_ else prefix_doubling.dedup_substrings)(docs).select("doc_id", "n_symbols", "n_removed", "kept").collect()
+    got = sorted((r.doc_id, r.n_symbols, r.n_removed, brute.sha(bytes(r.kept))) for r in out)
+    assert got == (brute.op2(rows) if words_ else [(d, n, gone, kept) for d, n, gone, _, kept in brute.op5(rows)])
+    assert len(used) == 2 and max(used) == 12  # as many as there are at least; one slice each makes hundreds
+
+
 def test_benchmark_in_blocks(spark, tables, doc_rows, monkeypatch):
     docs, items = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/benchmark.parquet")
     monkeypatch.setattr(decontaminate.benchmark_blocks, "__defaults__", ("item_id", "text", 60))
