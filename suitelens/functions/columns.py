@@ -42,16 +42,17 @@ def format_duration(seconds) -> Column:
     """PRJ-7: ``divmod(s, 60)`` -> ``"{int(m)}m {s:.2f}s"``.
 
     The remainder is exact, and it is rounded as the reference does: the exact binary value,
-    ties to even. Scaled by 2**50 it is an integer plus a rest below one (``more``); a hundred
-    times that integer still fits in a long, so hundredths and their rest are exact.
+    ties to even. Scaled by 2**50 it is an integer plus a rest below one; a hundred times that integer still
+    fits in a long, and a hundred times the rest is exact from 0.004 s on (less is 0.00), so hundredths and their rest are.
     """
     s = col_(seconds).cast("double")
     secs = F.pmod(s, F.lit(60.0))
     mins = F.round((s - secs) / 60).cast("long")
     scaled = secs * F.lit(float(1 << 50))
     whole = F.floor(scaled).cast("long")
-    more = scaled > whole.cast("double")
-    times = whole * 100
+    part = (scaled - whole.cast("double")) * 100
+    times = whole * 100 + F.floor(part).cast("long")
+    more = part > F.floor(part)
     cents = F.shiftright(times, 50)
     rest, half = times.bitwiseAND(F.lit((1 << 50) - 1)), F.lit(1 << 49)
     up = (rest > half) | ((rest == half) & (more | (cents % 2 == 1)))

@@ -90,6 +90,13 @@ def test_text_helpers_match_python(spark, texts, secs):
     assert got == want
 
 
+def test_durations_near_half_a_hundredth(spark):
+    secs = [k / 1000 for k in range(5, 3000, 10)] + [60 + k / 1000 for k in range(5, 500, 10)]
+    d = spark.createDataFrame([(s,) for s in secs], "v double")
+    got = {r.v: r.s for r in d.select("v", C.format_duration("v").alias("s")).collect()}
+    assert got == {s: "{:.0f}m {:.2f}s".format(*divmod(s, 60)) for s in secs}
+
+
 def test_expiry_time_ltz_any_session_zone(spark):
     import datetime as dt
     key = "spark.sql.session.timeZone"
